@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from genloom.llm import exact_dedup, line_dedup, packing, pieces, sharding, simhash
+from genloom.llm import exact_dedup, line_dedup, packing, pieces, secrets, sharding, simhash
 
 QUERIES = {
     "op1_sentencepiece": pieces.query,
     "op2_line_dedup": line_dedup.query,
     "op4_simhash": simhash.query,
+    "op6_secrets": secrets.query,
     "op7_exact_dedup": exact_dedup.query,
     "op9_sharding": sharding.query,
     "op10_packing": packing.query,
