@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from genloom.llm import exact_dedup, line_dedup, packing, pieces, secrets, sharding, simhash
+from genloom.llm import exact_dedup, line_dedup, packing, pieces, quality, secrets, sharding, simhash
 
 QUERIES = {
     "op1_sentencepiece": pieces.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_simhash": simhash.query,
     "op6_secrets": secrets.query,
     "op7_exact_dedup": exact_dedup.query,
+    "op8_quality": quality.query,
     "op9_sharding": sharding.query,
     "op10_packing": packing.query,
 }
