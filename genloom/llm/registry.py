@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from genloom.llm import exact_dedup, line_dedup, packing, pieces, quality, secrets, sharding, simhash, suffix_dedup
+from genloom.llm import exact_dedup, licenses, line_dedup, packing, pieces, quality, secrets, sharding, simhash, suffix_dedup
 
 QUERIES = {
     "op1_sentencepiece": pieces.query,
     "op2_line_dedup": line_dedup.query,
     "op3_suffix_dedup": suffix_dedup.query,
     "op4_simhash": simhash.query,
+    "op5_licenses": licenses.query,
     "op6_secrets": secrets.query,
     "op7_exact_dedup": exact_dedup.query,
     "op8_quality": quality.query,
