@@ -233,3 +233,58 @@ def near_groups(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
+
+
+def shingle_sets(docs: DataFrame, words: int = 5) -> DataFrame:
+    """``doc_id`` and ``shingles``: the distinct shingle hashes of every row."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows(batches, 2 << 20):
+            sets = [np.unique(shingle_hashes(t.encode(), words)).view(np.int64) for t in batch.column(1).to_pylist()]
+            ends = np.cumsum([0, *map(len, sets)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))], ["doc_id", "shingles"])
+
+    return texts(docs).mapInArrow(run, "doc_id long, shingles array<long>")
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 6) -> DataFrame:
+    """``doc_id, keep_id`` of each row of ``docs`` that is a near copy of one that stays.
+
+    Candidates are components of fingerprints over distinct words, where a few
+    changed words move few bits, within ``radius``. In each component the
+    smallest id leads; members whose sets of ``words``-word shingles have a
+    Jaccard similarity of ``similarity`` or more with the leader's are its
+    copies. The others are left for the next round with a leader of their own,
+    until all are settled: whatever goes has a near copy that stays. Texts of
+    fewer words are one shingle; texts without words have none and stay. A
+    row without ``doc_id`` stays; of rows that share an id the largest set counts.
+    """
+    prints = stage(fingerprints(docs.where("doc_id is not null"), 1, distinct=True).distinct(), "word-prints")
+    comps = stage(components(prints, radius), "components")
+    several = stage(comps.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("component_id").alias("comp")), "several")
+    members = stage(comps.join(several, comps["component_id"] == several["comp"]).select(F.col("doc_id").alias("member"), "comp"), "members")
+    wanted = docs.select("doc_id", "text").join(members, F.col("doc_id") == F.col("member"), "left_semi")
+    sets = shingle_sets(wanted, words).groupBy("doc_id").agg(F.max("shingles").alias("shingles"))
+    open_ = stage(sets.join(members, sets["doc_id"] == members["member"]).select("doc_id", "comp", "shingles").where(F.size("shingles") > 0), "open")
+    out = None
+    while True:
+        lead = open_.groupBy("comp").agg(F.min("doc_id").alias("lead"))
+        lead = stage(lead, "lead")
+        led = open_.join(lead.select(F.col("lead")), open_["doc_id"] == F.col("lead"))
+        led = stage(led.select(F.col("comp").alias("c"), "lead", F.col("shingles").alias("theirs")), "leaders")
+        both = open_.join(led, open_["comp"] == led["c"]).where("doc_id != lead")
+        shared = F.size(F.array_intersect("shingles", "theirs"))
+        near = shared >= similarity * (F.size("shingles") + F.size("theirs") - shared)
+        decided = stage(both.select("doc_id", "comp", "lead", near.alias("near"), F.when(~near, F.col("shingles")).alias("shingles")), "decided")
+        found = decided.where("near").select("doc_id", F.col("lead").alias("keep_id"))
+        out = found if out is None else out.unionByName(found)
+        open_ = decided.where("not near").select("doc_id", "comp", "shingles")
+        if open_.isEmpty():
+            return out
+
+
+def without_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 6) -> DataFrame:
+    """``docs``, all columns, without the rows that ``near_copies`` tells."""
+    gone = stage(near_copies(docs, words, similarity, radius).select(F.col("doc_id").alias("_gone")).distinct(), "near-copies")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
