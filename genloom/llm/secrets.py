@@ -154,7 +154,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     hit = scan(new).select(F.col("blob").alias("_hit")).distinct()
     dirty = new.join(hit, new["blob"] == hit["_hit"], "left_semi")
     for r in RULES:  # one column after the other: nested they would be evaluated many times over
-        dirty = dirty.withColumn("text", without(clean, r))
+        dirty = dirty.withColumn("text", without(F.col("text"), r))
     dirty = stage(dirty.select(F.col("blob").alias("_b"), F.col("text").alias("_clean")), "clean")
     keyed = docs.withColumn("_blob", F.sha2(F.coalesce("text", F.lit("")), 256))
     text = F.coalesce("_clean", "text")
