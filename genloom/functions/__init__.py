@@ -1 +1 @@
-
+"""Scalar functions are columns built where they are used: see ``genloom.operators.unify`` and ``sites``."""

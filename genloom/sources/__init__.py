@@ -1 +1 @@
-
+"""Stores, fields and filters."""

@@ -1 +1 @@
-
+"""Nothing here streams: all inputs are finite stores. Resumable matching lives in ``genloom.plans.runner``."""
