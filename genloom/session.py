@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -52,6 +53,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps now.
+
+    It does so when the driver collects its garbage, which a driver with
+    little to do may put off while the files of a long query pile up.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _unstage() -> None:
     for spark, path in _STAGED:
         try:
