@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,11 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genloom.llm.common import rows, text_buffer, texts
-from genloom.llm.units import distinct_units, gather, word_cuts
+from genloom.llm.units import Memo, distinct_units, gather, word_cuts
 from genloom.session import ship, stage, table
 
-#: Units of a text that a worker remembers at most; then it forgets all and starts anew.
-MEMO = 200_000
 _NEVER = np.int64(1) << 60
 
 
@@ -26,23 +25,18 @@ class ByteLevel:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[bytes, np.ndarray] = {}
-
-    def units(self, found: list[bytes]) -> list[np.ndarray]:
-        fresh = [u for u in found if u not in self.memo]
-        if len(self.memo) + len(fresh) > MEMO:
-            self.memo.clear()
-            fresh = found
-        got = dict(self.memo) if len(fresh) > MEMO else self.memo
-        for u, e in zip(fresh, self.tokenizer.encode_batch_fast([u.decode() for u in fresh], add_special_tokens=False)):
-            got[u] = np.array(e.ids, np.uint32)
-        return [got[u] for u in found]
+        self.memo = Memo()
+
+    def fresh(self, units: list[bytes]) -> list[bytes]:
+        """Little-endian ids of each unit by the library."""
+        found = self.tokenizer.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and row offsets of a column of texts."""
         data, offsets = text_buffer(column)
         found, codes, of_row = distinct_units(data, offsets, word_cuts(data))
-        return gather(self.units(found), codes, of_row)
+        return gather(self.memo.resolve(found, self.fresh), codes, of_row, np.uint32)
 
 
 _TOKENIZERS: dict[str, ByteLevel] = {}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,11 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from genloom.llm.common import rows, text_buffer, texts
-from genloom.llm.units import distinct_units, gather, space_cuts
+from genloom.llm.units import Memo, distinct_units, gather, space_cuts
 from genloom.session import ship, table
 
-#: Units of a text that a worker remembers at most; then it forgets all and starts anew.
-MEMO = 200_000
 _SPACE = "▁"
 codecs.register_error("genloom-each", lambda e: ("�" * (e.end - e.start), e.end))
 
@@ -54,35 +53,34 @@ class PieceCodec:
                 self.surface.append(piece.replace(_SPACE, " ").encode())
         if any(_SPACE in p.lstrip(_SPACE) for p in self.ids):
             raise ValueError("a piece holds a space sign behind another character; units can't be cut at spaces")
-        self.memo: dict[bytes, np.ndarray] = {}
+        self.memo = Memo()
 
     def merge(self, text: str) -> list[int]:
         """Ids of one text that already has space signs, by the agenda."""
-        symbols: list[str] = list(text)
+        symbols = list(text)
         n = len(symbols)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        scores, agenda = self.scores, []
-
-        def offer(left: int, right: int) -> None:
-            if left >= 0 and right >= 0:
-                joined = symbols[left] + symbols[right]
-                score = scores.get(joined)
-                if score is not None:
-                    heapq.heappush(agenda, (-score, left, right, len(joined)))
-
-        for i in range(n - 1):
-            offer(i, i + 1)
+        score = self.scores.get
+        pairs = map(str.__add__, symbols, symbols[1:])
+        agenda = [(-v, i, i + 1, 2) for i, p in enumerate(pairs) if (v := score(p)) is not None]
+        heapq.heapify(agenda)
         while agenda:
             _, left, right, size = heapq.heappop(agenda)
-            if not symbols[left] or not symbols[right] or len(symbols[left]) + len(symbols[right]) != size:
+            joined = symbols[left] + symbols[right]
+            if not symbols[left] or not symbols[right] or len(joined) != size:
                 continue  # one of the two has merged otherwise meanwhile
-            symbols[left] += symbols[right]
-            symbols[right] = ""
-            after[left] = after[right]
-            if after[right] >= 0:
-                before[after[right]] = left
-            offer(before[left], left)
-            offer(left, after[left])
+            symbols[left], symbols[right] = joined, ""
+            beyond = after[left] = after[right]
+            if beyond >= 0:
+                before[beyond] = left
+                pair = joined + symbols[beyond]
+                if (v := score(pair)) is not None:
+                    heapq.heappush(agenda, (-v, left, beyond, len(pair)))
+            ahead = before[left]
+            if ahead >= 0:
+                pair = symbols[ahead] + joined
+                if (v := score(pair)) is not None:
+                    heapq.heappush(agenda, (-v, ahead, left, len(pair)))
         out: list[int] = []
         for s in symbols:
             if s:
@@ -90,20 +88,14 @@ class PieceCodec:
                 out.extend([known] if known is not None else [self.byte_ids[b] for b in s.encode()])
         return out
 
-    def units(self, found: list[bytes]) -> list[np.ndarray]:
-        """Ids of each unit, all of which begin with a space."""
-        fresh = [u for u in found if u not in self.memo]
-        if len(self.memo) + len(fresh) > MEMO:
-            self.memo.clear()
-            fresh = found
-        mine = [self.merge(u.decode().replace(" ", _SPACE)) for u in fresh]
-        theirs = self.library.encode([u[1:].decode() for u in fresh], num_threads=1)
-        got = dict(self.memo) if len(fresh) > MEMO else self.memo
-        for u, a, b in zip(fresh, mine, theirs):
+    def fresh(self, units: list[bytes]) -> list[bytes]:
+        """Little-endian ids of units, all of which begin with a space; each is checked against the library."""
+        own = [self.merge(u.decode().replace(" ", _SPACE)) for u in units]
+        theirs = self.library.encode([u[1:].decode() for u in units], num_threads=1)
+        for u, a, b in zip(units, own, theirs):
             if a != b and u != b" ":  # the library gives the empty text no space sign
                 raise ValueError(f"the library encodes {u!r} as {b}, not {a}")
-            got[u] = np.array(a, np.int32)
-        return [got[u] for u in found]
+        return [array("i", a).tobytes() for a in own]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and row offsets of a column of texts."""
@@ -114,7 +106,7 @@ class PieceCodec:
         spaced = np.insert(data, offsets[:-1][full], 0x20)  # the model puts a space before each text
         offsets = offsets + np.r_[0, np.cumsum(full)]
         found, codes, of_row = distinct_units(spaced, offsets, space_cuts(spaced))
-        return gather(self.units(found), codes, of_row)
+        return gather(self.memo.resolve(found, self.fresh), codes, of_row)
 
     def decode(self, ids: list[int]) -> str:
         """The text of a list of ids; bytes that are not UTF-8 become U+FFFD each."""

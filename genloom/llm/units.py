@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 
@@ -62,12 +64,43 @@ def distinct_units(data: np.ndarray, offsets: np.ndarray, cuts: np.ndarray) -> t
     return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), of_row
 
 
-def gather(parts: list[np.ndarray], codes: np.ndarray, of_row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Concatenate ``parts[c]`` for each code; also n + 1 offsets of the rows in the result."""
+class Memo:
+    """Results of units met lately: two generations of ``most`` units each, and none for units of over 64 bytes."""
+
+    def __init__(self, most: int = 300_000, lot: int = 8192) -> None:
+        self.most, self.lot = most, lot
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def resolve(self, found: list[bytes], compute: Callable[[list[bytes]], list[bytes]]) -> list[bytes]:
+        """The result of each unit; ``compute`` gets those that are not remembered, some at a time."""
+        young, old = self.young, self.old
+        out = [young.get(u) for u in found]
+        fresh = []
+        for i, known in enumerate(out):
+            if known is None:
+                known = old.get(found[i])
+                if known is None:
+                    fresh.append(i)
+                else:
+                    out[i] = young[found[i]] = known
+        for at in range(0, len(fresh), self.lot):
+            some = fresh[at : at + self.lot]
+            for i, result in zip(some, compute([found[i] for i in some])):
+                out[i] = result
+                if len(found[i]) <= 64:
+                    young[found[i]] = result
+        if len(young) > self.most:
+            self.young, self.old = {}, young
+        return out
+
+
+def gather(parts: list[bytes], codes: np.ndarray, of_row: np.ndarray, kind: type = np.int32) -> tuple[np.ndarray, np.ndarray]:
+    """Concatenate the 4-byte numbers in ``parts[c]`` for each code; also n + 1 offsets of the rows in the result."""
     if not len(codes):
-        return np.zeros(0, np.int32), np.zeros(len(of_row), np.int64)
-    sizes = np.fromiter((len(x) for x in parts), np.int64, len(parts))
-    flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        return np.zeros(0, kind), np.zeros(len(of_row), np.int64)
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+    flat = np.frombuffer(b"".join(parts), kind)
     first = np.cumsum(sizes) - sizes
     lengths = sizes[codes]
     ends = np.r_[0, np.cumsum(lengths)]
