@@ -2,24 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genloom.llm.common import WHITE, texts
-from genloom.session import broadcast_limit, stage, table
+from genloom.llm.common import rows, texts
+from genloom.session import broadcast_limit, ship, stage, table
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def _prints(lines, shortest: int):
-    """Per line, 128 bits of its key as a struct, or null where the key is shorter than ``shortest``."""
+def line_prints(text: bytes, shortest: int = 1) -> list[tuple[int, bytes]]:
+    """Position and 128-bit hash of the key of each line; lines whose key has under ``shortest`` code points are left out."""
+    digest = xxhash.xxh3_128_digest
+    keys = [k.strip(b" \t\n\x0b\x0c\r") for k in text.translate(_LOWER).split(b"\n")]
+    if shortest <= 1:
+        return [(i, digest(k)) for i, k in enumerate(keys) if len(k) >= shortest]
+    return [(i, digest(k)) for i, k in enumerate(keys) if len(k.decode()) >= shortest]
 
-    def one(line):
-        key = F.translate(F.regexp_replace(line, f"^[{WHITE}]+|[{WHITE}]+\\z", ""), _UPPER, _LOWER)
-        both = F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(1), key).alias("b"))
-        return F.when(F.char_length(key) >= shortest, both)
 
-    return F.transform(lines, one)
+def _halves(digests: list[bytes]) -> list[pa.Array]:
+    both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    return [pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))]
 
 
 def frequent_lines(docs: DataFrame, least_documents: int = 10, shortest: int = 1) -> DataFrame:
@@ -29,9 +37,29 @@ def frequent_lines(docs: DataFrame, least_documents: int = 10, shortest: int = 1
     count needs no (document, line) shuffle, and a line in a third of all rows
     is summed where it is read.
     """
-    prints = F.array_distinct(F.filter(_prints(F.split("text", "\n", -1), shortest), lambda p: p.isNotNull()))
-    lines = texts(docs).select(F.explode(prints).alias("p"))
-    return lines.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count(F.lit(1)).alias("documents")).where(F.col("documents") >= least_documents)
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows(batches):
+            found = [d for t in batch.column(0).to_pylist() for d in {d for _, d in line_prints(t.encode(), shortest)}]
+            yield pa.RecordBatch.from_arrays(_halves(found), ["a", "b"])
+
+    lines = texts(docs).select("text").mapInArrow(run, "a long, b long")
+    return lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("documents")).where(F.col("documents") >= least_documents)
+
+
+def exploded(keyed: DataFrame, shortest: int = 1) -> DataFrame:
+    """``doc_id, th, pos, a, b`` of each line of ``doc_id, th, text``."""
+    ship(keyed.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows(batches, 4 << 20):
+            own = [line_prints(t.encode(), shortest) for t in batch.column(2).to_pylist()]
+            of = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]))
+            pos = pa.array([i for x in own for i, _ in x], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pos, *_halves([d for x in own for _, d in x])], ["doc_id", "th", "pos", "a", "b"])
+
+    return keyed.mapInArrow(run, "doc_id long, th long, pos int, a long, b long")
 
 
 def without_frequent_lines(docs: DataFrame, least_documents: int = 10, shortest: int = 1, broadcast_bytes: int | None = None) -> DataFrame:
@@ -52,11 +80,10 @@ def without_frequent_lines(docs: DataFrame, least_documents: int = 10, shortest:
     small = 32 * frequent.count() <= limit
 
     keyed = docs.withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    lines = keyed.select("doc_id", "_th", F.posexplode(_prints(F.split(F.coalesce("text", F.lit("")), "\n", -1), shortest)).alias("_pos", "_p"))
-    lines = lines.where("_p is not null").select("doc_id", "_th", "_pos", F.col("_p.a").alias("a"), F.col("_p.b").alias("b"))
+    lines = exploded(keyed.select("doc_id", "_th", F.coalesce("text", F.lit("")).alias("text")), shortest)
     hit = lines.join(F.broadcast(frequent) if small else frequent.hint("merge"), ["a", "b"])
-    gone = hit.groupBy("doc_id", "_th").agg(F.collect_set("_pos").alias("_gone"))
-    gone = stage(gone.select(F.col("doc_id").alias("_d"), F.col("_th").alias("_h"), "_gone"), "gone-lines")
+    gone = hit.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("_gone"))
+    gone = stage(gone.select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"), "_gone"), "gone-lines")
     # the larger side of this join carries texts; ids are spread by hash, so no key is hot
     same = keyed["doc_id"].eqNullSafe(gone["_d"]) & (keyed["_th"] == gone["_h"])
     joined = keyed.join(gone, same, "left").drop("_d", "_h", "_th")
@@ -67,10 +94,10 @@ def without_frequent_lines(docs: DataFrame, least_documents: int = 10, shortest:
     return joined.withColumns(
         {
             "n_lines": F.size(all_lines).cast("long"),
-            "n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
+            "n_dropped": F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long"),
             "kept_text": F.when(F.col("_gone").isNull(), whole).otherwise(rebuilt),
         }
-    ).withColumn("n_dropped", F.when(F.col("_gone").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_dropped"))).drop("_gone")
+    ).drop("_gone")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
