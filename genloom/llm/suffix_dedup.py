@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genloom.llm.common import rows, text_buffer
-from genloom.session import ship, stage, table
+from genloom.session import release, ship, stage, table
 
 #: Length of the repeated strings, and of the grams that anchor them.
 LENGTH, GRAM = 100, 32
@@ -21,8 +21,8 @@ _PLACE_BITS = 28
 #: Bits of the broadcast bitmap of repeated anchors: 8 MB whatever the input.
 BITMAP_BITS = 26
 #: Symbols that are merged at once, and segments of one anchor up to which they are.
-CHUNK, CROWD = 1 << 20, 1 << 14
-SHARDS = 4
+CHUNK, CROWD = 1 << 17, 1 << 14
+SHARDS = 2
 
 
 def _byte_codes() -> np.ndarray:
@@ -43,7 +43,8 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
         if len(h) <= step:
             return np.zeros(0, np.uint64)
         h = h[:-step] * factor + h[step:]
-        factor = factor * factor
+        with np.errstate(over="ignore"):
+            factor = factor * factor
     return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -66,8 +67,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         reach *= 2
     if reach < _WINDOW:
         m = np.minimum(m[: len(m) - (_WINDOW - reach)], m[_WINDOW - reach :])
-    row = np.searchsorted(offsets, np.arange(len(m)), "right") - 1 if len(offsets) > 2 else np.zeros(len(m), np.int64)
-    starts = np.flatnonzero(np.arange(len(m)) + LENGTH <= offsets[row + 1])
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(m)]
+    starts = np.flatnonzero(np.arange(LENGTH, LENGTH + len(m)) <= offsets[1:][row])
     if not len(starts):
         return none
     at, row = (m[starts] & low).astype(np.int64), row[starts]
@@ -77,97 +78,95 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def suffix_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted suffixes of sorted distinct strings with their ends: string and offset of each, and its preceding symbol.
+    """Sorted suffixes of sorted strings with their ends: string and offset of each, and its preceding symbol.
 
-    Symbols are bytes plus 1; an end is 0 and ends are ordered by string. The
-    symbol before a whole string is its end.
+    Symbols are bytes plus 1 (UTF-8 has no byte above 0xF4); an end is 0, and
+    equal suffixes go by string. The symbol before a whole string is 0.
     """
     sizes = np.fromiter((len(s) + 1 for s in strings), np.int64, len(strings))
     first = np.cumsum(sizes) - sizes
-    ends = first + sizes - 1
-    text = np.zeros(int(sizes.sum()), np.int64)
-    body = np.ones(len(text), bool)
-    body[ends] = False
-    text[body] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int64) + 1
-    rank = text + len(strings)
-    rank[ends] = np.arange(len(strings))
-    _, rank = np.unique(rank, return_inverse=True)
-    step = 1
-    while True:
-        after = np.full(len(text), -1, np.int64)
-        after[:-step] = rank[step:] if step < len(text) else after[:-step]
-        key = rank.astype(np.int64) * (len(text) + 1) + after + 1
+    text = np.frombuffer(b"\xff".join(strings) + b"\xff", np.uint8) + np.uint8(1)
+    left = np.repeat(first + sizes, sizes) - np.arange(len(text))  # symbols to the end of the string, end included
+    key = np.zeros(len(text), np.int64)
+    for k in range(7):
+        key <<= 8
+        key[: len(text) - k] |= np.where(left[: len(text) - k] > k, text[k:], 0)
+    order = np.argsort(key, kind="stable")
+    rank = np.empty(len(text), np.int64)
+    rank[order] = np.cumsum(np.r_[0, key[order][1:] != key[order][:-1]])
+    depth = 7
+    while depth < sizes.max() and rank[order[-1]] < len(text) - 1:
+        after = np.zeros(len(text), np.int64)
+        after[:-depth] = np.where(left[:-depth] > depth, rank[depth:] + 1, 0)
+        key = rank * (len(text) + 1) + after
         order = np.argsort(key, kind="stable")
-        changed = np.r_[False, key[order][1:] != key[order][:-1]]
-        rank = np.empty(len(text), np.int64)
-        rank[order] = np.cumsum(changed)
-        if rank[order[-1]] == len(text) - 1:
-            break
-        step *= 2
+        rank[order] = np.cumsum(np.r_[0, key[order][1:] != key[order][:-1]])
+        depth *= 2
     string = np.repeat(np.arange(len(strings)), sizes)
-    before = np.r_[0, text[:-1]]
-    before[first] = 0
-    return string[order], order - first[string[order]], before[order].astype(np.uint16)
+    before = np.r_[np.uint8(0), text[:-1]]
+    return string[order], order - first[string[order]], before[order]
 
 
 def merged_blocks(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of sorted suffixes of several shards, and block numbers of equal ``depth``-symbol prefixes.
-
-    ``transforms`` are the shards' Burrows-Wheeler transforms. From the order
-    by h symbols follows the order by h + 1: pass over the merged transform
-    and deal each entry to the place of its symbol, keeping the order. No
-    suffix is looked at again. An entry opens a new block if its symbol or the
-    block it came from differs from its neighbour's; the round where two
-    neighbours part is their common prefix, and what has not parted after
-    ``depth`` rounds is repeated.
+    """Rows of several shards' transforms in merged order, and numbers of the blocks that share ``depth`` symbols.
+
+    ``transforms`` are Burrows-Wheeler transforms; rows are numbered through
+    all shards. The interleave by h symbols gives the one by h + 2: pass over
+    the merged transform, deal each row to the place of the two symbols that
+    precede its suffix, keeping the order, and step from the row to the one
+    they lead to in its own shard. No suffix is looked at again. A row opens a
+    new block if its symbols or the block it came from differ from its
+    neighbour's: that round bounds their common prefix. A row alone in its
+    block can't be extended to a repeat, and is left out from then on; so is
+    one before a string's start.
     """
-    of = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(t) for t in transforms])
-    block = np.zeros(len(of), np.int32)
-    symbols = np.empty(len(of), np.uint16)
-    for _ in range(depth):
-        for s, t in enumerate(transforms):
-            symbols[of == s] = t
-        dealt = np.argsort(symbols, kind="stable")
-        of, symbols_in, was = of[dealt], symbols[dealt], block[dealt]
-        block = np.zeros(len(of), np.int32)
-        np.cumsum((symbols_in[1:] != symbols_in[:-1]) | (was[1:] != was[:-1]), out=block[1:])
-    return of, block
+    if depth % 2:
+        raise ValueError("the depth must be even: a round adds two symbols")
+    symbols = np.concatenate(transforms)
+    step = np.empty(len(symbols), np.int32)
+    at = 0
+    for t in transforms:
+        step[at + np.argsort(t, kind="stable")] = np.arange(at, at + len(t))
+        at += len(t)
+    further = symbols[step]
+    pairs = np.where((symbols > 0) & (further > 0), further.astype(np.uint16) << 8 | symbols, np.uint16(0))
+    step = step[step]
+    rows_, block = np.arange(len(symbols), dtype=np.int32), np.zeros(len(symbols), np.int32)
+    for _ in range(depth // 2):
+        read = pairs[rows_]
+        inside = np.flatnonzero(read)
+        dealt = inside[np.argsort(read[inside], kind="stable")]
+        if not len(dealt):
+            return np.zeros(0, np.int32), np.zeros(0, np.int32)
+        rows_, read, block = step[rows_[dealt]], read[dealt], block[dealt]
+        opens = np.ones(len(dealt) + 1, bool)
+        opens[1:-1] = (read[1:] != read[:-1]) | (block[1:] != block[:-1])
+        shared = np.flatnonzero(~(opens[:-1] & opens[1:]))
+        rows_, block = rows_[shared], np.cumsum(opens[:-1], dtype=np.int32)[shared]
+    return rows_, block
 
 
 def repeated_windows(segments: list[bytes], docs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Segment and offset of each LENGTH-byte window that occurs earlier, at a smaller (doc, start)."""
-    shards: list[list[int]] = [[] for _ in range(SHARDS)]
-    for i, d in enumerate(docs.tolist()):
-        shards[d % SHARDS].append(i)
     transforms, owners, places = [], [], []
-    for members in shards:
-        if not members:
-            continue
-        by_text: dict[bytes, list[int]] = {}
-        for i in members:
-            by_text.setdefault(segments[i], []).append(i)
-        strings = sorted(by_text)
-        string, place, transform = suffix_order(strings)
-        transforms.append(transform)
-        owners.append(np.array([by_text[s][0] for s in strings])[string])
-        places.append(place)
-    of, block = merged_blocks(transforms, LENGTH)
-    owner, place = np.empty(len(of), np.int64), np.empty(len(of), np.int64)
-    for s in range(len(transforms)):
-        owner[of == s], place[of == s] = owners[s], places[s]
-    sizes = np.fromiter((len(s) for s in segments), np.int64, len(segments))
-    whole = np.flatnonzero(place + LENGTH <= sizes[owner])
-    owner, place, block = owner[whole], place[whole], block[whole]
-    order = np.lexsort((starts[owner] + place, docs[owner], block))
-    owner, place, block = owner[order], place[order], block[order]
-    later = np.r_[False, block[1:] == block[:-1]] if len(block) else np.zeros(0, bool)
-    # windows of one document at one place are one window, told by two segments
-    same = np.r_[False, (docs[owner][1:] == docs[owner][:-1]) & ((starts[owner] + place)[1:] == (starts[owner] + place)[:-1])] if len(block) else later
-    group = np.cumsum(~later) - 1
-    lead = np.flatnonzero(~later)
-    leads = lead[group] if len(group) else group
-    first = (docs[owner] == docs[owner][leads]) & ((starts[owner] + place) == (starts[owner] + place)[leads]) if len(group) else same
-    return owner[~first], place[~first]
+    for shard in range(SHARDS):
+        members = sorted(np.flatnonzero(docs % SHARDS == shard).tolist(), key=segments.__getitem__)
+        if members:
+            string, place, transform = suffix_order([segments[i] for i in members])
+            transforms.append(transform)
+            owners.append(np.array(members)[string])
+            places.append(place)
+    found, block = merged_blocks(transforms, LENGTH)
+    owner, place = np.concatenate(owners)[found], np.concatenate(places)[found]
+    where = starts[owner] + place
+    order = np.lexsort((where, docs[owner], block))
+    owner, place, where, block = owner[order], place[order], where[order], block[order]
+    if not len(block):
+        return owner, place
+    lead = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+    lead = np.repeat(lead, np.diff(np.r_[lead, len(block)]))
+    later = (docs[owner] != docs[owner][lead]) | (where != where[lead])
+    return owner[later], place[later]
 
 
 def _runs(places: np.ndarray) -> tuple[list[int], list[int]]:
@@ -177,9 +176,15 @@ def _runs(places: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``d`` (the id, null last), ``th`` (hash of the text) and ``text``: what tells documents apart here."""
+    """``d`` (the id, null last), ``th`` and ``text``: what tells documents apart here.
+
+    ``th`` is a hash of the text where some id occurs twice, else 0.
+    """
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.xxhash64(text).alias("th"), text.alias("text"))
+    d = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    alone = docs.select(d.alias("d")).groupBy("d").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    th = F.lit(0).cast("long") if alone else F.xxhash64(text)
+    return docs.select("doc_id", d.alias("d"), th.alias("th"), text.alias("text"))
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -189,115 +194,150 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
         yield batch, data[lo : int(offsets[-1])], offsets - lo
 
 
-def _bitmap(docs: DataFrame) -> np.ndarray:
-    """Bits of the anchors that occur twice or more in all of ``docs``; the driver gets 8 MB at most."""
+def _bits(hashes: DataFrame) -> np.ndarray:
+    """A bitmap with the high bits of each value of ``h`` set; 8 MB at most reach the driver."""
+    place = F.shiftrightunsigned("h", 64 - BITMAP_BITS)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - BITMAP_BITS}) % 64 as int))")
+    words = hashes.select(F.shiftright(place, 6).cast("int").alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def _in_bits(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    place = hashes >> np.uint64(64 - BITMAP_BITS)
+    return np.flatnonzero((bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1))
+
+
+def repeated_anchors(docs: DataFrame) -> DataFrame:
+    """``h`` of the anchors that occur twice or more in all of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, offsets in _batches(batches):
             hashes, counts = np.unique(anchors(data, offsets)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(np.minimum(counts, 2).astype(np.int32))], ["h", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
-    place = F.shiftrightunsigned("h", 64 - BITMAP_BITS)
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - BITMAP_BITS}) % 64 as int))")
-    words = counted.select(F.shiftright(place, 6).cast("int").alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
-    out[words["word"].to_numpy()] = words["bits"].to_numpy()
-    return out.view(np.uint64)
+    return docs.select("text").mapInArrow(run, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
 
 
-_OCCURRENCE = "d long, th long, s0 long, s1 long, h long, ka long, kb long, seg binary"
+_OCCURRENCE = "d long, th long, s0 int, span int, h long, k long"
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """Segments around anchors that may be repeated: where they are, a 128-bit key, and bytes for the first of a batch.
+    """Segments around anchors that may be repeated.
 
-    The bitmap lets every repeated anchor pass, and some others too, the more
-    the fuller it is; those form groups of one that come to nothing.
+    A segment is all windows of one anchor: window starts ``s0`` to ``s0 +
+    span``. ``h`` and ``k`` (hashes of the anchor, and of the segment with the
+    anchor's place in it) name its content. The bitmap lets every repeated
+    anchor pass, and others too, the more the fuller it is; those are alone
+    and come to nothing.
     """
-    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(docs))
+    told = docs.sparkSession.sparkContext.broadcast(_bits(repeated_anchors(docs)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh64_intdigest
         for batch, data, offsets in _batches(batches):
             h, at, lo, hi, row = anchors(data, offsets)
-            place = h >> np.uint64(64 - BITMAP_BITS)
-            keep = np.flatnonzero((bitmap.value[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1))
+            keep = _in_bits(told.value, h)
             h, at, lo, hi, row = h[keep], at[keep], lo[keep], hi[keep], row[keep]
             raw = data.tobytes()
+            keys = [digest(raw[a:b], c) for a, b, c in zip(lo.tolist(), (hi + LENGTH).tolist(), (at - lo).tolist())]
             d, th = (batch.column(k).to_numpy(zero_copy_only=False)[row] for k in (0, 1))
-            s0, s1 = lo - offsets[row], hi - offsets[row]
-            order = np.lexsort((s0, d))
-            segs: list[bytes | None] = [None] * len(h)
-            digests = [b""] * len(h)
-            seen: set[bytes] = set()
-            begin, end, back = lo.tolist(), (hi + LENGTH).tolist(), (at - lo).tolist()
-            for i in order.tolist():
-                seg = raw[begin[i] : end[i]]
-                digests[i] = key = xxhash.xxh3_128_digest(seg, back[i])
-                if key not in seen:
-                    seen.add(key)
-                    segs[i] = seg
-            keys = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            columns = [d, th, s0, s1, h.view(np.int64), np.ascontiguousarray(keys[:, 0]), np.ascontiguousarray(keys[:, 1])]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(segs, pa.binary())], [f.split()[0] for f in _OCCURRENCE.split(", ")])
+            columns = [d, th, (lo - offsets[row]).astype(np.int32), (hi - lo).astype(np.int32), h.view(np.int64), np.array(keys, np.uint64).view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [f.split()[0] for f in _OCCURRENCE.split(", ")])
 
-    return docs.mapInArrow(run, _OCCURRENCE)
+    return docs.select("d", "th", "text").mapInArrow(run, _OCCURRENCE)
 
 
-_FLAGS = "crowd boolean, ka long, kb long, d long, s0 long, los array<int>, his array<int>, seg binary"
+def _place_hash(d: np.ndarray, s0: np.ndarray) -> np.ndarray:
+    x = d.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + s0.astype(np.uint64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+
+
+def segments_at(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """``h, k, d, s0, seg``: the bytes of the segments at the places ``d, s0``, and of some others."""
+
+    @F.arrow_udf("long")
+    def place(d: pa.Array, s0: pa.Array) -> pa.Array:
+        return pa.array(_place_hash(d.to_numpy(zero_copy_only=False), s0.to_numpy(zero_copy_only=False)).view(np.int64))
+
+    told = docs.sparkSession.sparkContext.broadcast(_bits(places.select(place("d", "s0").alias("h"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh64_intdigest
+        for batch, data, offsets in _batches(batches):
+            h, at, lo, hi, row = anchors(data, offsets)
+            d = batch.column(0).to_numpy(zero_copy_only=False)[row]
+            keep = _in_bits(told.value, _place_hash(d, lo - offsets[row]))
+            h, at, lo, hi, row, d = h[keep], at[keep], lo[keep], hi[keep], row[keep], d[keep]
+            raw = data.tobytes()
+            segs = [raw[a:b] for a, b in zip(lo.tolist(), (hi + LENGTH).tolist())]
+            keys = np.array([digest(s, c) for s, c in zip(segs, (at - lo).tolist())], np.uint64)
+            columns = [h.view(np.int64), keys.view(np.int64), d, (lo - offsets[row]).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(segs, pa.binary())], ["h", "k", "d", "s0", "seg"])
+
+    return docs.select("d", "th", "text").mapInArrow(run, "h long, k long, d long, s0 int, seg binary")
+
+
+_FLAGS = "crowd boolean, h long, k long, d long, s0 int, los array<int>, his array<int>, seg binary"
 
 
 def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeated windows of each distinct segment; rows come sorted by anchor.
+    """Repeated windows of each distinct segment; rows ``h, k, d, s0, seg`` come sorted by anchor.
 
-    Whole anchor groups are merged together up to CHUNK symbols. A group of
-    over CROWD segments is streamed on unsolved, marked ``crowd``.
+    Of rows with one key the earliest counts. Whole anchor groups are merged
+    together up to CHUNK symbols. A group of over CROWD segments is streamed
+    on unsolved, marked ``crowd``.
     """
-    held: list[tuple] = []
+    held: dict[int, tuple] = {}
     chunk: list[tuple] = []
     size = 0
     now, crowded = None, False
 
     def out(items: list[tuple]) -> pa.RecordBatch:
-        types = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary())
+        types = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary())
         columns = list(zip(*items)) or [()] * len(types)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [f.split()[0] for f in _FLAGS.split(", ")])
 
     def solved() -> pa.RecordBatch:
-        owner, place = repeated_windows([r[5] for r in chunk], np.array([r[3] for r in chunk]), np.array([r[4] for r in chunk]))
+        owner, place = repeated_windows([r[4] for r in chunk], np.array([r[2] for r in chunk]), np.array([r[3] for r in chunk]))
         order = np.argsort(owner, kind="stable")
         owner, place = owner[order], place[order]
         cut = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else owner
         items = []
         for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(owner)]):
-            r = chunk[owner[a]]
-            items.append((False, r[1], r[2], r[3], r[4], *_runs(place[a:b]), None))
+            items.append((False, *chunk[owner[a]][:4], *_runs(place[a:b]), None))
         return out(items)
 
     def close() -> None:
         nonlocal held, size
         if len(held) > 1:
-            chunk.extend(held)
-            size += sum(len(r[5]) for r in held)
-        held = []
+            chunk.extend(held.values())
+            size += sum(len(r[4]) for r in held.values())
+        held = {}
 
     for batch in batches:
         for r in zip(*(c.to_pylist() for c in batch.columns)):
             if r[0] != now:
+                if crowded and held:
+                    yield out([(True, *x[:4], None, None, x[4]) for x in held.values()])
+                    held = {}
                 close()
                 now, crowded = r[0], False
                 if size >= CHUNK:
                     yield solved()
                     chunk, size = [], 0
-            held.append(r)
-            if crowded or len(held) > CROWD:
+            known = held.get(r[1])
+            if known is None or r[2:4] < known[2:4]:
+                held[r[1]] = r
+            if crowded and len(held) > 256 or len(held) > CROWD:
                 crowded = True
-                if len(held) > 256:
-                    yield out([(True, *r[1:5], None, None, r[5]) for r in held])
-                    held = []
-    if crowded:
-        yield out([(True, *r[1:5], None, None, r[5]) for r in held])
-        held = []
+                yield out([(True, *x[:4], None, None, x[4]) for x in held.values()])
+                held = {}
+    if crowded and held:
+        yield out([(True, *x[:4], None, None, x[4]) for x in held.values()])
+        held = {}
     close()
     if chunk:
         yield solved()
@@ -312,40 +352,49 @@ def _crowd_windows(crowd: DataFrame) -> DataFrame:
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ka, kb, d, s0, seg in zip(*(c.to_pylist() for c in batch.columns)):
+            for h, k, d, s0, seg in zip(*(c.to_pylist() for c in batch.columns)):
                 n = len(seg) - LENGTH + 1
                 keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(seg[i : i + LENGTH]) for i in range(n)), np.int64).reshape(-1, 2)
-                same = [pa.array(np.full(n, v, np.int64)) for v in (ka, kb, d, s0)]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(n, dtype=np.int32)), pa.array(np.ascontiguousarray(keys[:, 0])), pa.array(np.ascontiguousarray(keys[:, 1]))], ["ka", "kb", "d", "s0", "i", "wa", "wb"])
+                same = [pa.array(np.full(n, v, t)) for v, t in ((h, np.int64), (k, np.int64), (d, np.int64), (s0, np.int32))]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(n, dtype=np.int32)), pa.array(np.ascontiguousarray(keys[:, 0])), pa.array(np.ascontiguousarray(keys[:, 1]))], ["h", "k", "d", "s0", "i", "wa", "wb"])
 
-    found = stage(crowd.select("ka", "kb", "d", "s0", "seg").mapInArrow(windows, "ka long, kb long, d long, s0 long, i int, wa long, wb long"), "crowd-windows")
+    first = crowd.groupBy("h", "k").agg(F.min(F.struct("d", "s0", "seg")).alias("f")).select("h", "k", "f.d", "f.s0", "f.seg")
+    found = stage(first.mapInArrow(windows, "h long, k long, d long, s0 int, i int, wa long, wb long"), "crowd-windows")
     place = F.struct("d", (F.col("s0") + F.col("i")).alias("s"))
-    first = stage(found.groupBy("wa", "wb").agg(F.min(place).alias("first")), "crowd-first")
-    later = found.join(first, ["wa", "wb"]).where((F.col("d") != F.col("first.d")) | (F.col("s0") + F.col("i") != F.col("first.s")))
-    one = F.sort_array(F.collect_set("i"))
-    return later.groupBy("ka", "kb", "d", "s0").agg(one.alias("los")).select("ka", "kb", "d", "s0", "los", F.col("los").alias("his"))
+    least = stage(found.groupBy("wa", "wb").agg(F.min(place).alias("least")), "crowd-first")
+    later = found.join(least, ["wa", "wb"]).where((F.col("d") != F.col("least.d")) | (F.col("s0") + F.col("i") != F.col("least.s")))
+    return later.groupBy("h", "k").agg(F.sort_array(F.collect_set("i")).alias("los")).select("h", "k", "los", F.col("los").alias("his"))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """``d, th, lo, hi``: bytes ``[lo, hi)`` of each document that lie in a LENGTH-byte string that starts earlier too."""
+    """``d, th, lo, hi``: bytes ``[lo, hi)`` of each document that lie in a LENGTH-byte string that starts earlier too.
+
+    Every occurrence of a segment but the first lies wholly in repeats. For
+    the first ones, those whose anchor has several segments are compared, by
+    merged transforms, window by window.
+    """
     ship(docs.sparkSession)
     found = stage(occurrences(docs), "occurrences")
-    distinct = found.where("seg is not null").groupBy("h", "ka", "kb", "seg").agg(F.min(F.struct("d", "s0")).alias("first"))
-    segments = distinct.select("h", "ka", "kb", F.col("first.d").alias("d"), F.col("first.s0").alias("s0"), "seg")
+    place = F.struct("d", "s0")
+    firsts = stage(found.groupBy("h", "k").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("n")).select("h", "k", F.col("f.d").alias("fd"), F.col("f.s0").alias("fs"), "n"), "firsts")
+    several = stage(firsts.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select(F.col("h").alias("hh")), "several")
+    places = stage(firsts.join(several, firsts["h"] == several["hh"], "left_semi").select(F.col("fd").alias("d"), F.col("fs").alias("s0")), "places")
+    release(docs.sparkSession)
+    segments = segments_at(docs, places)
     flags = stage(segments.repartition("h").sortWithinPartitions("h").mapInArrow(_solve, _FLAGS), "flags")
-    firsts = segments.select("ka", "kb", F.col("d").alias("fd"), F.col("s0").alias("fs"))
-    firsts = stage(firsts, "firsts")
-    partial = flags.where("not crowd").select("ka", "kb", "d", "s0", "los", "his")
+    partial = flags.where("not crowd").select("h", "k", "los", "his")
     crowd = flags.where("crowd")
     if not crowd.isEmpty():
         partial = partial.unionByName(_crowd_windows(crowd))
-    partial = stage(partial.select(F.col("ka").alias("pa"), F.col("kb").alias("pb"), "los", "his"), "partial")
-    told = stage(firsts.join(partial, (firsts["ka"] == partial["pa"]) & (firsts["kb"] == partial["pb"]), "left").drop("pa", "pb"), "told")
-    places = found.select("d", "th", "s0", "s1", F.col("ka").alias("oa"), F.col("kb").alias("ob"))
-    joined = places.join(told, (places["oa"] == told["ka"]) & (places["ob"] == told["kb"]))
+    partial = stage(partial.select(F.col("h").alias("ph"), F.col("k").alias("pk"), "los", "his"), "partial")
+    # a key of one place without a repeated window has nothing to tell
+    told = firsts.join(partial, (firsts["h"] == partial["ph"]) & (firsts["k"] == partial["pk"]), "left").where("n > 1 or los is not null")
+    told = stage(told.select(F.col("h").alias("th_"), F.col("k").alias("tk"), "fd", "fs", "los", "his"), "told")
+    release(docs.sparkSession)
+    joined = found.join(told, (found["h"] == told["th_"]) & (found["k"] == told["tk"]))
     is_first = (F.col("d") == F.col("fd")) & (F.col("s0") == F.col("fs"))
     own = F.arrays_zip("los", "his")
-    whole = F.array(F.struct(F.lit(0).alias("los"), (F.col("s1") - F.col("s0")).cast("int").alias("his")))
+    whole = F.array(F.struct(F.lit(0).alias("los"), F.col("span").alias("his")))
     marked = joined.select("d", "th", "s0", F.explode(F.when(is_first, own).otherwise(whole)).alias("r"))
     return marked.select("d", "th", (F.col("s0") + F.col("r.los")).alias("lo"), (F.col("s0") + F.col("r.his") + LENGTH).alias("hi"))
 
@@ -371,8 +420,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     keyed = _keyed(docs)
     spans = repeated_spans(keyed)
     per_doc = stage(spans.groupBy(F.col("d").alias("_d"), F.col("th").alias("_h")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
-    mine = docs.select("doc_id", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.coalesce("text", F.lit("")).alias("text"))
-    joined = mine.join(per_doc, (mine["d"] == per_doc["_d"]) & (mine["th"] == per_doc["_h"]), "left").select("doc_id", "spans", "text")
+    release(docs.sparkSession)
+    joined = keyed.join(per_doc, (keyed["d"] == per_doc["_d"]) & (keyed["th"] == per_doc["_h"]), "left").select("doc_id", "spans", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows(batches):
