@@ -248,40 +248,79 @@ def shingle_sets(docs: DataFrame, words: int = 5) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, shingles array<long>")
 
 
+#: Members of a component that are settled together in one task.
+TOGETHER = 256
+
+
+def _settled(words_near: float):
+    """Kernel over one component (``doc_id, comp, shingles``): each member goes that is near a smaller one that stays."""
+
+    def run(found: pa.Table) -> pa.Table:
+        found = found.sort_by("doc_id")
+        sets = [np.array(x, np.int64) for x in found["shingles"].to_pylist()]
+        stay: list[int] = []
+        gone: list[tuple[int, int]] = []
+        ids = found["doc_id"].to_pylist()
+        for i, own in enumerate(sets):
+            for k in stay:
+                if min(len(own), len(sets[k])) < words_near * max(len(own), len(sets[k])):
+                    continue
+                shared = len(np.intersect1d(own, sets[k], assume_unique=True))
+                if shared >= words_near * (len(own) + len(sets[k]) - shared):
+                    gone.append((ids[i], ids[k]))
+                    break
+            else:
+                stay.append(i)
+        return pa.table({"doc_id": pa.array([g for g, _ in gone], pa.int64()), "keep_id": pa.array([k for _, k in gone], pa.int64())})
+
+    return run
+
+
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 6) -> DataFrame:
     """``doc_id, keep_id`` of each row of ``docs`` that is a near copy of one that stays.
 
     Candidates are components of fingerprints over distinct words, where a few
-    changed words move few bits, within ``radius``. In each component the
-    smallest id leads; members whose sets of ``words``-word shingles have a
-    Jaccard similarity of ``similarity`` or more with the leader's are its
-    copies. The others are left for the next round with a leader of their own,
-    until all are settled: whatever goes has a near copy that stays. Texts of
-    fewer words are one shingle; texts without words have none and stay. A
-    row without ``doc_id`` stays; of rows that share an id the largest set counts.
+    changed words move few bits, within ``radius``. In a component a member
+    goes if its set of ``words``-word shingles has a Jaccard similarity of
+    ``similarity`` or more with that of a smaller id that stays. Components of
+    up to TOGETHER members are settled in one task each. Of a larger one about
+    half as many, chosen by hash, are settled first; those that stay are
+    compared with all others by a join, and what is left is counted anew. Texts of fewer words are one shingle; texts without words
+    have none and stay. A row without ``doc_id`` stays; of rows that share an
+    id the largest set counts.
     """
     prints = stage(fingerprints(docs.where("doc_id is not null"), 1, distinct=True).distinct(), "word-prints")
     comps = stage(components(prints, radius), "components")
     several = stage(comps.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("component_id").alias("comp")), "several")
-    members = stage(comps.join(several, comps["component_id"] == several["comp"]).select(F.col("doc_id").alias("member"), "comp"), "members")
+    members = stage(comps.join(several, comps["component_id"] == several["comp"]).select(F.col("doc_id").alias("member"), "comp").distinct(), "members")
     wanted = docs.select("doc_id", "text").join(members, F.col("doc_id") == F.col("member"), "left_semi")
     sets = shingle_sets(wanted, words).groupBy("doc_id").agg(F.max("shingles").alias("shingles"))
     open_ = stage(sets.join(members, sets["doc_id"] == members["member"]).select("doc_id", "comp", "shingles").where(F.size("shingles") > 0), "open")
-    out = None
+    out, turn = None, 0
     while True:
-        lead = open_.groupBy("comp").agg(F.min("doc_id").alias("lead"))
-        lead = stage(lead, "lead")
-        led = open_.join(lead.select(F.col("lead")), open_["doc_id"] == F.col("lead"))
-        led = stage(led.select(F.col("comp").alias("c"), "lead", F.col("shingles").alias("theirs")), "leaders")
-        both = open_.join(led, open_["comp"] == led["c"]).where("doc_id != lead")
-        shared = F.size(F.array_intersect("shingles", "theirs"))
-        near = shared >= similarity * (F.size("shingles") + F.size("theirs") - shared)
-        decided = stage(both.select("doc_id", "comp", "lead", near.alias("near"), F.when(~near, F.col("shingles")).alias("shingles")), "decided")
-        found = decided.where("near").select("doc_id", F.col("lead").alias("keep_id"))
+        counted = open_.groupBy(F.col("comp").alias("c")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lead"))
+        counted = stage(counted.where("n > 1"), "counted")
+        small = counted.where(F.col("n") <= TOGETHER)
+        mine = open_.join(small, open_["comp"] == small["c"], "left_semi")
+        found = stage(mine.groupBy("comp").applyInArrow(_settled(similarity), "doc_id long, keep_id long"), "settled")
         out = found if out is None else out.unionByName(found)
-        open_ = decided.where("not near").select("doc_id", "comp", "shingles")
-        if open_.isEmpty():
+        large = counted.where(F.col("n") > TOGETHER)
+        if large.isEmpty():
             return out
+        # of each larger component a hashed share settles first, and judges the rest
+        parts = F.ceil(F.col("n") / (TOGETHER / 2))
+        share = F.pmod(F.xxhash64("doc_id", F.lit(turn)), parts) == 0
+        dealt = stage(open_.join(large, open_["comp"] == large["c"]).select("doc_id", "comp", "shingles", (share | (F.col("doc_id") == F.col("lead"))).alias("now")), "dealt")
+        some, rest = dealt.where("now").drop("now"), dealt.where("not now").drop("now")
+        first = stage(some.groupBy("comp").applyInArrow(_settled(similarity), "doc_id long, keep_id long"), "settled")
+        judges = stage(some.join(first, "doc_id", "left_anti").select(F.col("comp").alias("c"), F.col("doc_id").alias("judge"), F.col("shingles").alias("theirs")), "judges")
+        shared = F.size(F.array_intersect("shingles", "theirs"))
+        near = shared >= similarity * (F.size("shingles") + F.size("theirs") - shared)
+        told = rest.join(judges, rest["comp"] == judges["c"]).where(near)
+        told = stage(told.groupBy("doc_id").agg(F.min("judge").alias("keep_id")), "told")
+        out = out.unionByName(first).unionByName(told)
+        open_ = stage(rest.join(told, "doc_id", "left_anti"), "open")
+        turn += 1
 
 
 def without_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 6) -> DataFrame:

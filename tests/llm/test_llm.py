@@ -270,7 +270,9 @@ def test_masks_cover():
         simhash.covering_masks(7)
 
 
-def test_near_copies(docs):
+@pytest.mark.parametrize("together", [256, 1])
+def test_near_copies(docs, monkeypatch, together):
+    monkeypatch.setattr(simhash, "TOGETHER", together)
     kept = {r["doc_id"] for r in simhash.without_near_copies(docs).collect()}
     told = {r["doc_id"]: r["keep_id"] for r in simhash.near_copies(docs).collect()}
     assert kept == set(TEXT) - set(told)
