@@ -7,10 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genloom.llm.common import rows, texts
+from genloom.llm.exact_dedup import routed
 from genloom.session import ship, stage, table
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -235,95 +236,234 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
 
+def node_of(docs: DataFrame) -> Column:
+    """Names a row by its ``doc_id`` and text, so different texts that share an id stay apart."""
+    return F.xxhash64(docs["doc_id"], F.coalesce(docs["text"], F.lit("")))
+
+
 def shingle_sets(docs: DataFrame, words: int = 5) -> DataFrame:
-    """``doc_id`` and ``shingles``: the distinct shingle hashes of every row."""
+    """``node`` and ``shingles``, the distinct shingle hashes, of every row of ``node, text``."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows(batches, 2 << 20):
             sets = [np.unique(shingle_hashes(t.encode(), words)).view(np.int64) for t in batch.column(1).to_pylist()]
             ends = np.cumsum([0, *map(len, sets)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))], ["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))], ["node", "shingles"])
+
+    return docs.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
+
+
+#: Share of all shingle hashes that the first pass looks at. It is more than a
+#: near copy may miss, so a text without repeats elsewhere is told apart by it.
+LOOKED = 0.4
+
+
+def least_shared(n: np.ndarray, similarity: float) -> np.ndarray:
+    """Shingles that a set of ``n`` has in common, at least, with any of Jaccard similarity ``similarity`` or more."""
+    return np.ceil(similarity * n - 1e-6).astype(np.int64)
+
+
+def _sampled(words: int, similarity: float):
+    """Kernel over ``node, text``: ``h, node, need`` of the shingles looked at; ``need`` of them must be repeated."""
+    edge = np.uint64(int(LOOKED * 2**64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows(batches, 2 << 20):
+            out: list[tuple[np.ndarray, int, int]] = []
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = np.unique(shingle_hashes(text.encode(), words))
+                if not len(own):
+                    continue
+                seen = own[: np.searchsorted(own, edge)].view(np.int64)
+                need = len(seen) - (len(own) - int(least_shared(len(own), similarity)))
+                # a set that these shingles cannot rule out says its name twice, which counts as repeated
+                out.append((seen, node, need) if need > 0 else (np.array([node, node], np.int64), node, 0))
+            sizes = [len(h) for h, _, _ in out]
+            if sizes:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([h for h, _, _ in out])), *(pa.array(np.repeat(np.array([o[k] for o in out], np.int64), sizes)) for k in (1, 2))],
+                    ["h", "node", "need"],
+                )
+
+    return run
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``node, need, n``: of rows ``h, node, need`` sorted by ``h``, how many of a node have an ``h`` that another row has."""
+    held, same = [np.zeros(0, np.int64)] * 3, np.zeros(0, bool)
+
+    def told(node: np.ndarray, need: np.ndarray) -> pa.RecordBatch:
+        each, at, n = np.unique(node, return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(each), pa.array(need[at]), pa.array(n)], ["node", "need", "n"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h, node, need = (np.r_[x, batch.column(k).to_numpy(zero_copy_only=False)] for k, x in enumerate(held))
+        equal = h[1:] == h[:-1]
+        before = np.r_[same if len(same) else False, equal]
+        ours = (before | np.r_[equal, False])[:-1]
+        yield told(node[:-1][ours], need[:-1][ours])
+        held, same = [h[-1:], node[-1:], need[-1:]], before[-1:]
+    if len(same) and same[0]:
+        yield told(held[1], held[2])
 
-    return texts(docs).mapInArrow(run, "doc_id long, shingles array<long>")
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``node, n, h, df`` of rows ``h, node, n`` sorted by ``h`` whose ``h`` occurs ``df`` > 1 times."""
+    held = [np.zeros(0, np.int64)] * 3
+
+    def told(h: np.ndarray, node: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
+        sizes = np.diff(np.r_[starts, len(h)])
+        df = np.repeat(sizes, sizes)
+        several = df > 1
+        return pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (node, n, h, df)], ["node", "n", "h", "df"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [np.r_[x, batch.column(k).to_numpy(zero_copy_only=False)] for k, x in enumerate(held)]
+        last = int(np.searchsorted(now[0], now[0][-1]))
+        yield told(*(x[:last] for x in now))
+        held = [x[last:] for x in now]
+    yield told(*held)
+
+
+def _chained(similarity: float):
+    """Kernel over ``h, n, node`` sorted by ``h, n``: links each node to the first of its ``h`` that like sizes lead to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h, n, node = (np.r_[x, batch.column(k).to_numpy(zero_copy_only=False)] for k, x in enumerate(held))
+            starts = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (n[:-1] < similarity * n[1:] - 1e-6)])
+            first = np.repeat(node[starts], np.diff(np.r_[starts, len(h)]))
+            linked = np.unique(np.stack([node, first], 1)[node != first], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(linked[:, 0].copy()), pa.array(linked[:, 1].copy())], ["a", "b"])
+            held = [h[-1:], n[-1:], first[-1:]]
+
+    return run
+
+
+def _by(frame: DataFrame, *more: str) -> DataFrame:
+    return frame.repartition("h").sortWithinPartitions("h", *more)
+
+
+def candidates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """``a, b``, links that connect all pairs of ``similarity`` or more, and ``node, shingles`` of their ends; of rows ``node, text``.
+
+    No pair is lost. A set has ``least_shared`` shingles or more in common with
+    a near one, so all sets go that have fewer repeated ones, first by a fixed
+    share of the hashes, then by all. With shingles in one order for all sets,
+    rare ones first, two near sets also have one in common among the first
+    ``n - least_shared + 1`` of each; sets that have, and between whose sizes
+    others of that shingle lead in steps of ``similarity`` or more, are linked.
+    """
+    ship(docs.sparkSession)
+    looked = docs.select("node", "text").mapInArrow(_sampled(words, similarity), "h long, node long, need long")
+    partly = _by(looked).mapInArrow(_repeated, "node long, need long, n long")
+    open_ = partly.groupBy("node", "need").agg(F.sum("n").alias("n")).where("n >= need").select(F.col("node").alias("fingerprint")).distinct()
+    open_ = stage(open_, "repeating")
+    # the bitmap of fixed size spares the texts of all others a shuffle
+    some = routed(docs.select("node", "text"), "node", open_)
+    some = some.join(open_, some["node"] == open_["fingerprint"], "left_semi").dropDuplicates(["node"])
+    sets = stage(shingle_sets(some, words), "sets")
+    each = sets.select(F.explode("shingles").alias("h"), "node", F.size("shingles").cast("long").alias("n"))
+    shared = _by(each).mapInArrow(_shared, "node long, n long, h long, df long")
+    least = F.ceil(similarity * F.col("n") - 1e-6)
+    ordered = shared.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("found")).where(F.size("found") >= least)
+    first = F.slice("found", F.lit(1), (F.size("found") - least + 1).cast("int"))
+    prefixes = ordered.select("node", "n", F.explode(first).alias("f")).select(F.col("f")["h"].alias("h"), "n", "node")
+    return stage(_by(prefixes, "n").mapInArrow(_chained(similarity), "a long, b long").distinct(), "near-links"), sets
 
 
 #: Members of a component that are settled together in one task.
 TOGETHER = 256
 
 
-def _settled(words_near: float):
-    """Kernel over one component (``doc_id, comp, shingles``): each member goes that is near a smaller one that stays."""
+def _settled(similarity: float):
+    """Kernel over one component (``node, doc_id, comp, shingles``): each member goes that is near a smaller node that stays."""
 
     def run(found: pa.Table) -> pa.Table:
-        found = found.sort_by("doc_id")
-        sets = [np.array(x, np.int64) for x in found["shingles"].to_pylist()]
+        found = found.sort_by("node")
+        column = found["shingles"].combine_chunks()
+        column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+        values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+        sets = [values[lo:hi] for lo, hi in zip(ends[:-1], ends[1:])]
         stay: list[int] = []
-        gone: list[tuple[int, int]] = []
-        ids = found["doc_id"].to_pylist()
+        gone: list[tuple[int, int, int]] = []
+        ids, nodes = found["doc_id"].to_pylist(), found["node"].to_pylist()
         for i, own in enumerate(sets):
             for k in stay:
-                if min(len(own), len(sets[k])) < words_near * max(len(own), len(sets[k])):
+                if min(len(own), len(sets[k])) < similarity * max(len(own), len(sets[k])) - 1e-6:
                     continue
                 shared = len(np.intersect1d(own, sets[k], assume_unique=True))
-                if shared >= words_near * (len(own) + len(sets[k]) - shared):
-                    gone.append((ids[i], ids[k]))
+                if shared >= similarity * (len(own) + len(sets[k]) - shared):
+                    gone.append((nodes[i], ids[i], ids[k]))
                     break
             else:
                 stay.append(i)
-        return pa.table({"doc_id": pa.array([g for g, _ in gone], pa.int64()), "keep_id": pa.array([k for _, k in gone], pa.int64())})
+        return pa.table({name: pa.array([g[k] for g in gone], pa.int64()) for k, name in enumerate(("node", "doc_id", "keep_id"))})
 
     return run
 
 
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 6) -> DataFrame:
-    """``doc_id, keep_id`` of each row of ``docs`` that is a near copy of one that stays.
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``node, doc_id, keep_id`` of each row of ``docs`` that is a near copy of one that stays.
 
-    Candidates are components of fingerprints over distinct words, where a few
-    changed words move few bits, within ``radius``. In a component a member
-    goes if its set of ``words``-word shingles has a Jaccard similarity of
-    ``similarity`` or more with that of a smaller id that stays. Components of
-    up to TOGETHER members are settled in one task each. Of a larger one about
-    half as many, chosen by hash, are settled first; those that stay are
-    compared with all others by a join, and what is left is counted anew. Texts of fewer words are one shingle; texts without words
-    have none and stay. A row without ``doc_id`` stays; of rows that share an
-    id the largest set counts.
+    One rule, whatever the number of near copies: in order of ``node_of``, a
+    hash of ``doc_id`` and text, each row goes whose set of ``words``-word
+    shingles has a Jaccard similarity of ``similarity`` or more with that of an
+    earlier one that stays. ``candidates`` connects all such pairs.
+    Components of up to TOGETHER members are settled in one task each. Of a
+    larger one about half as many, the first in order, are settled; those that
+    stay are compared with all others by a join, and what is left is counted
+    anew, which comes to the same. Texts of fewer words are one shingle; texts
+    without words have none and stay. A row without ``doc_id`` stays; texts
+    that share an id are judged each by itself.
     """
-    prints = stage(fingerprints(docs.where("doc_id is not null"), 1, distinct=True).distinct(), "word-prints")
-    comps = stage(components(prints, radius), "components")
-    several = stage(comps.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("component_id").alias("comp")), "several")
-    members = stage(comps.join(several, comps["component_id"] == several["comp"]).select(F.col("doc_id").alias("member"), "comp").distinct(), "members")
-    wanted = docs.select("doc_id", "text").join(members, F.col("doc_id") == F.col("member"), "left_semi")
-    sets = shingle_sets(wanted, words).groupBy("doc_id").agg(F.max("shingles").alias("shingles"))
-    open_ = stage(sets.join(members, sets["doc_id"] == members["member"]).select("doc_id", "comp", "shingles").where(F.size("shingles") > 0), "open")
-    out, turn = None, 0
+    named = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), node_of(docs).alias("node"))
+    edges, sets = candidates(named, words, similarity)
+    kind = "node long, doc_id long, keep_id long"
+    if edges.isEmpty():
+        return docs.sparkSession.createDataFrame([], kind)
+    labels = connected(edges).select(F.col("node").alias("member"), F.col("label").alias("comp"))
+    ids = routed(named.select("node", "doc_id"), "node", labels.select(F.col("member").alias("fingerprint")))
+    members = stage(ids.distinct().join(labels, F.col("node") == F.col("member")).select("member", "doc_id", "comp"), "members")
+    open_ = stage(sets.join(members, sets["node"] == members["member"]).select("node", "doc_id", "comp", "shingles"), "open")
+    out = None
     while True:
-        counted = open_.groupBy(F.col("comp").alias("c")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lead"))
+        counted = open_.groupBy(F.col("comp").alias("c")).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead"))
         counted = stage(counted.where("n > 1"), "counted")
         small = counted.where(F.col("n") <= TOGETHER)
         mine = open_.join(small, open_["comp"] == small["c"], "left_semi")
-        found = stage(mine.groupBy("comp").applyInArrow(_settled(similarity), "doc_id long, keep_id long"), "settled")
+        found = stage(mine.groupBy("comp").applyInArrow(_settled(similarity), kind), "settled")
         out = found if out is None else out.unionByName(found)
         large = counted.where(F.col("n") > TOGETHER)
         if large.isEmpty():
             return out
-        # of each larger component a hashed share settles first, and judges the rest
+        # of each larger component the first nodes settle, as many as even hashes put there, and judge the rest
         parts = F.ceil(F.col("n") / (TOGETHER / 2))
-        share = F.pmod(F.xxhash64("doc_id", F.lit(turn)), parts) == 0
-        dealt = stage(open_.join(large, open_["comp"] == large["c"]).select("doc_id", "comp", "shingles", (share | (F.col("doc_id") == F.col("lead"))).alias("now")), "dealt")
+        lead = F.col("lead").cast("double")
+        now = F.col("node").cast("double") <= lead + (F.lit(2.0**63) - lead) / parts
+        dealt = stage(open_.join(large, open_["comp"] == large["c"]).select("node", "doc_id", "comp", "shingles", now.alias("now")), "dealt")
         some, rest = dealt.where("now").drop("now"), dealt.where("not now").drop("now")
-        first = stage(some.groupBy("comp").applyInArrow(_settled(similarity), "doc_id long, keep_id long"), "settled")
-        judges = stage(some.join(first, "doc_id", "left_anti").select(F.col("comp").alias("c"), F.col("doc_id").alias("judge"), F.col("shingles").alias("theirs")), "judges")
+        first = stage(some.groupBy("comp").applyInArrow(_settled(similarity), kind), "settled")
+        judges = stage(some.join(first, "node", "left_anti").select(F.col("comp").alias("c"), F.col("node").alias("judge"), F.col("doc_id").alias("judge_id"), F.col("shingles").alias("theirs")), "judges")
+        least, most = F.least(F.size("shingles"), F.size("theirs")), F.greatest(F.size("shingles"), F.size("theirs"))
         shared = F.size(F.array_intersect("shingles", "theirs"))
-        near = shared >= similarity * (F.size("shingles") + F.size("theirs") - shared)
+        near = (least >= similarity * most - 1e-6) & (shared >= similarity * (F.size("shingles") + F.size("theirs") - shared))
         told = rest.join(judges, rest["comp"] == judges["c"]).where(near)
-        told = stage(told.groupBy("doc_id").agg(F.min("judge").alias("keep_id")), "told")
+        told = stage(told.groupBy("node", "doc_id").agg(F.min_by("judge_id", "judge").alias("keep_id")), "told")
         out = out.unionByName(first).unionByName(told)
-        open_ = stage(rest.join(told, "doc_id", "left_anti"), "open")
-        turn += 1
+        open_ = stage(rest.join(told, "node", "left_anti"), "open")
 
 
-def without_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 6) -> DataFrame:
+def without_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs``, all columns, without the rows that ``near_copies`` tells."""
-    gone = stage(near_copies(docs, words, similarity, radius).select(F.col("doc_id").alias("_gone")).distinct(), "near-copies")
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = stage(near_copies(docs, words, similarity).select(F.col("node").alias("_gone")).distinct(), "near-copies")
+    return docs.join(gone, docs["doc_id"].isNotNull() & (node_of(docs) == gone["_gone"]), "left_anti")

@@ -287,6 +287,36 @@ def test_near_copies(docs, monkeypatch, together):
             assert (i in kept) + (copy + 1 in kept) <= 1
 
 
+@pytest.mark.parametrize("together", [256, 4])
+def test_near_copies_by_brute_force(spark, monkeypatch, together):
+    """Short texts with a few words changed: fingerprints lie far apart, sets of shingles do not."""
+    monkeypatch.setattr(simhash, "TOGETHER", together)
+    rng = random.Random(17)
+    texts = []
+    for k in range(40):
+        base = [f"{rng.choice('abcdefgh')}{rng.randrange(400)}" for _ in range(rng.randint(30, 120))]
+        texts.append(" ".join(base))
+        for _ in range(12 if k == 0 else 2):
+            changed = list(base)
+            for _ in range(rng.randint(1, max(1, len(base) // 40))):
+                at = rng.randrange(len(base))
+                changed[at : at + rng.choice([0, 1, 1])] = [f"new{rng.randrange(10**6)}"]
+            texts.append(" ".join(changed))
+    df = spark.createDataFrame([(i % 100, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    nodes = {(r["doc_id"], r["text"]): r["node"] for r in df.select("doc_id", "text", simhash.node_of(df).alias("node")).collect()}
+    sets = {key: set(simhash.shingle_hashes(key[1].encode(), 5).tolist()) for key in nodes}
+    near = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    keys = sorted(nodes, key=nodes.get)
+    pairs = [(a, b) for i, a in enumerate(keys) for b in keys[:i] if near(a, b)]
+    prints = {k: print_of(k[1], 1) for k in keys}
+    assert sum((prints[a] ^ prints[b]).bit_count() > 6 for a, b in pairs) >= 5
+    stay = []
+    for key in keys:
+        if not any(near(key, s) for s in stay):
+            stay.append(key)
+    assert sorted((r["doc_id"], r["text"]) for r in simhash.without_near_copies(df).collect()) == sorted(stay)
+
+
 def test_simhash_odd(odd, docs):
     assert simhash.near_groups(odd).count() == 7
     assert simhash.near_groups(empty(docs)).count() == 0
