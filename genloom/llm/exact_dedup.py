@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -204,8 +205,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     )
     if twice.isEmpty():
         return kept
-    same = kept["doc_id"].eqNullSafe(twice["_d"]) & (F.sha2(squeezed(F.coalesce(kept["text"], F.lit(""))), 256) == twice["_s"])
-    once = kept.join(twice, same, "left_semi").dropDuplicates(["doc_id"])
+    sha = F.sha2(squeezed(F.coalesce(kept["text"], F.lit(""))), 256)
+    same = kept["doc_id"].eqNullSafe(twice["_d"]) & (sha == twice["_s"])
+    # different texts under one id stay, so the text counts as well as the id
+    mark = f"_sha-{uuid.uuid4().hex}"
+    once = kept.join(twice, same, "left_semi").withColumn(mark, F.sha2(squeezed(F.coalesce("text", F.lit(""))), 256)).dropDuplicates(["doc_id", mark]).drop(mark)
     return kept.join(twice, same, "left_anti").unionByName(once)
 
 

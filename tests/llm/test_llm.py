@@ -317,6 +317,19 @@ def test_near_copies_by_brute_force(spark, monkeypatch, together):
     assert sorted((r["doc_id"], r["text"]) for r in simhash.without_near_copies(df).collect()) == sorted(stay)
 
 
+def test_near_copies_that_share_an_id(spark):
+    """A text of its own stays, though another of the same id is a near copy."""
+    words = [f"w{k}" for k in range(60)]
+    near, other = " ".join(words), " ".join(f"o{k}" for k in range(60))
+    rows = [(1, near), (5, near + " more"), (5, other), (5, other), (None, near), (None, other)]
+    out = simhash.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    left = [(r["doc_id"], r["text"]) for r in out]
+    assert left.count((5, other)) == 2
+    assert {(None, near), (None, other)} <= set(left)
+    assert ((1, near) in left) + ((5, near + " more") in left) == 1
+    assert len(left) == 5
+
+
 def test_simhash_odd(odd, docs):
     assert simhash.near_groups(odd).count() == 7
     assert simhash.near_groups(empty(docs)).count() == 0
@@ -458,6 +471,15 @@ def test_exact_odd(odd, docs):
     assert exact_dedup.deduplicated(empty(docs)).count() == 0
 
 
+def test_exact_repeats_under_one_id(spark):
+    """Several repeated texts of one id, null or not, leave one row each."""
+    rows = [(i, t) for i in (None, 5) for t in ("A", "A", "B", "B", "c d", "c  d")] + [(7, "E"), (7, "F"), (7, "F")]
+    df = spark.createDataFrame([(None if i is None else i, f"{i} {t}") for i, t in rows], "doc_id long, text string")
+    out = exact_dedup.deduplicated(df)
+    assert sorted((str(r["doc_id"]), SPACE.sub(" ", r["text"])) for r in out.collect()) == sorted({(str(i), SPACE.sub(" ", f"{i} {t}")) for i, t in rows})
+    assert out.columns == df.columns
+
+
 # 8 ---------------------------------------------------------------------------------------------
 
 
