@@ -40,17 +40,37 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, whose files go when the application ends."""
+    path = f"{shared_dir(spark)}/genloom/{name}-{uuid.uuid4().hex}"
+    _STAGED.append((spark, path))
+    return path
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts lineage, survives lost executors, and gives later joins true file
-    sizes. The files go when the application ends.
+    sizes. The files go with ``discard``, or when the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/genloom/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    _STAGED.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._genloom_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete the files of tables from ``stage`` that nothing will read again."""
+    for df in staged:
+        _delete(df.sparkSession, df._genloom_path)
+        _STAGED.remove((df.sparkSession, df._genloom_path))
 
 
 def release(spark: SparkSession) -> None:
@@ -66,9 +86,7 @@ def release(spark: SparkSession) -> None:
 def _unstage() -> None:
     for spark, path in _STAGED:
         try:
-            jvm, jsc = spark._jvm, spark.sparkContext._jsc
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the JVM may be gone already
             return
 
