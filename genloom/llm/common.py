@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,3 +47,23 @@ def rows(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20, column: s
             last = min(max(last, first + 1), batch.num_rows)
             yield batch.slice(first, last - first)
             first = last
+
+
+def unused(name: str) -> str:
+    """A column name that no table has."""
+    return f"_{name}-{uuid.uuid4().hex}"
+
+
+def apart(docs: DataFrame, key: Column, keys: DataFrame, most_bytes: int = 64 << 20) -> tuple[DataFrame, DataFrame]:
+    """``docs`` in two: rows that surely have none of ``keys`` (one column of longs), and the others.
+
+    While the keys fit in ``most_bytes``, at 16 bytes each, they are broadcast
+    and nothing else is moved; only the second part then needs a shuffle. With
+    more keys the first part is empty.
+    """
+    one = unused("key")
+    slim = keys.toDF(one).distinct()
+    if 16 * slim.count() > most_bytes:
+        return docs.where("false"), docs
+    known = F.broadcast(slim)
+    return docs.join(known, key == F.col(f"`{one}`"), "left_anti"), docs.join(known, key == F.col(f"`{one}`"), "left_semi")
