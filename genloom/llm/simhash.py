@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genloom.llm.common import rows, texts
+from genloom.llm.common import apart, rows, texts, unused
 from genloom.llm.exact_dedup import routed
 from genloom.session import ship, stage, table
 
@@ -464,6 +464,13 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
 
 
 def without_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs``, all columns, without the rows that ``near_copies`` tells."""
-    gone = stage(near_copies(docs, words, similarity).select(F.col("node").alias("_gone")).distinct(), "near-copies")
-    return docs.join(gone, docs["doc_id"].isNotNull() & (node_of(docs) == gone["_gone"]), "left_anti")
+    """``docs``, all columns, without the rows that ``near_copies`` tells.
+
+    Rows whose id is not among those are passed on without a shuffle while
+    the ids can be broadcast.
+    """
+    node = unused("node")
+    gone = stage(near_copies(docs, words, similarity).select(F.col("node").alias(node), "doc_id").distinct(), "near-copies")
+    whole, some = apart(docs, F.coalesce(docs["doc_id"], F.lit((1 << 63) - 1)), gone.select("doc_id"))
+    gone = gone.drop("doc_id")
+    return whole.unionByName(some.join(gone, some["doc_id"].isNotNull() & (node_of(some) == gone[node]), "left_anti"))
