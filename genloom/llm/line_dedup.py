@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genloom.llm.common import rows, texts
+from genloom.llm.common import rows, texts, unused
 from genloom.session import broadcast_limit, ship, stage, table
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -31,20 +31,29 @@ def _halves(digests: list[bytes]) -> list[pa.Array]:
 
 
 def frequent_lines(docs: DataFrame, least_documents: int = 10, shortest: int = 1) -> DataFrame:
-    """Fingerprints ``(a, b)`` of line keys found in ``least_documents`` rows of ``docs`` or more.
+    """Fingerprints ``(a, b)`` of line keys found in ``least_documents`` documents or more; a document is what has an id.
 
-    A key counts once a row because repeats fall out inside the row, so the
-    count needs no (document, line) shuffle, and a line in a third of all rows
-    is summed where it is read.
+    A key counts once a row because repeats fall out inside the row. Where ids
+    tell rows apart that is the count of documents, it needs no (document,
+    line) shuffle, and a line in a third of all rows is summed where it is
+    read. Where some id occurs twice, keys of its rows count once between them.
     """
     ship(docs.sparkSession)
+    named = docs.where("doc_id is not null")
+    several = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_several"))
+    repeats = not several.isEmpty()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows(batches):
-            found = [d for t in batch.column(0).to_pylist() for d in {d for _, d in line_prints(t.encode(), shortest)}]
-            yield pa.RecordBatch.from_arrays(_halves(found), ["a", "b"])
+            own = [list({d for _, d in line_prints(t.encode(), shortest)}) for t in batch.column(1).to_pylist()]
+            of = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), *_halves([d for x in own for d in x])], ["doc_id", "a", "b"])
 
-    lines = texts(docs).select("text").mapInArrow(run, "a long, b long")
+    lines = texts(named).select("doc_id", "text").mapInArrow(run, "doc_id long, a long, b long")
+    if repeats:
+        several = stage(several, "several")
+        of_several = lines.join(several, lines["doc_id"] == several["_several"], "left_semi").distinct()
+        lines = lines.join(several, lines["doc_id"] == several["_several"], "left_anti").unionByName(of_several)
     return lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("documents")).where(F.col("documents") >= least_documents)
 
 
@@ -67,37 +76,40 @@ def without_frequent_lines(docs: DataFrame, least_documents: int = 10, shortest:
 
     A line's key is the line without ASCII white space at its ends and with
     A-Z in lower case. Null and empty texts have one empty line, whose key is
-    too short to drop. A row is a document: rows that repeat an id count as
-    several, and equal rows get equal results. A long text is exploded into
-    lines, never cut. Columns that ``docs`` already has under the new names are
-    replaced. Frequent fingerprints are broadcast up to ``broadcast_bytes``
-    (default: the session's limit), beyond that the lines are joined by shuffle.
+    too short to drop. A document is what has an id: rows that repeat one count
+    once, and equal rows get equal results; rows without an id count as none
+    of the ``least_documents``, but lose lines like any other. A long text is
+    exploded into lines, never cut. Columns that ``docs`` already has under
+    the three new names are replaced. Frequent fingerprints are broadcast up to
+    ``broadcast_bytes`` (default: the session's limit), beyond that the lines
+    are joined by shuffle. No rows in, none out.
     """
     spark = docs.sparkSession
-    docs = docs.drop("n_lines", "n_dropped", "kept_text", "_th", "_gone")
+    docs = docs.drop("n_lines", "n_dropped", "kept_text")
     frequent = stage(frequent_lines(docs, least_documents, shortest).select("a", "b"), "frequent-lines")
     limit = broadcast_limit(spark) if broadcast_bytes is None else broadcast_bytes
     small = 32 * frequent.count() <= limit
 
-    keyed = docs.withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    lines = exploded(keyed.select("doc_id", "_th", F.coalesce("text", F.lit("")).alias("text")), shortest)
+    d, h, mine, lost = (unused(c) for c in ("d", "h", "th", "gone"))
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.withColumn(mine, F.xxhash64(text))
+    lines = exploded(keyed.select("doc_id", F.col(f"`{mine}`").alias("th"), text.alias("text")), shortest)
     hit = lines.join(F.broadcast(frequent) if small else frequent.hint("merge"), ["a", "b"])
-    gone = hit.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("_gone"))
-    gone = stage(gone.select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"), "_gone"), "gone-lines")
+    gone = hit.groupBy("doc_id", "th").agg(F.collect_set("pos").alias(lost))
+    gone = stage(gone.select(F.col("doc_id").alias(d), F.col("th").alias(h), lost), "gone-lines")
     # the larger side of this join carries texts; ids are spread by hash, so no key is hot
-    same = keyed["doc_id"].eqNullSafe(gone["_d"]) & (keyed["_th"] == gone["_h"])
-    joined = keyed.join(gone, same, "left").drop("_d", "_h", "_th")
-    all_lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("_gone"))
+    joined = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone[d]) & (keyed[mine] == gone[h]), "left").drop(d, h, mine)
+    all_lines = F.split(text, "\n", -1)
+    dropped = F.col(f"`{lost}`")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), dropped)
     rebuilt = F.array_join(F.transform(kept, lambda i: F.get(all_lines, i)), "\n")
-    whole = F.coalesce("text", F.lit(""))
     return joined.withColumns(
         {
             "n_lines": F.size(all_lines).cast("long"),
-            "n_dropped": F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long"),
-            "kept_text": F.when(F.col("_gone").isNull(), whole).otherwise(rebuilt),
+            "n_dropped": F.when(dropped.isNull(), 0).otherwise(F.size(dropped)).cast("long"),
+            "kept_text": F.when(dropped.isNull(), text).otherwise(rebuilt),
         }
-    ).drop("_gone")
+    ).drop(lost)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
