@@ -67,3 +67,12 @@ def apart(docs: DataFrame, key: Column, keys: DataFrame, most_bytes: int = 64 <<
         return docs.where("false"), docs
     known = F.broadcast(slim)
     return docs.join(known, key == F.col(f"`{one}`"), "left_anti"), docs.join(known, key == F.col(f"`{one}`"), "left_semi")
+
+
+def once(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` of ``docs``, one row of each distinct pair; rows whose id occurs once are not shuffled."""
+    last = F.lit((1 << 63) - 1)
+    pairs = docs.select("doc_id", "text")
+    several = pairs.groupBy(F.coalesce("doc_id", last).alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+    alone, some = apart(pairs, F.coalesce(pairs["doc_id"], last), several)
+    return alone.unionByName(some.distinct())
