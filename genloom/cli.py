@@ -63,7 +63,7 @@ def _guard(spark: SparkSession, path: str, force: bool) -> str:
 
 def show_jobs(spark: SparkSession, path: str) -> list[str]:
     schema = "source string, sample_chunk int, start_position long, end_position long, `group` int"
-    jobs = spark.read.schema(schema).json(path).withColumn("sample_chunk", F.coalesce("sample_chunk", F.lit(0)))
+    jobs = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("sample_chunk", F.coalesce("sample_chunk", F.lit(0)))
     return [f"{r['group']}\t{r['n']}\t{r['chunks']}\t{r['mean_kb']:.2f}\t{r['var_kb']:.2f}\t{r['bar']}" for r in histogram(jobs).orderBy("group").toLocalIterator()]
 
 

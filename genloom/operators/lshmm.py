@@ -16,41 +16,28 @@ class MatchImpossible(ValueError):
 
 @dataclass
 class Panel:
-    """What matching needs of a graph, as arrays that are broadcast to executors.
+    """What matching needs of a graph, as arrays: its edges by the sites they cover, not its trees.
 
-    ``parents`` has a row for each local tree that holds sites, ``tree`` the
-    row of each site, ``entry`` and ``leave`` the tour of each tree, so the
-    nodes below a mutation are those whose entry lies in its span.
+    Edges are numbered twice, in the order in which they begin and in which
+    they end along the sites; so the local tree is moved from site to site,
+    and the size is that of the graph.
     """
 
     positions: np.ndarray
     length: float
     n_alleles: np.ndarray
-    tree: np.ndarray
-    present: np.ndarray  # trees by nodes
-    entry: np.ndarray
-    leave: np.ndarray
+    first: np.ndarray  # site at which each edge begins, and the one before which it ends
+    last: np.ndarray
+    parent: np.ndarray
+    child: np.ndarray
+    begins: np.ndarray  # edges by first site, edges by last site
+    ends: np.ndarray
     mutated: np.ndarray  # node mutated at each site, or -1
     by_age: np.ndarray  # nodes, oldest first, then smallest id
 
-
-def _tour(parent: np.ndarray, time: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and one-past-last number of each node's subtree in a walk of the tree."""
-    n = len(parent)
-    size = np.ones(n, np.int64)
-    young = np.argsort(time, kind="stable")
-    for u in young:
-        if parent[u] != NULL:
-            size[parent[u]] += size[u]
-    entry, used, at = np.zeros(n, np.int64), np.zeros(n, np.int64), 0
-    for u in young[::-1]:
-        p = parent[u]
-        if p == NULL:
-            entry[u], at = at, at + size[u]
-        else:
-            entry[u] = entry[p] + 1 + used[p]
-            used[p] += size[u]
-    return entry, entry + size
+    def nbytes(self) -> int:
+        """Bytes that a broadcast of the panel takes."""
+        return sum(v.nbytes for v in vars(self).values() if isinstance(v, np.ndarray))
 
 
 def panel(graph: Graph, n_alleles: list[int], strict: bool = True) -> Panel:
@@ -62,85 +49,149 @@ def panel(graph: Graph, n_alleles: list[int], strict: bool = True) -> Panel:
         if mutated[s] != NULL and strict:
             raise ValueError(f"site {s} has more than one mutation")
         mutated[s] = u
-    tree = np.zeros(len(positions), np.int64)
-    present, entries, leaves = [], [], []
-    k = 0
-    for _, right, parent in graph.trees():
-        upto = int(np.searchsorted(positions, right, "left"))
-        if upto > k:
-            tree[k:upto] = len(present)
-            k = upto
-            child = np.zeros(len(time), bool)
-            child[parent[parent != NULL]] = True
-            inside = child | (parent != NULL)
-            if child[0]:
-                inside[0] = False
-            entry, leave = _tour(parent, time)
-            present.append(inside)
-            entries.append(entry)
-            leaves.append(leave)
+    left, right, parent, child = (np.array(c) for c in zip(*graph.edges)) if graph.edges else (np.zeros(0), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    first, last = np.searchsorted(positions, left, "left"), np.searchsorted(positions, right, "left")
+    some = first < last
+    first, last, parent, child = first[some], last[some], parent[some].astype(np.int32), child[some].astype(np.int32)
     age = np.lexsort((np.arange(len(time)), -time))
-    shape = (len(present), len(time))
-    return Panel(positions, graph.length, np.array(n_alleles), tree, np.array(present, bool).reshape(shape), np.array(entries, np.int64).reshape(shape), np.array(leaves, np.int64).reshape(shape), mutated, age)
+    return Panel(positions, graph.length, np.array(n_alleles), first, last, parent, child, np.argsort(first, kind="stable"), np.argsort(last, kind="stable"), mutated, age)
+
+
+class LocalTree:
+    """The tree of one site after the other, as a parent of each node."""
+
+    def __init__(self, p: Panel, site: int) -> None:
+        self.p, self.site = p, site
+        nodes = len(p.by_age)
+        self.parent = np.full(nodes, NULL, np.int32)
+        self.children = np.zeros(nodes, np.int32)
+        self._i = int(np.searchsorted(p.first[p.begins], site, "right"))
+        self._j = int(np.searchsorted(p.last[p.ends], site, "right"))
+        over = np.flatnonzero((p.first <= site) & (site < p.last))
+        self._put(over)
+
+    def _put(self, edges: np.ndarray) -> None:
+        self.parent[self.p.child[edges]] = self.p.parent[edges]
+        np.add.at(self.children, self.p.parent[edges], 1)
+
+    def move(self, site: int) -> bool:
+        """Go on to a later site; whether the tree changes."""
+        p, i, j = self.p, self._i, self._j
+        while self._j < len(p.ends) and p.last[p.ends[self._j]] <= site:
+            self._j += 1
+        while self._i < len(p.begins) and p.first[p.begins[self._i]] <= site:
+            self._i += 1
+        if (i, j) == (self._i, self._j):
+            self.site = site
+            return False
+        gone = p.ends[j : self._j]
+        gone = gone[p.first[gone] <= self.site]
+        self.parent[p.child[gone]] = NULL
+        np.add.at(self.children, p.parent[gone], -1)
+        new = p.begins[i : self._i]
+        self._put(new[p.last[new] > site])
+        self.site = site
+        return True
+
+    def inside(self) -> np.ndarray:
+        """Nodes of the tree that a haplotype can copy: all but node 0 while that is above others."""
+        out = (self.children > 0) | (self.parent != NULL)
+        if self.children[0]:
+            out[0] = False
+        return out
+
+    def below(self, node: int) -> np.ndarray:
+        """Whether each node is ``node`` or below it: marks spread over twice the way in each step."""
+        out = np.zeros(len(self.parent) + 1, bool)
+        out[node] = True
+        up = np.append(np.where(self.parent == NULL, len(self.parent), self.parent), len(self.parent))
+        while True:
+            wider = out | out[up]
+            if (up == len(self.parent)).all() or (wider == out).all() and not out[up[up]].any():
+                return wider[:-1]
+            out, up = wider, up[up]
+
+
+#: Bytes that the switches of all sites, kept for the way back, may take at once.
+BACK_BYTES = 256 << 20
 
 
 def match(p: Panel, haplotypes: np.ndarray, starts: np.ndarray, ends: np.ndarray, rho: np.ndarray, mu: np.ndarray, weight_by_n: bool = True, floor: float = sys.float_info.min) -> list[tuple[list[tuple[float, float, int]], np.ndarray]]:
     """Best path and matched states of each haplotype (rows of codes, -1 missing) over its sites ``[start, end)``.
 
-    All haplotypes advance together: one array of haplotypes by nodes. Paths
-    are ``(left, right, parent)`` from right to left. Of equally likely nodes
-    the oldest wins, then the smallest id. ``rho`` and ``mu`` have a value for
-    each haplotype and site.
+    Haplotypes advance together, as many as BACK_BYTES allow: one array of
+    haplotypes by nodes. Paths are ``(left, right, parent)`` from right to
+    left. Of equally likely nodes the oldest wins, then the smallest id.
+    ``rho`` and ``mu`` have a value for each haplotype and site.
     """
-    many, nodes = len(haplotypes), p.present.shape[1]
+    lot = max(1, 8 * BACK_BYTES // max(1, len(p.by_age) * len(p.positions)))
+    out = []
+    for k in range(0, len(haplotypes), lot):
+        some = slice(k, k + lot)
+        out += _matched(p, haplotypes[some], starts[some], ends[some], rho[some], mu[some], weight_by_n, floor)
+    return out
+
+
+def _matched(p: Panel, haplotypes: np.ndarray, starts: np.ndarray, ends: np.ndarray, rho: np.ndarray, mu: np.ndarray, weight_by_n: bool, floor: float) -> list[tuple[list[tuple[float, float, int]], np.ndarray]]:
+    many, nodes = len(haplotypes), len(p.by_age)
     codes = haplotypes.astype(np.int64)
     if (codes >= p.n_alleles[None, :]).any():
         raise ValueError("a haplotype has an allele that its site has not")
     n = nodes if weight_by_n else 1
     likely = np.zeros((many, nodes))
-    lo, hi = (int(starts.min()), int(ends.max())) if many else (0, 0)
+    lo, hi = int(starts.min()), int(ends.max())
     switched: list[np.ndarray] = []
+    states: list[np.ndarray | None] = []  # nodes with the derived state, packed
     best = np.zeros((hi - lo, many), np.int64)
-    rank = np.empty(nodes, np.int64)
-    rank[p.by_age] = np.arange(nodes)
+    tree = LocalTree(p, lo)
+    inside = tree.inside()
     for s in range(lo, hi):
-        t = p.tree[s]
-        inside = p.present[t]
-        live = (starts <= s) & (s < ends)
-        if s > lo and p.tree[s - 1] != t:
+        if s > lo and tree.move(s):
+            inside = tree.inside()
             likely[:, ~inside] = 0
-        likely[np.ix_(starts == s, inside)] = 1.0
+        live = (starts <= s) & (s < ends)
+        begin = starts == s
+        if begin.any():
+            likely[np.ix_(begin, inside)] = 1.0
         r, m = rho[:, s][:, None], mu[:, s][:, None]
-        stay, jump = likely * (1 - r + r / n), r / n
-        moved = ~(stay > jump)
-        likely = np.where(moved, jump, stay)
+        likely *= 1 - r + r / n
+        moved = ~(likely > r / n)
+        np.maximum(likely, r / n, out=likely)
         u = p.mutated[s]
-        state = np.zeros(nodes, np.int64) if u == NULL else ((p.entry[t] >= p.entry[t, u]) & (p.entry[t] < p.leave[t, u])).astype(np.int64)
-        same = (codes[:, s][:, None] == state[None, :]) | (codes[:, s] < 0)[:, None]
-        likely = likely * np.where(same, 1 - (p.n_alleles[s] - 1) * m, m)
+        code = codes[:, s][:, None]
+        right, wrong = 1 - (p.n_alleles[s] - 1) * m, m
+        if u == NULL:
+            likely *= np.where(code <= 0, right, wrong)
+            states.append(None)
+        else:
+            below = tree.below(u)
+            likely *= np.where((code == below[None, :]) | (code < 0), right, wrong)
+            states.append(np.packbits(below))
         likely[:, ~inside] = 0
         top = likely.max(axis=1)
         if (live & ~(top > 0)).any():
             raise MatchImpossible(f"no path is possible at position {p.positions[s]:g}")
-        near = likely >= np.where(top > 0, top, 1)[:, None]
-        best[s - lo] = p.by_age[near[:, p.by_age].argmax(axis=1)]
-        likely = np.maximum(likely / np.where(top > 0, top, 1)[:, None], floor)
+        top = np.where(top > 0, top, 1)[:, None]
+        best[s - lo] = p.by_age[(likely >= top)[:, p.by_age].argmax(axis=1)]
+        likely /= top
+        np.maximum(likely, floor, out=likely)
         likely[:, ~inside] = 0
         switched.append(np.packbits(moved, axis=1))
     out = []
     for k in range(many):
         first, last = int(starts[k]), int(ends[k])
         path: list[tuple[float, float, int]] = []
-        states = np.zeros(haplotypes.shape[1], np.int64)
+        found = np.zeros(haplotypes.shape[1], np.int64)
         right = p.length if last == len(p.positions) else float(p.positions[last])
         u = int(best[last - 1 - lo, k])
         for s in range(last - 1, first - 1, -1):
-            t, v = p.tree[s], p.mutated[s]
-            states[s] = int(v != NULL and p.entry[t, v] <= p.entry[t, u] < p.leave[t, v])
-            if s > first and (switched[s - lo][k, u >> 3] >> (7 - (u & 7))) & 1:
+            byte, bit = u >> 3, 7 - (u & 7)
+            if states[s - lo] is not None:
+                found[s] = (states[s - lo][byte] >> bit) & 1
+            if s > first and (switched[s - lo][k, byte] >> bit) & 1:
                 path.append((float(p.positions[s]), right, u))
                 right = float(p.positions[s])
                 u = int(best[s - 1 - lo, k])
         path.append((0.0 if first == 0 else float(p.positions[first]), right, u))
-        out.append((path, states))
+        out.append((path, found))
     return out

@@ -15,6 +15,8 @@ from genloom.session import ship
 
 #: Default chances of recombination and of mismatch at each site.
 RHO, MU = 1e-2, 1e-20
+#: Largest panel that is broadcast; one edge takes 40 bytes, so this is 50 million edges.
+PANEL_BYTES = 2 << 30
 _PATH = "array<struct<left:double,right:double,parent:long>>"
 _CHANGES = "array<struct<position:double,code:int>>"
 
@@ -51,9 +53,11 @@ def match_codes(p: lshmm.Panel, codes: np.ndarray, rho: np.ndarray, mu: np.ndarr
 def match_frame(haps: DataFrame, p: lshmm.Panel) -> DataFrame:
     """``haplotype_index, path, mutations`` of each row of ``haplotype_index, codes, rho, mu``.
 
-    The panel is broadcast: it is the graph, not the genotypes, and its size
-    is its trees times its nodes.
+    The panel is broadcast: it is the graph, not the genotypes, and its size,
+    which must not pass PANEL_BYTES, is that of the edges.
     """
+    if p.nbytes() > PANEL_BYTES:
+        raise ValueError(f"the panel has {p.nbytes()} bytes; raise PANEL_BYTES if executors can hold it")
     ship(haps.sparkSession)
     told = haps.sparkSession.sparkContext.broadcast(p)
 
@@ -73,35 +77,47 @@ def match_frame(haps: DataFrame, p: lshmm.Panel) -> DataFrame:
     return haps.select("haplotype_index", "codes", "rho", "mu").mapInArrow(run, f"haplotype_index long, path {_PATH}, mutations {_CHANGES}")
 
 
-def extend(g: Graph, jobs: list[dict], results: dict[int, tuple[list, list]], dictionary: list[list[str]], compress: bool = False) -> Graph:
-    """The graph with the group's nodes in order of haplotype index, their edges and mutations."""
-    out = g.copy()
+def extend(g: Graph, jobs: list[dict], results: dict[int, tuple[list, list]], dictionary: list[list[str]], compress: bool = False, in_place: bool = False) -> Graph:
+    """The graph with the group's nodes in order of haplotype index, their edges and mutations.
+
+    ``in_place`` adds the rows to ``g`` itself, unsorted: what a long run does
+    between two checkpoints.
+    """
+    out = g if in_place else g.copy()
     site_at = {x: k for k, (x, _) in enumerate(out.sites)}
     for job in sorted(jobs, key=lambda j: j["haplotype_index"]):
         path, off = results[job["haplotype_index"]]
         u = out.add_node(job["time"], job.get("node_flags", SAMPLE), job.get("individual_id", NULL), job.get("population_id", NULL), {k: job[k] for k in ("source", "sample_id", "ploidy_index")})
         out.edges += [(float(a), float(b), int(p), u) for a, b, p in path]
         out.mutations += [(site_at[x], u, dictionary[site_at[x]][c], NULL) for x, c in off]
-    out.sort()
+    if not in_place:
+        out.sort()
     return out.compress() if compress else out
 
 
-def match_group(haps: DataFrame, g: Graph, jobs: list[dict], dictionary: list[list[str]], rates: dict[str, tuple[float, float]], local_rows: int = 64, tasks: int = 0, strict: bool = True) -> dict[int, tuple[list, list]]:
+def match_rows(rows: dict[int, np.ndarray], p: lshmm.Panel, rate: dict[int, tuple[float, float]]) -> dict[int, tuple[list, list]]:
+    """Paths and mutations of haplotypes that are at hand."""
+    order = sorted(rows)
+    if not order:
+        return {}
+    return dict(zip(order, match_codes(p, np.array([rows[i] for i in order]), np.array([rate[i][0] for i in order]), np.array([rate[i][1] for i in order]))))
+
+
+def match_group(haps: DataFrame, g: Graph, jobs: list[dict], dictionary: list[list[str]], rates: dict[str, tuple[float, float]], local_rows: int = 64, tasks: int = 0, strict: bool = True, fetched: dict[int, np.ndarray] | None = None) -> dict[int, tuple[list, list]]:
     """Paths and mutations of one group's haplotypes against the graph so far.
 
-    A group of up to ``local_rows`` haplotypes is fetched and matched where
-    the driver is, since a job costs more than that; a larger one goes to
-    executors in ``tasks`` parts.
+    A group of up to ``local_rows`` haplotypes is matched where the driver
+    is, since a job costs more than that, and not fetched again if its codes
+    are in ``fetched``; a larger one goes to executors in ``tasks`` parts.
     """
     p = lshmm.panel(g, [max(2, len(d)) for d in dictionary], strict)
     rate = {j["haplotype_index"]: rates.get(j["source"], (RHO, MU)) for j in jobs}
     if len(jobs) <= local_rows:
-        rows = {r["haplotype_index"]: np.frombuffer(r["codes"], np.int8) for r in haps.collect()}
-        order = sorted(rows)
-        found = match_codes(p, np.array([rows[i] for i in order]), np.array([rate[i][0] for i in order]), np.array([rate[i][1] for i in order])) if order else []
-        return dict(zip(order, found))
+        if fetched is None:
+            fetched = {r["haplotype_index"]: np.frombuffer(r["codes"], np.int8) for r in haps.collect()}
+        return match_rows({i: fetched[i] for i in rate if i in fetched}, p, rate)
     spark = haps.sparkSession
     table = spark.createDataFrame([(i, float(r), float(m)) for i, (r, m) in rate.items()], "haplotype_index long, rho double, mu double")
     rated = haps.join(F.broadcast(table), "haplotype_index")
-    rated = rated.repartition(tasks or max(1, len(jobs) // 64))
+    rated = rated.repartition(tasks or max(1, len(jobs) // 16))
     return {r["haplotype_index"]: ([tuple(x) for x in r["path"]], [tuple(x) for x in r["mutations"]]) for r in match_frame(rated, p).toLocalIterator()}

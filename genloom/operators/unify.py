@@ -19,6 +19,23 @@ def annotated(rows: DataFrame, annotation: DataFrame) -> DataFrame:
     return rows.join(annotation.select("position"), "position", "left_semi")
 
 
+def row_number(rows: DataFrame) -> Column:
+    """What orders rows of one position: their column ``row``, else their order as they are read."""
+    return F.col("row") if "row" in rows.columns else F.monotonically_increasing_id()
+
+
+def first_annotation(annotation: DataFrame) -> DataFrame:
+    """``position, ancestral_allele``: of several rows of a position the first counts."""
+    rows = annotation.select("position", "ancestral_allele", row_number(annotation).alias("_row"))
+    return rows.groupBy("position").agg(F.min_by("ancestral_allele", "_row").alias("ancestral_allele"))
+
+
+def last_calls(rows: DataFrame) -> DataFrame:
+    """``position, alleles, calls``: of several rows of a position the last counts."""
+    numbered = rows.select("position", F.struct("alleles", "calls").alias("_v"), row_number(rows).alias("_row"))
+    return numbered.groupBy("position").agg(F.max_by("_v", "_row").alias("_v")).select("position", "_v.alleles", "_v.calls")
+
+
 def position_union(frames: Sequence[DataFrame]) -> DataFrame:
     out = frames[0].select("position")
     for f in frames[1:]:
@@ -45,9 +62,9 @@ def dictionaries(sources: Sequence[DataFrame], annotation: DataFrame) -> DataFra
     """``position, dictionary``: the ancestral allele, then unseen non-empty ones by source and allele order."""
     rows = None
     for k, s in enumerate(sources):
-        part = s.select("position", F.struct(F.lit(k).alias("ord"), F.col("alleles").alias("alleles")).alias("one"))
+        part = s.select("position", F.struct(F.lit(k).alias("ord"), row_number(s).alias("row"), F.col("alleles").alias("alleles")).alias("one"))
         rows = part if rows is None else rows.unionByName(part)
-    merged = rows.groupBy("position").agg(F.sort_array(F.collect_set("one")).alias("all"))
+    merged = rows.groupBy("position").agg(F.sort_array(F.collect_list("one")).alias("all"))
     seen = F.filter(F.flatten(F.transform("all", lambda s: s["alleles"])), lambda a: a != "")
     both = annotation.join(merged, "position", "left")
     return both.select("position", F.array_distinct(F.concat(F.array("ancestral_allele"), F.coalesce(seen, F.array().cast("array<string>")))).alias("dictionary"))
@@ -75,7 +92,7 @@ def unified(sources: Sequence[tuple[DataFrame, DataFrame, int]], annotation: Dat
     one its filters dropped, or that it lacks, is missing for its haplotypes.
     Dictionaries come from all rows, filtered or not.
     """
-    first = annotation.groupBy("position").agg(F.min_by("ancestral_allele", "_ord").alias("ancestral_allele")) if "_ord" in annotation.columns else annotation.dropDuplicates(["position"])
+    first = first_annotation(annotation)
     single = []
     for kept, every, _ in sources:
         once = unique_positions(every)

@@ -20,6 +20,8 @@ from genloom.session import stage
 from genloom.sources.catalog import Store
 
 MAX_GAP = 500_000
+#: Samples of a chunk in the jobs file, and haplotypes of small groups that are fetched together.
+SAMPLES_CHUNK, FETCHED = 100, 2048
 
 
 @dataclass(frozen=True)
@@ -63,22 +65,24 @@ def plan_match(spark: SparkSession, a: Ancestors, stores: dict[str, Store], time
     span = (positions[0], positions[-1] + 1) if positions else (0, 1)
     jobs: list[dict] = []
     for r in a.found.select("ancestor_id", "sample_id", "time", "start_position", "end_position").orderBy("ancestor_id").toLocalIterator():
-        jobs.append({"source": ancestor_source, "sample_id": r["sample_id"], "ploidy_index": 0, "time": r["time"], "start_position": r["start_position"], "end_position": r["end_position"], "node_flags": flags.get(ancestor_source, 0), "individual_id": NULL, "population_id": NULL})
+        jobs.append({"source": ancestor_source, "sample_id": r["sample_id"], "sample_chunk": r["ancestor_id"] // SAMPLES_CHUNK, "ploidy_index": 0, "time": r["time"], "start_position": r["start_position"], "end_position": r["end_position"], "node_flags": flags.get(ancestor_source, 0), "individual_id": NULL, "population_id": NULL})
     people: list[dict] = []
     groups: dict[str, int] = {}
     for name, store in stores.items():
         spec = times.get(name, 0.0)
         ends = {"start_position", "end_position"} <= set(store.samples.columns)
+        first_of: dict[str, dict] = {}  # metadata are those of the first sample with the id
         for r in (r.asDict() for r in store.samples.orderBy("sample_idx").toLocalIterator()):
             person = pop = NULL
             if individuals:
                 person = len(people)
-                people.append({"source": name, "sample_id": r["sample_id"], **{k: r[v] for k, v in fields.items()}})
+                told = first_of.setdefault(r["sample_id"], r)
+                people.append({"source": name, "sample_id": r["sample_id"], **{k: told[v] for k, v in fields.items()}})
             if population:
-                pop = groups.setdefault(str(r[population]), len(groups))
+                pop = groups.setdefault(str(first_of.setdefault(r["sample_id"], r)[population]), len(groups))
             lo, hi = (r["start_position"], r["end_position"]) if ends else span
             for k in range(r["ploidy"]):
-                jobs.append({"source": name, "sample_id": r["sample_id"], "ploidy_index": k, "time": float(r[spec] if isinstance(spec, str) else spec), "start_position": lo, "end_position": hi, "node_flags": flags.get(name, 1), "individual_id": person, "population_id": pop})
+                jobs.append({"source": name, "sample_id": r["sample_id"], "sample_chunk": r["sample_idx"] // SAMPLES_CHUNK, "ploidy_index": k, "time": float(r[spec] if isinstance(spec, str) else spec), "start_position": lo, "end_position": hi, "node_flags": flags.get(name, 1), "individual_id": person, "population_id": pop})
     grp = group_spans(*(np.array([j[c] for j in jobs], float) for c in ("start_position", "end_position", "time"))) if jobs else []
     for i, (j, k) in enumerate(zip(jobs, grp)):
         j["haplotype_index"], j["group"] = i, int(k)
@@ -95,8 +99,8 @@ def plan_match(spark: SparkSession, a: Ancestors, stores: dict[str, Store], time
     for name, store in stores.items():
         n = store.haplotypes()
         begin = sum(1 for j in jobs if j["source"] == ancestor_source) + first
-        last = store.variants.groupBy("position").agg(F.max(F.struct("alleles", "calls")).alias("v"))
-        coded = number.join(last, "position").select("site", unify.canonical(F.col("v.calls"), F.col("v.alleles"), F.col("dictionary")).alias("codes"))
+        last = unify.last_calls(store.variants)
+        coded = number.join(last, "position").select("site", unify.canonical(F.col("calls"), F.col("alleles"), F.col("dictionary")).alias("codes"))
         frames.append(anc.transpose(coded, len(positions)).select((F.col("hap") + begin).alias("haplotype_index"), "codes"))
         first += n
     at = {p: k for k, p in enumerate(positions)}
@@ -116,15 +120,18 @@ def plan_match(spark: SparkSession, a: Ancestors, stores: dict[str, Store], time
     haps = a.found.select(F.col("ancestor_id").cast("long").alias("haplotype_index"), "positions", "hap").mapInArrow(widen, "haplotype_index long, codes binary")
     for f in frames:
         haps = haps.unionByName(f)
-    haps = stage(haps.join(index, "haplotype_index"), "haplotypes")
+    # files by group, so that a group's haplotypes are read without the others
+    haps = stage(haps.join(index, "haplotype_index").repartitionByRange("grp").sortWithinPartitions("grp"), "haplotypes")
     return MatchPlan(jobs, haps, positions, ancestral, dictionary, people, [{"name": n} for n in groups])
 
 
 def match(plan: MatchPlan, length: float, intervals: list[tuple[int, int]], rates: dict[str, tuple[float, float]] | None = None, compress: bool = False, start: tuple[int, Graph] | None = None, group_stop: int | None = None, on_group=None, local_rows: int = 64, strict: bool = True) -> Graph:
-    """Match all groups in order; ``start`` is ``(last group, its graph)`` of an earlier run.
+    """Match all groups in order; ``start`` is ``(last group, its graph)`` of an earlier run, or ``(-1, a graph)`` to begin with.
 
-    ``on_group(number, graph)`` is called after each group, for checkpoints.
-    Groups from ``group_stop`` on are left out.
+    ``on_group(number, graph, results)`` is called after each group, with the
+    sorted graph and what matching found, for checkpoints. Groups from
+    ``group_stop`` on are left out. Haplotypes of small groups that follow
+    each other are fetched by one job, FETCHED at most.
     """
     groups: dict[int, list[dict]] = {}
     for j in plan.jobs:
@@ -134,18 +141,33 @@ def match(plan: MatchPlan, length: float, intervals: list[tuple[int, int]], rate
         g.individuals, g.populations, g.intervals = list(plan.individuals), list(plan.populations), list(intervals)
         done = -1
     else:
-        done, g = start
-    for k in sorted(groups):
-        if k <= done or group_stop is not None and k >= group_stop:
-            continue
-        if plan.positions:
-            results = match_group(plan.haps.where(F.col("grp") == k), g, groups[k], plan.dictionary, rates or {}, local_rows, strict=strict)
+        done, g = start[0], start[1].copy()
+    todo = [k for k in sorted(groups) if k > done and (group_stop is None or k < group_stop)]
+    fetched: dict[int, np.ndarray] = {}
+    upto = -1
+    for i, k in enumerate(todo):
+        jobs = groups[k]
+        if not plan.positions:
+            results = {j["haplotype_index"]: ([], []) for j in jobs}
+        elif len(jobs) <= local_rows:
+            if k > upto:
+                n = 0
+                for m in todo[i:]:
+                    n += len(groups[m])
+                    if m > k and (n > FETCHED or len(groups[m]) > local_rows):
+                        break
+                    upto = m
+                rows = plan.haps.where((F.col("grp") >= k) & (F.col("grp") <= upto)).select("haplotype_index", "codes").collect()
+                fetched = {r["haplotype_index"]: np.frombuffer(r["codes"], np.int8) for r in rows}
+            results = match_group(plan.haps, g, jobs, plan.dictionary, rates or {}, local_rows, strict=strict, fetched=fetched)
         else:
-            results = {j["haplotype_index"]: ([], []) for j in groups[k]}
-        g = extend(g, groups[k], results, plan.dictionary, compress)
-        g.provenances = [*g.provenances, {"software": "genloom", "command": "match", "group": k, "haplotypes": len(groups[k])}]
+            results = match_group(plan.haps.where(F.col("grp") == k), g, jobs, plan.dictionary, rates or {}, local_rows, strict=strict)
+        g = extend(g, jobs, results, plan.dictionary, compress, in_place=True)
+        g.provenances.append({"software": "genloom", "command": "match", "group": k, "haplotypes": len(jobs)})
         if on_group:
-            on_group(k, g)
+            g.sort()
+            on_group(k, g, results)
+    g.sort()
     return g
 
 
@@ -167,11 +189,13 @@ def augment_sites(spark: SparkSession, g: Graph, stores: dict[str, Store], annot
         positions = unify.position_union([s.variants for s in stores.values()])
         annotation = positions.withColumn("ancestral_allele", F.lit(""))
     rows = unify.unified(parts, annotation)
-    inside = F.lit(g.intervals is None)
-    for a, b in g.intervals or []:
-        inside = inside | ((F.col("position") >= a) & (F.col("position") < b))
+    if g.intervals is not None:
+        spans = spark.createDataFrame([(int(lo), int(hi)) for lo, hi in g.intervals], "start long, end long")
+        width = max(1, *(int(hi - lo) for lo, hi in g.intervals)) if g.intervals else 1
+        inside = site_ops.in_intervals(rows.select("position"), spans, width).select("position").distinct()
+        rows = rows.join(inside, "position", "left_semi")
     there = spark.createDataFrame([(int(x),) for x, _ in g.sites], "position int")
-    rows = unify.exclude_positions(rows.where(inside), there)
+    rows = unify.exclude_positions(rows, there)
     columns: dict[tuple, int] = {}
     loose: dict[tuple, int] = {}
     k = 0
@@ -183,7 +207,8 @@ def augment_sites(spark: SparkSession, g: Graph, stores: dict[str, Store], annot
                 k += 1
     keys = [(g.meta[u]["source"], g.meta[u]["sample_id"], g.meta[u]["ploidy_index"]) for u in samples]
     order = [columns.get(key, loose.get(key[1:], -1)) for key in keys]
-    picked = F.transform(F.array(*map(F.lit, order)), lambda i: F.when(i < 0, F.lit(-1).cast("tinyint")).otherwise(F.get("codes", i)))
+    # one literal however many samples there are
+    picked = F.transform(F.split(F.lit(",".join(map(str, order))), ",").cast("array<int>"), lambda i: F.when(i < 0, F.lit(-1).cast("tinyint")).otherwise(F.get("codes", i)))
     wanted = rows.select(F.col("position").cast("double").alias("position"), picked.alias("calls"), "dictionary", F.when(F.col("ancestral") != "", F.lit(0)).alias("root_state"))
     wanted = stage(wanted.where(F.exists("calls", lambda c: c >= 0)), "augment")
     words = {r["position"]: r["dictionary"] for r in wanted.select("position", "dictionary").toLocalIterator()}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from genloom.sources.filters import filter_variants, select_samples
 
 #: A site-major store: one row a site, calls in sample order, then ploidy; -1 is missing.
+#: A column ``row`` orders rows of one position; ``write_store`` adds it.
 VARIANTS = "position int, alleles array<string>, calls array<tinyint>, contig_id string"
 SAMPLES = "sample_idx int, sample_id string, ploidy int"
 
@@ -34,8 +35,9 @@ class Store:
         begin = Window.orderBy("sample_idx").rowsBetween(Window.unboundedPreceding, -1)
         spans = self.samples.withColumn("_at", F.coalesce(F.sum("ploidy").over(begin), F.lit(0)))
         spans = spans.join(chosen.select("sample_idx"), "sample_idx", "left_semi")
-        wanted = [a + k for a, p in sorted((r["_at"], r["ploidy"]) for r in spans.select("_at", "ploidy").collect()) for k in range(p)]
-        cut = F.transform(F.array(*map(F.lit, wanted)), lambda i: F.get("calls", i)) if wanted else F.array().cast("array<tinyint>")
+        wanted = ",".join(str(a + k) for a, p in sorted((r["_at"], r["ploidy"]) for r in spans.select("_at", "ploidy").collect()) for k in range(p))
+        # one literal however many haplotypes are chosen
+        cut = F.transform(F.split(F.lit(wanted), ","), lambda i: F.get("calls", i.cast("int"))) if wanted else F.array().cast("array<tinyint>")
         return replace(self, variants=self.variants.withColumn("calls", cut), samples=chosen)
 
     def haplotypes(self) -> int:
@@ -54,7 +56,8 @@ def open_store(source: str | Store, spark: SparkSession | None = None) -> Store:
 def write_store(store: Store, path: str, mode: str = "errorifexists") -> None:
     """Variants by position, so row groups prune; an existing store is refused unless ``mode`` says otherwise."""
     spark = store.variants.sparkSession
-    store.variants.repartitionByRange("position").sortWithinPartitions("position").write.mode(mode).option("compression", "zstd").parquet(f"{path}/variants")
+    numbered = store.variants if "row" in store.variants.columns else store.variants.withColumn("row", F.monotonically_increasing_id())
+    numbered.repartitionByRange("position").sortWithinPartitions("position", "row").write.mode(mode).option("compression", "zstd").parquet(f"{path}/variants")
     store.samples.write.mode(mode).parquet(f"{path}/samples")
     contig = spark.range(1).select(F.col("id").cast("int").alias("contig_idx"), F.lit("1").alias("id"), F.lit(store.length).cast("long").alias("length"))
     contig.write.mode(mode).parquet(f"{path}/contigs")

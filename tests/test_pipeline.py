@@ -6,6 +6,7 @@ import pytest
 
 from genloom.cli import main
 from genloom.config import Config
+from genloom.operators import unify
 from genloom.plans import pipeline, runner
 from genloom.sources.catalog import Store, write_store
 
@@ -144,14 +145,19 @@ def test_cli(spark, configured, capsys):
     assert main(["config", "show", c]) == 0
     assert "mismatch = 1e-06" in capsys.readouterr().out
     assert main(["infer-ancestors", c], spark) == 0
-    assert main(["infer-ancestors", c, "--force"], spark) == 1
+    assert main(["infer-ancestors", c], spark) == 1
+    (configured / "anc.part" / "sites").mkdir(parents=True)  # as a broken run leaves it
+    assert main(["infer-ancestors", c, "--force"], spark) == 0
     work = str(configured / "work")
     assert main(["match", c, "-w", work, "--group-stop", "2", "--match-file", str(configured / "m.jsonl")], spark) == 0
     assert main(["match", c, "-w", work], spark) == 1
     assert main(["match", c, "-w", work, "-f"], spark) == 0
     lines = [json.loads(x) for x in (configured / "m.jsonl").read_text().splitlines()]
     assert lines[0]["group"] == 0
-    assert main(["show-match-jobs", f"{work}/match-jobs"], spark) == 0
+    jobs = json.loads((configured / "work" / "match-jobs.json").read_text())
+    assert [(j["group"], j["haplotype_index"]) for j in jobs] == sorted((j["group"], j["haplotype_index"]) for j in jobs)
+    assert {j["sample_chunk"] for j in jobs} == {0}
+    assert main(["show-match-jobs", f"{work}/match-jobs.json"], spark) == 0
     assert "#" in capsys.readouterr().out
     whole = runner.match(spark, Config.from_toml(c))
     resumed = pipeline.read_graph(spark, str(configured / "out"))
@@ -163,6 +169,67 @@ def test_cli(spark, configured, capsys):
     assert main(["run", c, "-f"], spark) == 0
 
 
+def test_match_file_under_compression(spark, configured):
+    """Lines are what matching found, though compression moves edges; each group's nodes follow those before it."""
+    text = (configured / "c.toml").read_text().replace("[match]", "[match]\npath_compression = true")
+    (configured / "c.toml").write_text(text)
+    cfg = Config.from_toml(str(configured / "c.toml"))
+    runner.infer_ancestors(spark, cfg)
+    seen = []
+    plan, a, _ = runner._plan(spark, cfg)
+    pipeline.match(plan, 2000, a.intervals, {"s": (1e-2, 1e-6)}, True, on_group=lambda k, g, results: seen.append((k, results)))
+    runner.match(spark, cfg, match_file=str(configured / "m.jsonl"))
+    lines = [json.loads(x) for x in (configured / "m.jsonl").read_text().splitlines()]
+    told = {x["haplotype_index"]: x for x in lines}
+    assert len(told) == len(lines) == len(plan.jobs)
+    for k, results in seen:
+        for i, (path, off) in results.items():
+            assert told[i]["group"] == k
+            assert [(p["left"], p["right"], p["parent"]) for p in told[i]["path"]] == [tuple(p) for p in path]
+            assert [m["position"] for m in told[i]["mutations"]] == [x for x, _ in off]
+
+
+def test_match_against_a_reference_graph(spark, configured):
+    c = configured / "c.toml"
+    assert main(["run", str(c)], spark) == 0
+    text = c.read_text()
+    (configured / "ref.toml").write_text(text.replace("[match]\n", f'[match]\nreference_ts = "{configured}/out"\n').replace(f"{configured}/out\"\n[match.sources.anc", f"{configured}/again\"\n[match.sources.anc"))
+    cut = (configured / "ref.toml").read_text()
+    cut = cut.replace(f'output = "{configured}/out"', f'output = "{configured}/again"')
+    lo, hi = cut.index("[[ancestors]]"), cut.index("[match]")
+    cut = cut[:lo] + cut[hi:]
+    lo, hi = cut.index("[match.sources.ancestors]"), cut.index("[match.sources.s]")
+    cut = cut[:lo] + cut[hi:cut.index("[post_process]")]
+    (configured / "ref.toml").write_text(cut)
+    assert main(["match", str(configured / "ref.toml")], spark) == 0
+    before, after = (pipeline.read_graph(spark, str(configured / n)) for n in ("out", "again"))
+    assert len(after.time) == len(before.time) + 8
+    assert decoded(after) == {x: a + a for x, a in decoded(before).items()}
+
+
+def test_empty_ancestors(spark, tmp_path):
+    runner.write_empty_ancestors(spark, str(tmp_path / "none"), 500)
+    a = runner.read_ancestors(spark, str(tmp_path / "none"))
+    plan = pipeline.plan_match(spark, a, {"s": store(spark, [[0, 1]], ["AT"])})
+    g = pipeline.match(plan, 500, a.intervals)
+    assert (len(plan.jobs), g.sites, len(g.samples())) == (2, [], 2)
+
+
+def test_rows_of_one_position(spark):
+    """The first row of an annotation counts, and the last of a source that is matched."""
+    rows = spark.createDataFrame([(100, ["A", "T"], [0, 1], "1"), (100, ["A", "C"], [1, 1], "1"), (200, ["G"], [0, 0], "1")], "position int, alleles array<string>, calls array<tinyint>, contig_id string")
+    assert {(r["position"], tuple(r["alleles"])) for r in unify.last_calls(rows).collect()} == {(100, ("A", "C")), (200, ("G",))}
+    note = spark.createDataFrame([(100, "T"), (100, "A"), (200, "G")], "position int, ancestral_allele string")
+    assert {tuple(r) for r in unify.first_annotation(note).collect()} == {(100, "T"), (200, "G")}
+
+
+def test_public_names():
+    import genloom
+
+    assert all(callable(getattr(genloom, n)) for n in genloom.__all__)
+    assert len(genloom.__all__) == 15
+
+
 BASE = {"source": [{"name": "s", "path": "p"}], "ancestral_state": {"path": "p", "field": "f"}, "ancestors": {"path": "a", "sources": ["s"]}, "match": {"output": "o", "sources": {"ancestors": {}, "s": True}}}
 
 
