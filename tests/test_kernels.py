@@ -1,68 +1,128 @@
-"""Golden graphs and small cases of the kernels."""
+"""The kernels on generated graphs and spans, against slow versions of the same rules."""
+
+from functools import cache
 
 import numpy as np
 import pytest
 
 from genloom.operators.ancestors import descriptors, make_ancestor
 from genloom.operators.grouping import group_spans, levels, peel
-from genloom.operators.lshmm import MatchImpossible, match, panel
+from genloom.operators.lshmm import LocalTree, MatchImpossible, match, panel
 from genloom.operators.matching import match_codes
 from genloom.operators.treekernel import COMPRESSED, Graph
 
 
-def graph(sites, nodes):
-    """Root and node 1 over [10, 100); then ``time, [(left, right, parent)], mutated position`` of each node."""
-    g = Graph(100.0)
-    g.add_node(2)
-    g.add_node(1)
-    g.edges = [(10, 100, 0, 1)]
-    g.sites = [(float(x), "A") for x in sites]
-    for time, above, mutated in nodes:
-        u = g.add_node(time)
-        g.edges += [(a, b, p, u) for a, b, p in above]
-        g.mutations.append((sites.index(mutated), u, "T", -1))
+def nested(seed, nodes=12, sites=30):
+    """A graph in which each node copies random older ones in random stretches; some sites are mutated, each on one node."""
+    rng = np.random.default_rng(seed)
+    g = Graph(float(sites + 1))
+    g.add_node(nodes + 2)
+    g.add_node(nodes + 1)
+    g.edges = [(0.0, g.length, 0, 1)]
+    g.sites = [(float(k), "A") for k in range(sites)]
+    for k in range(nodes):
+        cuts = sorted({0, sites + 1, *rng.integers(1, sites, rng.integers(0, 4)).tolist()})
+        u = g.add_node(nodes - k)
+        g.edges += [(float(x), float(y), int(rng.integers(1, u)), u) for x, y in zip(cuts, cuts[1:])]
+    g.mutations = [(int(s), int(rng.integers(2, nodes + 2)), "T", -1) for s in rng.permutation(sites)[: sites * 2 // 3]]
     g.sort()
     return g
 
 
-GRAPHS = {
-    "star": graph([10, 20, 30], [(0.5, [(10, 100, 1)], 20), (0.3, [(10, 100, 1)], 10)]),
-    "binary": graph([10, 20, 30, 40], [(0.7, [(10, 100, 1)], 10), (0.4, [(10, 100, 2)], 30), (0.2, [(10, 100, 2)], 40)]),
-    "two": graph([10, 20, 30, 40], [(0.6, [(10, 100, 1)], 10), (0.3, [(10, 30, 1), (30, 100, 2)], 30)]),
-    "chain": graph([10, 20, 30, 40], [(0.8, [(10, 100, 1)], 10), (0.5, [(10, 100, 2)], 20), (0.2, [(10, 100, 3)], 30)]),
-}
-
-
-@pytest.mark.parametrize(
-    ("name", "query", "path", "mutations"),
-    [
-        ("star", [0, 1, 0], [(0, 100, 2)], []),
-        ("star", [1, 0, 0], [(0, 100, 3)], []),
-        ("star", [1, 1, 0], [(20, 100, 2), (0, 20, 3)], []),
-        ("star", [0, 0, 0], [(0, 100, 1)], []),
-        ("binary", [1, 0, 1, 0], [(0, 100, 3)], []),
-        ("binary", [1, 0, 0, 1], [(0, 100, 4)], []),
-        ("binary", [1, 0, 0, 0], [(0, 100, 2)], []),
-        ("binary", [0, 0, 1, 1], [(40, 100, 4), (30, 40, 3), (0, 30, 1)], []),
-        ("two", [1, 0, 0, 0], [(0, 100, 2)], []),
-        ("two", [0, 0, 1, 0], [(0, 100, 3)], []),
-        ("two", [1, 0, 1, 0], [(30, 100, 3), (0, 30, 2)], []),
-        ("two", [-1, -1, 1, 0], [(30, 100, 3)], []),
-        ("chain", [1, 1, 1, 0], [(0, 100, 4)], []),
-        ("chain", [1, 1, 0, 0], [(0, 100, 3)], []),
-        ("chain", [1, 0, 0, 0], [(0, 100, 2)], []),
-        ("chain", [0, 0, 0, 1], [(0, 100, 1)], [(40, 1)]),
-    ],
-)
-def test_golden_paths(name, query, path, mutations):
-    g = GRAPHS[name]
-    ((got, off),) = match_codes(panel(g, [2] * len(g.sites)), np.array([query], np.int8), np.array([1e-2]), np.array([1e-20]))
-    assert got == path
-    assert off == mutations
+def slow_match(g, codes, rho, mu):
+    """The rules of matching, one node at a time: path from right to left, and the differing sites."""
+    there = [s for s, c in enumerate(codes) if c >= 0] or range(len(codes))
+    start, end = there[0], there[-1] + 1
+    mutated = {s: u for s, u, _, _ in g.mutations}
+    n, likely, back, best, states = len(g.time), None, {}, {}, {}
+    for s in range(start, end):
+        x = g.sites[s][0]
+        parent = {c: p for a, b, p, c in g.edges if a <= x < b}
+        inside = set(parent) | set(parent.values())
+        if 0 in parent.values():
+            inside.discard(0)
+
+        def state(u):
+            while u is not None and u != mutated.get(s):
+                u = parent.get(u)
+            return int(u is not None and s in mutated)
+
+        likely = dict.fromkeys(inside, 1.0) if likely is None else {u: likely.get(u, 0.0) for u in inside}
+        states[s] = {u: state(u) for u in inside}
+        back[s] = set()
+        for u in inside:
+            stay = likely[u] * (1 - rho + rho / n)
+            if not stay > rho / n:
+                back[s].add(u)
+            likely[u] = max(stay, rho / n) * (1 - mu if codes[s] < 0 or codes[s] == states[s][u] else mu)
+        top = max(likely.values())
+        best[s] = min((u for u in inside if likely[u] == top), key=lambda u: (-g.time[u], u))
+        likely = {u: max(v / top, 2.2250738585072014e-308) for u, v in likely.items()}
+    u, path, off = best[end - 1], [], []
+    right = g.length if end == len(codes) else g.sites[end][0]
+    for s in range(end - 1, start - 1, -1):
+        if codes[s] >= 0 and codes[s] != states[s].get(u, 0):
+            off.append((g.sites[s][0], codes[s]))
+        if s > start and u in back[s]:
+            path.append((g.sites[s][0], right, u))
+            u, right = best[s - 1], g.sites[s][0]
+    path.append((0.0 if start == 0 else g.sites[start][0], right, u))
+    return path, sorted(off)
+
+
+@pytest.mark.parametrize("lot_bytes", [1 << 28, 1])
+def test_matching_by_slow_rules(monkeypatch, lot_bytes):
+    monkeypatch.setattr("genloom.operators.lshmm.BACK_BYTES", lot_bytes)
+    for seed in range(60):
+        g = nested(seed)
+        rng = np.random.default_rng(seed)
+        copied = dict(g.genotypes(list(range(len(g.time)))))
+        rows = []
+        for _ in range(5):  # mosaics of two nodes, with errors and missing calls
+            one, two = rng.integers(1, len(g.time), 2)
+            row = [int(copied[x][one if x < 15 else two] == "T") for x, _ in g.sites]
+            rows.append([-1 if r < 0.1 else 1 - c if r > 0.95 else c for c, r in zip(row, rng.random(30))])
+        rows += [[-1] * 30, [-1] * 8 + rows[0][8:20] + [-1] * 10]
+        got = match_codes(panel(g, [2] * 30), np.array(rows, np.int8), np.full(7, 1e-2), np.full(7, 1e-4))
+        assert got == [slow_match(g, r, 1e-2, 1e-4) for r in rows]
+
+
+def test_moving_tree():
+    for seed in range(10):
+        g = nested(seed)
+        p = panel(g, [2] * 30)
+        for start in (0, 11):
+            tree = LocalTree(p, start)
+            for s in range(start, 30, 1 + seed % 3):
+                if s > start:
+                    tree.move(s)
+                want = {c: q for a, b, q, c in g.edges if a <= s < b}
+                assert {u: q for u, q in enumerate(tree.parent.tolist()) if q != -1} == want
+                for u in range(len(g.time)):
+                    below = [v for v in range(len(g.time)) if u in chain(want, v)]
+                    assert np.flatnonzero(tree.below(u)).tolist() == below
+
+
+def chain(parent, u):
+    out = [u]
+    while out[-1] in parent:
+        out.append(parent[out[-1]])
+    return out
+
+
+def star():
+    g = Graph(8.0)
+    for t in (2, 1, 0.6, 0.4):
+        g.add_node(t)
+    g.edges = [(1.0, 8.0, 0, 1), (1.0, 8.0, 1, 2), (1.0, 8.0, 1, 3)]
+    g.sites = [(1.0, "A"), (3.0, "A"), (6.0, "A")]
+    g.mutations = [(0, 3, "T", -1), (1, 2, "T", -1)]
+    g.sort()
+    return g
 
 
 def test_match_errors():
-    g = GRAPHS["star"]
+    g = star()
     one = np.array([[0, 0, 1]], np.int8)
     span = (np.array([0]), np.array([3]))
     with pytest.raises(MatchImpossible):
@@ -77,29 +137,36 @@ def test_match_errors():
         panel(g2, [2, 2, 2])
 
 
-def groups(start, end, time):
-    grp = group_spans(np.array(start), np.array(end), np.array(time))
-    return {int(k): np.flatnonzero(grp == k).tolist() for k in np.unique(grp)}
+def slow_groups(start, end, time):
+    """Spans of one time that overlap, directly or through others, are one; its level is the longest chain of older ones it meets."""
+    n = len(start)
+    label = list(range(n))
+    for _ in range(n):
+        for i in range(n):
+            for j in range(n):
+                if time[i] == time[j] and start[i] < end[j] and start[j] < end[i]:
+                    label[i] = label[j] = min(label[i], label[j])
+    runs = {}
+    for i in range(n):
+        a, b, _ = runs.get(label[i], (start[i], end[i], time[i]))
+        runs[label[i]] = (min(a, start[i]), max(b, end[i]), time[i])
 
+    @cache
+    def level(k):
+        a, b, t = runs[k]
+        return max((1 + level(m) for m, (c, d, u) in runs.items() if u > t and c < b and a < d), default=0)
 
-@pytest.mark.parametrize(
-    ("start", "end", "time", "expected"),
-    [
-        ([1], [5], [1], {0: [0]}),
-        ([1, 2, 2], [4, 5, 3], [1, 1, 1], {0: [0, 1, 2]}),
-        ([2, 1], [3, 4], [2, 1], {0: [0], 1: [1]}),
-        ([1, 1], [5, 5], [1, 2], {0: [1], 1: [0]}),
-        ([1, 5], [3, 7], [1, 2], {0: [0, 1]}),
-        ([1, 2, 3], [4, 5, 6], [1, 2, 3], {0: [2], 1: [1], 2: [0]}),
-        ([1, 3], [3, 5], [1, 2], {0: [0, 1]}),
-        ([1, 3, 2, 5, 4, 1], [4, 6, 5, 7, 6, 3], [0.5, 0.7, 0.6, 0.4, 0.3, 0.6], {0: [1], 1: [2, 3, 5], 2: [0, 4]}),
-        ([1, 17, 34, 87], [69, 18, 126, 125], [16, 19, 16, 15], {0: [1], 1: [0, 2], 2: [3]}),
-        ([0, 50], [100, 50], [1, 1], {0: [0, 1]}),
-        ([0, 0, 0, 0], [100] * 4, [0.9, 0.4, 0.4, 0], {0: [0], 1: [1, 2], 2: [3]}),
-    ],
-)
-def test_groups(start, end, time, expected):
-    assert groups(start, end, time) == expected
+    return [level(k) for k in label]
+
+
+def test_groups_by_slow_rules():
+    for seed in range(60):
+        rng = np.random.default_rng(seed)
+        start = rng.integers(0, 40, 12)
+        end = start + rng.integers(1, 15, 12)
+        time = rng.integers(0, 4, 12)
+        assert group_spans(start, end, time).tolist() == slow_groups(start.tolist(), end.tolist(), time.tolist())
+    assert group_spans(np.zeros(0), np.zeros(0), np.zeros(0)).tolist() == []
 
 
 def test_groups_property():
@@ -198,29 +265,29 @@ def nodes(*rows):
     return g
 
 
-@pytest.mark.parametrize(
-    ("rows", "edges", "n_nodes", "n_edges", "time"),
-    [
-        ([(1, 0), (1, 0), (0, 1)], [(0, 100, 2, 0), (0, 100, 2, 1)], 4, 3, 1 - 2**-32),
-        ([(1, 0), (1, 0), (0, 1), (0, 2), (0, 2)], [(a, b, p, c) for c in (0, 1) for a, b, p in ((0, 50, 3), (50, 100, 4))], 6, 6, 2 - 2**-32),
-        ([(1, 0)] * 3 + [(0, 1)], [(0, 100, 3, c) for c in range(3)], 5, 4, 1 - 2**-32),
-        ([(1, 0), (1, 0), (0, 1), (0, 1)], [(0, 50, 2, 0), (50, 100, 3, 0), (0, 100, 2, 1)], 4, 3, None),
-        ([(1, 1), (1, 1), (0, 1 + 2**-33)], [(0, 100, 2, 0), (0, 100, 2, 1)], 3, 2, None),
-        ([(1, 0)] * 4 + [(0, 1), (0, 1)], [(0, 100, 4, 0), (0, 100, 4, 1), (0, 100, 5, 2), (0, 100, 5, 3)], 8, 6, 1 - 2**-32),
-        ([(1, 0), (1, 0), (0, 3), (0, 5)], [(a, b, p, c) for c in (0, 1) for a, b, p in ((0, 50, 2), (50, 100, 3))], 5, 6, 3 - 2**-32),
-        ([(1, 0)], [], 1, 0, None),
-    ],
-)
-def test_compression(rows, edges, n_nodes, n_edges, time):
-    g = nodes(*rows)
-    g.edges = [tuple(map(float, e[:2])) + e[2:] for e in edges]
-    g.sites, g.mutations = [(5.0, "A")], [(0, 0, "T", -1)]
-    out = g.compress()
-    assert (len(out.time), len(out.edges)) == (n_nodes, n_edges)
-    assert out.mutations[0][1] == 0
-    if time is not None:
-        assert out.time[-1] == time
-        assert out.flags[-1] == COMPRESSED
+def test_compression_by_slow_rules():
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        g = nodes(*[(0, 5.0 + k) for k in range(3)], *[(1, float(rng.choice([0, 1, 5.0 - 2**-33]))) for _ in range(8)])
+        shapes = [[(0, 100)], [(0, 50), (50, 100)]]
+        for u in range(3, 11):
+            g.edges += [(float(a), float(b), int(rng.integers(0, 2)), u) for a, b in shapes[rng.integers(0, 2)]]
+        g.sites, g.mutations = [(5.0, "A")], [(0, 4, "T", -1)]
+        paths = {u: sorted((a, b, p) for a, b, p, c in g.edges if c == u) for u in range(3, 11)}
+        want_edges, want_times, moved = [], [], set()
+        for path in {tuple(p): 0 for p in paths.values()}:
+            kids = [u for u in paths if tuple(paths[u]) == path]
+            age = min(g.time[p] for _, _, p in path) - 2**-32
+            if len(kids) > 1 and age > max(g.time[u] for u in kids):
+                u = 11 + len(want_times)
+                want_times.append(age)
+                moved |= set(kids)
+                want_edges += [(a, b, p, u) for a, b, p in path] + [(a, b, u, c) for c in kids for a, b, _ in path]
+        out = g.compress()
+        assert out.time[11:] == want_times
+        assert out.flags[11:] == [COMPRESSED] * len(want_times)
+        assert sorted(out.edges) == sorted([*want_edges, *(e for e in g.edges if e[3] not in moved)])
+        assert out.mutations[0][1] == 4
 
 
 def test_vestigial_root_and_flanks():
@@ -230,13 +297,24 @@ def test_vestigial_root_and_flanks():
     odd.length = 1.5
     with pytest.raises(ValueError, match="whole"):
         odd.vestigial_root()
-    g = GRAPHS["star"].vestigial_root()
-    assert g.time[0] == 3
-    assert [e for e in g.edges if e[2] == 0] == [(10.0, 100.0, 0, 1)]
-    assert GRAPHS["star"].erase_flanks() is GRAPHS["star"]
-    h = GRAPHS["star"].copy()
-    h.intervals = [(0, 20), (30, 40)]
-    assert {e[:2] for e in h.erase_flanks().edges} == {(10, 20), (30, 40)}
+    for seed in range(10):
+        g = random_graph(seed)
+        out = g.vestigial_root()
+        assert out.time == [max(g.time) + 1, *g.time]
+        above = sorted((a, b, c) for a, b, p, c in out.edges if p == 0)
+        roots = sorted((left, right, int(u) + 1) for left, right, parent in g.trees() for u in {int(p) for p in parent if p != -1} if parent[u] == -1)
+        joined = []
+        for a, b, u in sorted(roots, key=lambda r: (r[2], r[0])):
+            if joined and joined[-1][2] == u and joined[-1][1] == a:
+                joined[-1] = (joined[-1][0], b, u)
+            else:
+                joined.append((a, b, u))
+        assert above == sorted(joined)
+        assert sorted((a, b, p - 1, c - 1) for a, b, p, c in out.edges if p) == sorted(g.edges)
+    assert star().erase_flanks().edges == star().edges
+    h = star()
+    h.intervals = [(0, 2), (5, 7)]
+    assert {e[:2] for e in h.erase_flanks().edges} == {(1, 2), (5, 7)}
 
 
 def random_graph(seed, leaves=6, length=40):
@@ -280,7 +358,13 @@ def test_simplify_keeps_genotypes_and_parsimony_places_them():
 
 
 def test_mutation_parents():
-    g = GRAPHS["chain"].copy()
-    g.mutations = [(0, 4, "G", -1), (0, 2, "T", -1), (0, 3, "C", -1)]
-    g.sort()
-    assert [(m[1], m[3]) for m in g.mutations] == [(2, -1), (3, 0), (4, 1)]
+    for seed in range(20):
+        g = nested(seed)
+        rng = np.random.default_rng(seed)
+        g.mutations = [(s, int(u), "TCG"[k % 3], -1) for s in range(0, 30, 4) for k, u in enumerate(rng.permutation(np.arange(1, 14))[:5])]
+        g.sort()
+        for site, node, _, parent in g.mutations:
+            x = g.sites[site][0]
+            above = chain({c: p for a, b, p, c in g.edges if a <= x < b}, node)[1:]
+            mine = {u: k for k, (t, u, _, _) in enumerate(g.mutations) if t == site}
+            assert parent == next((mine[u] for u in above if u in mine), -1)

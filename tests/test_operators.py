@@ -1,8 +1,11 @@
 """Relational operators on literal rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from genloom import functions
 from genloom.operators import grouping, jobs, sites, tables, unify
 from genloom.sources.catalog import Store, open_store, resolve_field, write_store
 from genloom.sources.filters import filter_variants, select_samples, to_sql
@@ -12,20 +15,33 @@ def rows(df, *columns):
     return sorted(tuple(r) for r in df.select(*columns).collect())
 
 
-@pytest.mark.parametrize(
-    ("positions", "gap", "expected"),
-    [
-        ([100], 500_000, [(100, 101)]),
-        ([100, 200, 300], 500_000, [(100, 301)]),
-        ([100, 200, 800_000, 900_000], 500_000, [(100, 201), (800_000, 900_001)]),
-        ([0, 500_000], 500_000, [(0, 500_001)]),
-        ([0, 500_001], 500_000, [(0, 1), (500_001, 500_002)]),
-        ([], 500_000, []),
-    ],
-)
-def test_intervals(spark, positions, gap, expected):
-    df = spark.createDataFrame([(p,) for p in positions], "position int")
-    assert rows(sites.sequence_intervals(df, gap), "start", "end") == expected
+def runs_of(positions, gap):
+    out = []
+    for p in sorted(positions):
+        if out and p - out[-1][-1] <= gap:
+            out[-1].append(p)
+        else:
+            out.append([p])
+    return [(r[0], r[-1] + 1) for r in out]
+
+
+@pytest.mark.parametrize("gap", [0, 7, 30, 900_000, 5_000_000])
+def test_intervals(spark, gap):
+    rng = random.Random(gap)
+    scale = max(10, 3 * gap)
+    positions = sorted({rng.randrange(scale) + rng.choice([0, gap, 4 * scale, 9 * scale]) for _ in range(60)} | {0, gap, 2 * gap + 1})
+    df = spark.createDataFrame([(p,) for p in positions], "position long")
+    assert rows(sites.sequence_intervals(df, gap), "start", "end") == runs_of(positions, gap)
+    numbered = rows(sites.with_interval(df.withColumn("more", F.lit(1)), gap), "position", "interval_idx")
+    spans = runs_of(positions, gap)
+    assert numbered == [(p, next(k for k, (a, b) in enumerate(spans) if a <= p < b)) for p in positions]
+    assert rows(sites.sequence_intervals(df.where("false"), gap), "start", "end") == []
+
+
+def test_scalar_functions(spark):
+    df = spark.createDataFrame([(1, ["A", "", ""]), (1 << 16, ["", "T", ""]), (None, []), (65537, [""])], "flags int, alleles array<string>")
+    told = df.select(functions.is_sample("flags").alias("s"), functions.is_compressed("flags").alias("c"), functions.without_padding("alleles").alias("a"), functions.ancestor_name("flags").alias("n")).collect()
+    assert [tuple(r) for r in told] == [(True, False, ["A"], "a1"), (False, True, ["", "T"], "a65536"), (False, False, [], None), (True, True, [], "a65537")]
 
 
 def test_position_sets(spark):
