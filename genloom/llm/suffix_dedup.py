@@ -11,18 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genloom.llm.common import rows, text_buffer
-from genloom.session import release, ship, stage, table
+from genloom.session import discard, release, ship, stage, table
 
 #: Length of the repeated strings, and of the grams that anchor them.
 LENGTH, GRAM = 100, 32
 _GRAM_STEPS = 5  # 2 ** 5 = GRAM
 _WINDOW = LENGTH - GRAM + 1
 _PLACE_BITS = 28
-#: Bits of the broadcast bitmap of repeated anchors: 8 MB whatever the input.
-BITMAP_BITS = 26
-#: Symbols that are merged at once, and segments of one anchor up to which they are.
-CHUNK, CROWD = 1 << 17, 1 << 14
-SHARDS = 2
+#: Bytes of text whose anchors one task compares; the number of tasks follows from the input.
+TASK_BYTES = 32 << 20
+#: Symbols of the transforms that are merged at once, and shards that each such lot is sorted in.
+CHUNK, SHARDS = 1 << 17, 2
+#: Distinct segments of one anchor beyond which a longer anchor parts them.
+CROWD = 1024
 
 
 def _byte_codes() -> np.ndarray:
@@ -48,16 +49,24 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, offsets: np.ndarray, most: int = 1 << (_PLACE_BITS - 1)) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchors of all LENGTH-byte windows inside rows: hash, position, first and last window start, and row.
 
     A window's anchor is the gram of smallest hash in it, the leftmost among
     equals, so equal windows have equal anchors at equal distances. Windows
-    that share an anchor start next to each other.
+    that share an anchor start next to each other. Data of over ``most`` bytes
+    is read in overlapping parts, so that positions stay within their bits.
     """
     none = tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64, np.int64))
     if len(data) < LENGTH:
         return none
+    if len(data) > most:
+        parts = []
+        for lo in range(0, len(data) - LENGTH + 1, most):
+            part = data[lo : lo + most + LENGTH - 1]
+            h, at, first, last, row = anchors(part, np.clip(offsets - lo, 0, len(part)), most + LENGTH)
+            parts.append((h, at + lo, first + lo, last + lo, row))
+        return tuple(np.concatenate(c) for c in zip(*parts))
     h = gram_hashes(data)
     low = np.uint64((1 << _PLACE_BITS) - 1)
     m = (h & ~low) | np.arange(len(h), dtype=np.uint64)
@@ -81,7 +90,8 @@ def suffix_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     """Sorted suffixes of sorted strings with their ends: string and offset of each, and its preceding symbol.
 
     Symbols are bytes plus 1 (UTF-8 has no byte above 0xF4); an end is 0, and
-    equal suffixes go by string. The symbol before a whole string is 0.
+    equal suffixes go by string. The symbol before a whole string is 0. The
+    preceding symbols in this order are the Burrows-Wheeler transform.
     """
     sizes = np.fromiter((len(s) + 1 for s in strings), np.int64, len(strings))
     first = np.cumsum(sizes) - sizes
@@ -107,6 +117,16 @@ def suffix_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return string[order], order - first[string[order]], before[order]
 
 
+def steps(transforms: list[np.ndarray]) -> np.ndarray:
+    """For each row, the row of the suffix one symbol longer; rows are numbered through all shards."""
+    out = np.empty(sum(map(len, transforms)), np.int32)
+    at = 0
+    for t in transforms:
+        out[at + np.argsort(t, kind="stable")] = np.arange(at, at + len(t))
+        at += len(t)
+    return out
+
+
 def merged_blocks(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of several shards' transforms in merged order, and numbers of the blocks that share ``depth`` symbols.
 
@@ -122,12 +142,7 @@ def merged_blocks(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray,
     """
     if depth % 2:
         raise ValueError("the depth must be even: a round adds two symbols")
-    symbols = np.concatenate(transforms)
-    step = np.empty(len(symbols), np.int32)
-    at = 0
-    for t in transforms:
-        step[at + np.argsort(t, kind="stable")] = np.arange(at, at + len(t))
-        at += len(t)
+    symbols, step = np.concatenate(transforms), steps(transforms)
     further = symbols[step]
     pairs = np.where((symbols > 0) & (further > 0), further.astype(np.uint16) << 8 | symbols, np.uint16(0))
     step = step[step]
@@ -146,37 +161,70 @@ def merged_blocks(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray,
     return rows_, block
 
 
-def repeated_windows(segments: list[bytes], docs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Segment and offset of each LENGTH-byte window that occurs earlier, at a smaller (doc, start)."""
-    transforms, owners, places = [], [], []
-    for shard in range(SHARDS):
-        members = sorted(np.flatnonzero(docs % SHARDS == shard).tolist(), key=segments.__getitem__)
-        if members:
-            string, place, transform = suffix_order([segments[i] for i in members])
-            transforms.append(transform)
-            owners.append(np.array(members)[string])
-            places.append(place)
+def owners(transforms: list[np.ndarray], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """String and offset of each row, read from the transforms alone: all strings are walked from their ends."""
+    symbols, step = np.concatenate(transforms), steps(transforms)
+    owner, left = np.zeros(len(symbols), np.int32), np.zeros(len(symbols), np.int32)
+    at = np.cumsum([0, *map(len, transforms[:-1])])
+    now = np.concatenate([a + np.arange(n) for a, n in zip(at, counts)])
+    owner[now] = string = np.arange(len(now))
+    size, walked = np.zeros(len(now), np.int32), 0
+    while len(now):
+        size[string] = walked
+        inside = symbols[now] > 0
+        now, string, walked = step[now[inside]], string[inside], walked + 1
+        owner[now], left[now] = string, walked
+    return owner, size[owner] - left
+
+
+def repeated_windows(transforms: list[np.ndarray], counts: list[int], docs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """String and offset of each LENGTH-byte window that occurs earlier, at a smaller (doc, start).
+
+    ``transforms`` are those of shards with ``counts`` strings each; ``docs``
+    and ``starts`` tell where the strings, numbered through all shards, begin.
+    """
     found, block = merged_blocks(transforms, LENGTH)
-    owner, place = np.concatenate(owners)[found], np.concatenate(places)[found]
+    if not len(found):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    owner, place = (x[found] for x in owners(transforms, counts))
     where = starts[owner] + place
     order = np.lexsort((where, docs[owner], block))
     owner, place, where, block = owner[order], place[order], where[order], block[order]
-    if not len(block):
-        return owner, place
     lead = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
     lead = np.repeat(lead, np.diff(np.r_[lead, len(block)]))
     later = (docs[owner] != docs[owner][lead]) | (where != where[lead])
     return owner[later], place[later]
 
 
-def _runs(places: np.ndarray) -> tuple[list[int], list[int]]:
-    places = np.unique(places)
-    cut = np.flatnonzero(np.r_[True, places[1:] != places[:-1] + 1])
-    return places[cut].tolist(), places[np.r_[cut[1:], len(places)] - 1].tolist()
+_WIDTHS = (np.uint8, np.uint16, np.uint32, np.uint64)
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of integers: each as differences from its least one, in the narrowest type that holds them."""
+    out = [np.array([len(columns), len(columns[0])], np.int64).tobytes()]
+    for c in columns:
+        c = c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64)
+        least = c.min() if len(c) else np.int64(0)
+        off = c.view(np.uint64) - np.array(least).view(np.uint64)
+        width = next(w for w in _WIDTHS if not len(c) or off.max() <= np.iinfo(w).max)
+        out += [np.array([least, np.dtype(width).itemsize], np.int64).tobytes(), off.astype(width).tobytes()]
+    return b"".join(out)
+
+
+def unpacked(raw: bytes) -> list[np.ndarray]:
+    """The columns of ``packed``, as longs."""
+    k, n = np.frombuffer(raw, np.int64, 2)
+    at, out = 16, []
+    for _ in range(k):
+        least, size = np.frombuffer(raw, np.int64, 2, at)
+        off = np.frombuffer(raw, f"<u{size}", n, at + 16).astype(np.uint64)
+        out.append((off + np.array(least).view(np.uint64)).view(np.int64))
+        at += 16 + int(n * size)
+    return out
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``d`` (the id, null last), ``th`` and ``text``: what tells documents apart here.
+def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """``d`` (the id, null last), ``th`` and ``text``: what tells documents apart here; and whether ids do.
 
     ``th`` is a hash of the text where some id occurs twice, else 0.
     """
@@ -184,7 +232,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     d = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     alone = docs.select(d.alias("d")).groupBy("d").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
     th = F.lit(0).cast("long") if alone else F.xxhash64(text)
-    return docs.select("doc_id", d.alias("d"), th.alias("th"), text.alias("text"))
+    return docs.select("doc_id", d.alias("d"), th.alias("th"), text.alias("text")), alone
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -194,209 +242,288 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
         yield batch, data[lo : int(offsets[-1])], offsets - lo
 
 
-def _bits(hashes: DataFrame) -> np.ndarray:
-    """A bitmap with the high bits of each value of ``h`` set; 8 MB at most reach the driver."""
-    place = F.shiftrightunsigned("h", 64 - BITMAP_BITS)
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - BITMAP_BITS}) % 64 as int))")
-    words = hashes.select(F.shiftright(place, 6).cast("int").alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
-    out[words["word"].to_numpy()] = words["bits"].to_numpy()
-    return out.view(np.uint64)
+def _earliest(h: np.ndarray, k: np.ndarray, d: np.ndarray, th: np.ndarray, s0: np.ndarray, *more: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The columns in order of ``h, k, d, s0, th`` without repeated rows; where each ``(h, k)`` begins; and which rows share its first place."""
+    order = np.lexsort((th, s0, d, k, h))
+    columns = [c[order] for c in (h, k, d, th, s0, *more)]
+    differ = lambda *of: np.logical_or.reduce([c[1:] != c[:-1] for c in of])
+    once = np.flatnonzero(np.r_[True, differ(*columns[:5])][: len(h)])
+    columns = [c[once] for c in columns]
+    h, k, d, th, s0 = columns[:5]
+    new = np.r_[True, differ(h, k)][: len(h)]
+    lead = np.flatnonzero(new)
+    lead = np.repeat(lead, np.diff(np.r_[lead, len(h)]))
+    return columns, new, (d == d[lead]) & (s0 == s0[lead])
 
 
-def _in_bits(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    place = hashes >> np.uint64(64 - BITMAP_BITS)
-    return np.flatnonzero((bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1))
+def _dealt(tasks: int):
+    """Kernel over ``d, th, text``: ``task, kind, blob``; segments (``kind`` 0) by anchor, and repeats told already (1).
 
-
-def repeated_anchors(docs: DataFrame) -> DataFrame:
-    """``h`` of the anchors that occur twice or more in all of ``docs``."""
+    A segment is all windows of one anchor: window starts ``s0`` to ``s0 +
+    span``, with the anchor ``o`` bytes after ``s0``. Hashes of the anchor,
+    ``h``, and of the segment with the anchor's place in it, ``k``, name its
+    content. Of equal segments within a batch only the first is passed on, so
+    a passage that a third of all rows share is few rows of its task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, offsets in _batches(batches):
-            hashes, counts = np.unique(anchors(data, offsets)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(np.minimum(counts, 2).astype(np.int32))], ["h", "n"])
+        digest = xxhash.xxh64_intdigest
+        for turn, (batch, data, offsets) in enumerate(_batches(batches)):
+            h, at, lo, hi, row = anchors(data, offsets)
+            if not len(h):
+                continue
+            raw = data.tobytes()
+            k = np.array([digest(raw[a:b], c) for a, b, c in zip(lo.tolist(), (hi + LENGTH).tolist(), (at - lo).tolist())], np.uint64)
+            d, th = (batch.column(i).to_numpy(zero_copy_only=False)[row] for i in (0, 1))
+            columns, _, first = _earliest(h, k, d, th, lo - offsets[row], hi - lo, at - lo)
+            out = []
+            if not first.all():
+                d, th, s0, span = (c[~first] for c in columns[2:6])
+                out.append((turn % tasks, 1, packed(d, th, s0, s0 + span + LENGTH)))
+            columns = [c[first] for c in columns]
+            task = (columns[0] % np.uint64(tasks)).astype(np.int64)
+            order = np.argsort(task, kind="stable")
+            task, columns = task[order], [c[order] for c in columns]
+            cut = np.flatnonzero(np.r_[True, task[1:] != task[:-1], True])
+            out += [(int(task[a]), 0, packed(*(c[a:b] for c in columns))) for a, b in zip(cut[:-1], cut[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary()))], ["task", "kind", "blob"])
 
-    return docs.select("text").mapInArrow(run, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+    return run
 
 
-_OCCURRENCE = "d long, th long, s0 int, span int, h long, k long"
+_PLACES = "kind int, h long, d long, th long, lo long, hi long, o int"
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """Segments around anchors that may be repeated.
+def _told(crowd: int):
+    """Kernel over all ``task, kind, blob`` of one task: ``kind`` 0 repeats, 1 first segments to compare, 2 those of crowded anchors.
 
-    A segment is all windows of one anchor: window starts ``s0`` to ``s0 +
-    span``. ``h`` and ``k`` (hashes of the anchor, and of the segment with the
-    anchor's place in it) name its content. The bitmap lets every repeated
-    anchor pass, and others too, the more the fuller it is; those are alone
-    and come to nothing.
+    All places of a segment but the first are repeats as a whole. First ones
+    matter further where their anchor has other segments as well.
     """
-    told = docs.sparkSession.sparkContext.broadcast(_bits(repeated_anchors(docs)))
+
+    def out(kind: np.ndarray | int, h: np.ndarray, d: np.ndarray, th: np.ndarray, lo: np.ndarray, hi: np.ndarray, o: np.ndarray) -> Iterator[pa.RecordBatch]:
+        kind = np.broadcast_to(np.asarray(kind, np.int32), len(h))
+        columns = [kind, *(c.astype(np.int64) for c in (h, d, th, lo, hi)), o.astype(np.int32)]
+        for at in range(0, len(h), 1 << 18):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c[at : at + (1 << 18)])) for c in columns], [f.split()[0] for f in _PLACES.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh64_intdigest
-        for batch, data, offsets in _batches(batches):
-            h, at, lo, hi, row = anchors(data, offsets)
-            keep = _in_bits(told.value, h)
-            h, at, lo, hi, row = h[keep], at[keep], lo[keep], hi[keep], row[keep]
-            raw = data.tobytes()
-            keys = [digest(raw[a:b], c) for a, b, c in zip(lo.tolist(), (hi + LENGTH).tolist(), (at - lo).tolist())]
-            d, th = (batch.column(k).to_numpy(zero_copy_only=False)[row] for k in (0, 1))
-            columns = [d, th, (lo - offsets[row]).astype(np.int32), (hi - lo).astype(np.int32), h.view(np.int64), np.array(keys, np.uint64).view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [f.split()[0] for f in _OCCURRENCE.split(", ")])
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            for kind, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                columns = unpacked(blob)
+                if kind:
+                    none = np.zeros(len(columns[0]), np.int64)
+                    yield from out(0, none, *columns, none)
+                else:
+                    held.append(columns)
+        if not held:
+            return
+        (h, k, d, th, s0, span, o), new, first = _earliest(*(np.concatenate(c) for c in zip(*held)))
+        del held
+        later = ~first
+        yield from out(0, h[later], d[later], th[later], s0[later], (s0 + span + LENGTH)[later], o[later])
+        anchor = np.cumsum(np.r_[False, h[1:] != h[:-1]])
+        kinds = np.bincount(anchor, new)[anchor]
+        some = first & (kinds > 1)
+        kind = np.where(kinds > crowd, 2, 1)[some]
+        yield from out(kind, h[some], d[some], th[some], s0[some], (s0 + span + LENGTH)[some], o[some])
+
+    return run
+
+
+_SEGMENT = "kind int, h long, d long, th long, s0 long, o int, gram int, seg binary"
+
+
+def _segments(docs: DataFrame, alone: bool, places: DataFrame) -> DataFrame:
+    """``_SEGMENT`` rows: the bytes of the segments at ``places``."""
+    place = F.struct("kind", "h", "lo", "hi", "o")
+    per_doc = places.groupBy(F.col("d").alias("_d"), F.col("th").alias("_t")).agg(F.collect_list(place).alias("places"))
+    # equal rows are one document
+    once = docs.select("d", "th", "text") if alone else docs.select("d", "th", "text").dropDuplicates(["d", "th"])
+    joined = once.join(per_doc, (once["d"] == per_doc["_d"]) & (once["th"] == per_doc["_t"])).select("d", "th", "places", "text")
 
-    return docs.select("d", "th", "text").mapInArrow(run, _OCCURRENCE)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows(batches, 4 << 20):
+            found = batch.column(2)
+            sizes = np.diff(found.offsets.to_numpy())
+            flat = found.flatten()
+            kind, h, lo, hi, o = flat.flatten()
+            d, th = (pa.array(np.repeat(batch.column(i).to_numpy(zero_copy_only=False), sizes)) for i in (0, 1))
+            at, segs = 0, []
+            lows, highs = lo.to_pylist(), hi.to_pylist()
+            for n, text in zip(sizes.tolist(), batch.column(3).to_pylist()):
+                raw = text.encode()
+                segs += [raw[a:b] for a, b in zip(lows[at : at + n], highs[at : at + n])]
+                at += n
+            gram = pa.array(np.full(len(segs), GRAM, np.int32))
+            yield pa.RecordBatch.from_arrays([kind, h, d, th, lo, o, gram, pa.array(segs, pa.binary())], [f.split()[0] for f in _SEGMENT.split(", ")])
 
+    return joined.mapInArrow(run, _SEGMENT)
 
-def _place_hash(d: np.ndarray, s0: np.ndarray) -> np.ndarray:
-    x = d.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + s0.astype(np.uint64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
 
+def longer_anchors(seg: bytes, o: int, gram: int) -> Iterator[tuple[int, int, int, int]]:
+    """The windows of a segment by longer grams around its gram at ``o``: first and last window, place and length of the gram.
 
-def segments_at(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """``h, k, d, s0, seg``: the bytes of the segments at the places ``d, s0``, and of some others."""
+    A window that has as much or more room after the gram as before it goes
+    with the bytes that follow, others with those that precede, half the room
+    in each case; the longer gram lies in all of its windows. Equal windows
+    go the same way, and after seven steps the gram is the window.
+    """
+    room, span = LENGTH - gram, len(seg) - LENGTH
+    half = room // 2
+    lo = max(0, o - half)
+    if lo <= span:
+        yield lo, span, o, gram + room - half
+    hi = min(span, o - half - 1)
+    if hi >= 0:
+        yield 0, hi, o - half - 1, gram + half + 1
+
+
+def _parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Kernel over ``_SEGMENT`` rows: ``k`` and a ``_SEGMENT`` row for each longer anchor."""
+    digest = xxhash.xxh64_intdigest
+    names = ["k", *(f.split()[0] for f in _SEGMENT.split(", "))]
+    types = [pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.int32(), pa.int32(), pa.binary()]
+    for batch in batches:
+        out = []
+        for _, _, d, th, s0, o, gram, seg in zip(*(c.to_pylist() for c in batch.columns)):
+            for lo, hi, at, size in longer_anchors(seg, o, gram):
+                own = seg[lo : hi + LENGTH]
+                h, k = digest(seg[at : at + size], 1 + (at < o)), digest(own, at - lo)
+                out.append((k - (k >> 63 << 64), 1, h - (h >> 63 << 64), d, th, s0 + lo, at - lo, size, own))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * len(types), types)], names)
 
-    @F.arrow_udf("long")
-    def place(d: pa.Array, s0: pa.Array) -> pa.Array:
-        return pa.array(_place_hash(d.to_numpy(zero_copy_only=False), s0.to_numpy(zero_copy_only=False)).view(np.int64))
 
-    told = docs.sparkSession.sparkContext.broadcast(_bits(places.select(place("d", "s0").alias("h"))))
+def _uncrowded(crowd: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """``_SEGMENT`` rows to compare, and ``d, th, lo, hi`` of repeats, for segments of crowded anchors.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh64_intdigest
-        for batch, data, offsets in _batches(batches):
-            h, at, lo, hi, row = anchors(data, offsets)
-            d = batch.column(0).to_numpy(zero_copy_only=False)[row]
-            keep = _in_bits(told.value, _place_hash(d, lo - offsets[row]))
-            h, at, lo, hi, row, d = h[keep], at[keep], lo[keep], hi[keep], row[keep], d[keep]
-            raw = data.tobytes()
-            segs = [raw[a:b] for a, b in zip(lo.tolist(), (hi + LENGTH).tolist())]
-            keys = np.array([digest(s, c) for s, c in zip(segs, (at - lo).tolist())], np.uint64)
-            columns = [h.view(np.int64), keys.view(np.int64), d, (lo - offsets[row]).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(segs, pa.binary())], ["h", "k", "d", "s0", "seg"])
+    Each step parts the segments by longer anchors, and tells those that are
+    equal by then, with sums that start where the rows are read; so no task
+    gets a whole crowd.
+    """
+    ready, repeats = [], []
+    columns = [f.split()[0] for f in _SEGMENT.split(", ")]
+    while not crowd.isEmpty():
+        parted = stage(crowd.select(*columns).mapInArrow(_parted, f"k long, {_SEGMENT}"), "parted")
+        first = parted.groupBy(F.col("h").alias("_h"), F.col("k").alias("_k")).agg(F.min(F.struct("d", "s0")).alias("f"), F.count(F.lit(1)).alias("n"))
+        first = stage(first, "first")
+        kinds = first.groupBy(F.col("_h").alias("_a")).agg(F.count(F.lit(1)).alias("kinds"))
+        known = stage(first.join(kinds, first["_h"] == kinds["_a"]).where("n > 1 or kinds > 1").drop("_a"), "known")
+        joined = parted.join(known, (parted["h"] == known["_h"]) & (parted["k"] == known["_k"]))
+        is_first = (F.col("d") == F.col("f.d")) & (F.col("s0") == F.col("f.s0"))
+        joined = stage(joined.select(*columns, "kinds", is_first.alias("is_first")), "settled")
+        repeats.append(joined.where("not is_first").select("d", "th", F.col("s0").alias("lo"), (F.col("s0") + F.length("seg")).alias("hi")))
+        ready.append(joined.where(f"is_first and kinds between 2 and {CROWD}").select(*columns))
+        crowd = joined.where(f"is_first and kinds > {CROWD}")
+        discard(parted, first, known)
+        release(crowd.sparkSession)
+    return ready, repeats
+
+
+_SHARD = "chunk long, transform binary, strings binary"
+
+
+def _transforms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Kernel over ``chunk, shard, h, d, th, s0, seg`` sorted by chunk and shard: the transform of each shard, and where its strings are."""
+    now, held = None, []
+
+    def done() -> pa.RecordBatch:
+        held.sort(key=lambda r: r[4])
+        _, _, transform = suffix_order([r[4] for r in held])
+        strings = packed(*(np.array(c, np.int64) for c in zip(*(r[:4] for r in held))))
+        return pa.RecordBatch.from_arrays([pa.array([now[0]]), pa.array([transform.tobytes()], pa.binary()), pa.array([strings], pa.binary())], ["chunk", "transform", "strings"])
 
-    return docs.select("d", "th", "text").mapInArrow(run, "h long, k long, d long, s0 int, seg binary")
+    for batch in batches:
+        for chunk, shard, *r in zip(*(c.to_pylist() for c in batch.columns)):
+            if (chunk, shard) != now:
+                if held:
+                    yield done()
+                now, held = (chunk, shard), []
+            held.append(r)
+    if held:
+        yield done()
 
 
-_FLAGS = "crowd boolean, h long, k long, d long, s0 int, los array<int>, his array<int>, seg binary"
+def _runs(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    cut = np.flatnonzero(np.r_[True, places[1:] != places[:-1] + 1])
+    return places[cut], places[np.r_[cut[1:], len(places)] - 1]
 
 
-def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeated windows of each distinct segment; rows ``h, k, d, s0, seg`` come sorted by anchor.
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Kernel over ``_SHARD`` rows sorted by chunk: ``d, th, lo, hi`` of the repeats in each chunk's merged transform."""
+    now, held = None, []
 
-    Of rows with one key the earliest counts. Whole anchor groups are merged
-    together up to CHUNK symbols. A group of over CROWD segments is streamed
-    on unsolved, marked ``crowd``.
-    """
-    held: dict[int, tuple] = {}
-    chunk: list[tuple] = []
-    size = 0
-    now, crowded = None, False
-
-    def out(items: list[tuple]) -> pa.RecordBatch:
-        types = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary())
-        columns = list(zip(*items)) or [()] * len(types)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [f.split()[0] for f in _FLAGS.split(", ")])
-
-    def solved() -> pa.RecordBatch:
-        owner, place = repeated_windows([r[4] for r in chunk], np.array([r[2] for r in chunk]), np.array([r[3] for r in chunk]))
-        order = np.argsort(owner, kind="stable")
-        owner, place = owner[order], place[order]
-        cut = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else owner
-        items = []
-        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(owner)]):
-            items.append((False, *chunk[owner[a]][:4], *_runs(place[a:b]), None))
-        return out(items)
-
-    def close() -> None:
-        nonlocal held, size
-        if len(held) > 1:
-            chunk.extend(held.values())
-            size += sum(len(r[4]) for r in held.values())
-        held = {}
+    def done() -> pa.RecordBatch:
+        transforms = [np.frombuffer(t, np.uint8) for t, _ in held]
+        strings = [unpacked(s) for _, s in held]
+        _, d, th, s0 = (np.concatenate(c) for c in zip(*strings))
+        owner, place = repeated_windows(transforms, [len(s[0]) for s in strings], d, s0)
+        # a window's number leaves a gap between strings, so runs end with their string
+        at = np.unique(owner.astype(np.int64) << 32 | place.astype(np.int64))
+        lo, hi = _runs(at) if len(at) else (at, at)
+        owner, lo, hi = lo >> 32, lo & 0xFFFFFFFF, hi & 0xFFFFFFFF
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (d[owner], th[owner], s0[owner] + lo, s0[owner] + hi + LENGTH)], ["d", "th", "lo", "hi"])
 
     for batch in batches:
-        for r in zip(*(c.to_pylist() for c in batch.columns)):
-            if r[0] != now:
-                if crowded and held:
-                    yield out([(True, *x[:4], None, None, x[4]) for x in held.values()])
-                    held = {}
-                close()
-                now, crowded = r[0], False
-                if size >= CHUNK:
-                    yield solved()
-                    chunk, size = [], 0
-            known = held.get(r[1])
-            if known is None or r[2:4] < known[2:4]:
-                held[r[1]] = r
-            if crowded and len(held) > 256 or len(held) > CROWD:
-                crowded = True
-                yield out([(True, *x[:4], None, None, x[4]) for x in held.values()])
-                held = {}
-    if crowded and held:
-        yield out([(True, *x[:4], None, None, x[4]) for x in held.values()])
-        held = {}
-    close()
-    if chunk:
-        yield solved()
-
-
-def _crowd_windows(crowd: DataFrame) -> DataFrame:
-    """Flags for the segments of crowded anchors, by the windows themselves.
-
-    Each window's 128-bit hash is summed to its first place where it is read
-    and then across tasks, so no anchor's segments meet in one task.
+        for chunk, transform, strings in zip(*(c.to_pylist() for c in batch.columns)):
+            if chunk != now:
+                if held:
+                    yield done()
+                now, held = chunk, []
+            held.append((transform, strings))
+    if held:
+        yield done()
+
+
+def _compared(segments: DataFrame, tasks: int) -> DataFrame:
+    """``d, th, lo, hi`` of the windows of ``segments`` that occur earlier in another of the same anchor.
+
+    Anchors fall into chunks of about CHUNK symbols. The strings of a chunk
+    are sorted in SHARDS shards, by different tasks; their transforms are
+    brought together and merged.
     """
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for h, k, d, s0, seg in zip(*(c.to_pylist() for c in batch.columns)):
-                n = len(seg) - LENGTH + 1
-                keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(seg[i : i + LENGTH]) for i in range(n)), np.int64).reshape(-1, 2)
-                same = [pa.array(np.full(n, v, t)) for v, t in ((h, np.int64), (k, np.int64), (d, np.int64), (s0, np.int32))]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(n, dtype=np.int32)), pa.array(np.ascontiguousarray(keys[:, 0])), pa.array(np.ascontiguousarray(keys[:, 1]))], ["h", "k", "d", "s0", "i", "wa", "wb"])
-
-    first = crowd.groupBy("h", "k").agg(F.min(F.struct("d", "s0", "seg")).alias("f")).select("h", "k", "f.d", "f.s0", "f.seg")
-    found = stage(first.mapInArrow(windows, "h long, k long, d long, s0 int, i int, wa long, wb long"), "crowd-windows")
-    place = F.struct("d", (F.col("s0") + F.col("i")).alias("s"))
-    least = stage(found.groupBy("wa", "wb").agg(F.min(place).alias("least")), "crowd-first")
-    later = found.join(least, ["wa", "wb"]).where((F.col("d") != F.col("least.d")) | (F.col("s0") + F.col("i") != F.col("least.s")))
-    return later.groupBy("h", "k").agg(F.sort_array(F.collect_set("i")).alias("los")).select("h", "k", "los", F.col("los").alias("his"))
-
-
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """``d, th, lo, hi``: bytes ``[lo, hi)`` of each document that lie in a LENGTH-byte string that starts earlier too.
-
-    Every occurrence of a segment but the first lies wholly in repeats. For
-    the first ones, those whose anchor has several segments are compared, by
-    merged transforms, window by window.
+    symbols = segments.agg(F.sum(F.length("seg") + 1)).first()[0]
+    if not symbols:
+        return segments.sparkSession.createDataFrame([], "d long, th long, lo long, hi long")
+    chunks = -(-symbols // CHUNK)
+    chunk, shard = F.pmod(F.xxhash64("h"), F.lit(chunks)), F.pmod(F.xxhash64("d", "s0"), F.lit(SHARDS))
+    dealt = segments.select(chunk.alias("chunk"), shard.alias("shard"), "h", "d", "th", "s0", "seg")
+    dealt = dealt.repartitionById(tasks, F.pmod(F.col("chunk") * SHARDS + F.col("shard"), F.lit(tasks)).cast("int"))
+    sorted_ = dealt.sortWithinPartitions("chunk", "shard").mapInArrow(_transforms, _SHARD)
+    met = sorted_.repartitionById(tasks, F.pmod("chunk", F.lit(tasks)).cast("int")).sortWithinPartitions("chunk")
+    return met.mapInArrow(_merged, "d long, th long, lo long, hi long")
+
+
+def repeated_spans(docs: DataFrame, alone: bool) -> DataFrame:
+    """``d, th, spans``: per document the bytes ``[lo, hi)`` that lie in a LENGTH-byte string that starts earlier too.
+
+    Every occurrence of a segment but the first lies wholly in repeats. The
+    first ones whose anchor has several segments are compared window by
+    window, by merged transforms. Tasks grow in number with the bytes.
     """
-    ship(docs.sparkSession)
-    found = stage(occurrences(docs), "occurrences")
-    place = F.struct("d", "s0")
-    firsts = stage(found.groupBy("h", "k").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("n")).select("h", "k", F.col("f.d").alias("fd"), F.col("f.s0").alias("fs"), "n"), "firsts")
-    several = stage(firsts.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select(F.col("h").alias("hh")), "several")
-    places = stage(firsts.join(several, firsts["h"] == several["hh"], "left_semi").select(F.col("fd").alias("d"), F.col("fs").alias("s0")), "places")
-    release(docs.sparkSession)
-    segments = segments_at(docs, places)
-    flags = stage(segments.repartition("h").sortWithinPartitions("h").mapInArrow(_solve, _FLAGS), "flags")
-    partial = flags.where("not crowd").select("h", "k", "los", "his")
-    crowd = flags.where("crowd")
-    if not crowd.isEmpty():
-        partial = partial.unionByName(_crowd_windows(crowd))
-    partial = stage(partial.select(F.col("h").alias("ph"), F.col("k").alias("pk"), "los", "his"), "partial")
-    # a key of one place without a repeated window has nothing to tell
-    told = firsts.join(partial, (firsts["h"] == partial["ph"]) & (firsts["k"] == partial["pk"]), "left").where("n > 1 or los is not null")
-    told = stage(told.select(F.col("h").alias("th_"), F.col("k").alias("tk"), "fd", "fs", "los", "his"), "told")
-    release(docs.sparkSession)
-    joined = found.join(told, (found["h"] == told["th_"]) & (found["k"] == told["tk"]))
-    is_first = (F.col("d") == F.col("fd")) & (F.col("s0") == F.col("fs"))
-    own = F.arrays_zip("los", "his")
-    whole = F.array(F.struct(F.lit(0).alias("los"), F.col("span").alias("his")))
-    marked = joined.select("d", "th", "s0", F.explode(F.when(is_first, own).otherwise(whole)).alias("r"))
-    return marked.select("d", "th", (F.col("s0") + F.col("r.los")).alias("lo"), (F.col("s0") + F.col("r.his") + LENGTH).alias("hi"))
+    spark = docs.sparkSession
+    ship(spark)
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // TASK_BYTES))
+    dealt = docs.select("d", "th", "text").mapInArrow(_dealt(tasks), "task int, kind int, blob binary").repartitionById(tasks, "task")
+    places = stage(dealt.mapInArrow(_told(CROWD), _PLACES), "places")
+    release(spark)
+    segments = stage(_segments(docs, alone, places.where("kind > 0")), "segments")
+    release(spark)
+    ready, repeats = _uncrowded(segments.where("kind = 2"))
+    compare = segments.where("kind = 1")
+    for more in ready:
+        compare = compare.unionByName(more)
+    partial = stage(_compared(compare, tasks), "partial")
+    discard(segments)
+    every = places.where("kind = 0").select("d", "th", "lo", "hi").unionByName(partial)
+    for more in repeats:
+        every = every.unionByName(more)
+    spans = stage(every.groupBy(F.col("d").alias("_d"), F.col("th").alias("_h")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
+    discard(places, partial)
+    release(spark)
+    return spans
 
 
 def _union(spans: list[dict]) -> list[tuple[int, int]]:
@@ -415,12 +542,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     Null counts as empty. Rows that repeat an id and its text are one document
     and get equal results; texts that share an id are told apart by their
     hash, and of equal strings at equal places of those neither is the
-    earlier. Texts under LENGTH bytes lose nothing. No rows in, none out.
+    earlier. Texts under LENGTH bytes lose nothing. Other columns are not
+    read. No rows in, none out.
     """
-    keyed = _keyed(docs)
-    spans = repeated_spans(keyed)
-    per_doc = stage(spans.groupBy(F.col("d").alias("_d"), F.col("th").alias("_h")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
-    release(docs.sparkSession)
+    keyed, alone = _keyed(docs)
+    per_doc = repeated_spans(keyed, alone)
     joined = keyed.join(per_doc, (keyed["d"] == per_doc["_d"]) & (keyed["th"] == per_doc["_h"]), "left").select("doc_id", "spans", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
