@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from genloom.functions import ancestor_name
 from genloom.operators.grouping import group_spans
-from genloom.session import ship
+from genloom.session import ship, stage
 
 
 def descriptors(calls: np.ndarray, times: np.ndarray) -> list[list[int]]:
@@ -84,48 +85,97 @@ def make_ancestor(calls: np.ndarray, times: np.ndarray, derived: np.ndarray, foc
 FOUND = "interval_idx int, descriptor int, time double, start_position int, end_position int, first_position int, last_position int, focal_positions array<int>, positions array<int>, hap binary"
 
 
-def build(sites: DataFrame, splits: int = 8) -> DataFrame:
-    """Ancestors of inference sites (``interval_idx, position, time, derived, calls``), without ids.
+_PACKED = "interval_idx int, position int, time double, derived int, haplotypes int, ones binary, called binary"
 
-    Intervals are independent. Within one, the sites are dealt to ``splits``
-    tasks, each of which makes its share of the ancestors, so memory is one
-    interval's matrix a task, however many ancestors there are.
-    """
+
+def packed_sites(sites: DataFrame) -> DataFrame:
+    """``_PACKED`` rows of ``interval_idx, position, time, derived, calls``: two bits a call."""
     ship(sites.sparkSession)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            calls = batch.column(4).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            planes = [pa.array([r.tobytes() for r in np.packbits(plane, axis=1)], pa.binary()) for plane in (calls == 1, calls >= 0)]
+            many = pa.array(np.full(batch.num_rows, calls.shape[1], np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], many, *planes], [f.split()[0] for f in _PACKED.split(", ")])
+
+    rows = sites.select(F.col("interval_idx").cast("int"), F.col("position").cast("int"), F.col("time").cast("double"), F.col("derived").cast("int"), "calls")
+    return rows.mapInArrow(run, _PACKED)
+
+
+def _unpacked(found: pa.Table) -> np.ndarray:
+    """Calls of 0, 1 and -1, sites by haplotypes."""
+    n = found["haplotypes"][0].as_py()
+    ones, called = (np.unpackbits(np.frombuffer(b"".join(found[c].to_pylist()), np.uint8).reshape(found.num_rows, -1), axis=1, count=n) for c in ("ones", "called"))
+    calls = ones.astype(np.int8)
+    calls[called == 0] = -1
+    return calls
+
+
+def described(packed: DataFrame, splits: int) -> DataFrame:
+    """``interval_idx, descriptor, split, focal``: the numbers of the focal sites of each ancestor; each interval is gone through once."""
+
     def one(key: tuple, found: pa.Table) -> pa.Table:
+        found = found.sort_by("position")
+        focal = descriptors(_unpacked(found), found["time"].to_numpy())
+        n = len(focal)
+        return pa.table({"interval_idx": pa.array([key[0].as_py()] * n, pa.int32()), "descriptor": pa.array(range(n), pa.int32()), "split": pa.array([k % splits for k in range(n)], pa.int32()), "focal": pa.array(focal, pa.list_(pa.int32()))})
+
+    return packed.groupBy("interval_idx").applyInArrow(one, "interval_idx int, descriptor int, split int, focal array<int>")
+
+
+def build(sites: DataFrame, splits: int | None = None) -> DataFrame:
+    """Ancestors of inference sites (``interval_idx, position, time, derived, calls``), without ids.
+
+    Intervals are independent. Descriptors are made once an interval; then its
+    sites, at two bits a call, go to ``splits`` tasks (one for each 500 sites,
+    64 at most), each of which makes its share of the ancestors. Memory is
+    one interval's matrix a task, however many ancestors there are.
+    """
+    packed = stage(packed_sites(sites), "packed-sites")
+    splits = splits or max(1, min(64, packed.count() // 500))
+
+    def one(key: tuple, found: pa.Table, mine: pa.Table) -> pa.Table:
         found = found.sort_by("position")
         position, times, derived = (found[c].to_numpy() for c in ("position", "time", "derived"))
-        calls = np.array(found["calls"].to_pylist(), np.int8).reshape(len(position), -1)
+        calls = _unpacked(found) if found.num_rows else np.zeros((0, 0), np.int8)
         rows = []
-        for k, focal in enumerate(descriptors(calls, times)):
-            if k % splits == key[1].as_py():
-                a, b, hap = make_ancestor(calls, times, derived, focal)
-                rows.append((key[0].as_py(), k, float(times[focal[0]]), int(position[a]), int(position[b - 1]) + 1, int(position[a]), int(position[b - 1]), position[focal].tolist(), position[a:b].tolist(), hap.tobytes()))
+        for k, focal in zip(mine["descriptor"].to_pylist(), mine["focal"].to_pylist()):
+            a, b, hap = make_ancestor(calls, times, derived, focal)
+            rows.append((key[0].as_py(), k, float(times[focal[0]]), int(position[a]), int(position[b - 1]) + 1, int(position[a]), int(position[b - 1]), position[focal].tolist(), position[a:b].tolist(), hap.tobytes()))
         types = (pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary())
         names = [f.split()[0] for f in FOUND.split(", ")]
         columns = list(zip(*rows)) or [()] * len(types)
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
-    dealt = sites.select("interval_idx", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("split"), "position", "time", "derived", "calls")
-    return dealt.groupBy("interval_idx", "split").applyInArrow(one, FOUND)
+    dealt = packed.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
+    return dealt.groupBy("interval_idx", "split").cogroup(described(packed, splits).groupBy("interval_idx", "split")).applyInArrow(one, FOUND)
 
 
 def numbered(found: DataFrame) -> DataFrame:
-    """``found`` with ``ancestor_id`` and ``sample_id``: by interval, then group of closed spans, then descriptor."""
+    """``found`` with ``ancestor_id`` and ``sample_id``: by interval, then group of closed spans, then descriptor.
+
+    Ids are made of the spans alone, by interval; the haplotypes are joined to them.
+    """
     ship(found.sparkSession)
 
     def groups(key: tuple, spans: pa.Table) -> pa.Table:
         start, last, time = (spans[c].to_numpy() for c in ("first_position", "last_position", "time"))
         # a span of one site is a whole genome of one site: any length above zero will do
         grp = group_spans(start, np.maximum(last, start + 1), time)
-        return spans.select(["interval_idx", "descriptor"]).append_column("grp", pa.array(grp))
+        rank = np.empty(len(grp), np.int64)
+        rank[np.lexsort((spans["descriptor"].to_numpy(), grp))] = np.arange(len(grp))
+        return spans.select(["interval_idx", "descriptor"]).append_column("rank", pa.array(rank))
 
     slim = found.select("interval_idx", "descriptor", "first_position", "last_position", "time")
-    level = slim.groupBy("interval_idx").applyInArrow(groups, "interval_idx int, descriptor int, grp long")
-    ordered = found.join(level, ["interval_idx", "descriptor"])
-    rank = F.row_number().over(Window.orderBy("interval_idx", "grp", "descriptor")) - 1
-    return ordered.withColumn("ancestor_id", rank.cast("int")).withColumn("sample_id", F.concat(F.lit("a"), F.col("ancestor_id").cast("string"))).drop("grp", "descriptor")
+    ranks = slim.groupBy("interval_idx").applyInArrow(groups, "interval_idx int, descriptor int, rank long")
+    before = Window.orderBy("interval_idx").rowsBetween(Window.unboundedPreceding, -1)
+    bases = found.groupBy("interval_idx").agg(F.count(F.lit(1)).alias("n")).select("interval_idx", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    ids = ranks.join(bases, "interval_idx").select("interval_idx", "descriptor", (F.col("base") + F.col("rank")).cast("int").alias("ancestor_id"))
+    named = found.join(ids, ["interval_idx", "descriptor"]).withColumn("sample_id", ancestor_name("ancestor_id"))
+    return named.drop("descriptor")
 
 
 def transpose(rows: DataFrame, sites: int, block: int = 4096) -> DataFrame:
@@ -138,7 +188,8 @@ def transpose(rows: DataFrame, sites: int, block: int = 4096) -> DataFrame:
 
     def turn(key: tuple, found: pa.Table) -> pa.Table:
         base = key[0].as_py() * block
-        codes = np.array(found["codes"].to_pylist(), np.int8)
+        codes = found["codes"].combine_chunks()
+        codes = codes.flatten().to_numpy(zero_copy_only=False).reshape(found.num_rows, -1)
         out = np.full((codes.shape[1], min(block, sites - base)), -1, np.int8)
         out[:, found["site"].to_numpy() - base] = codes.T
         n = len(out)

@@ -13,18 +13,21 @@ from genloom.session import ship
 
 
 def merge_spans(spans: DataFrame, within: str | None = None) -> DataFrame:
-    """``spans`` (``ord, start, end, time``) with ``merged``: runs of equal time whose spans overlap, touching not counted.
+    """``spans`` (``start, end, time``) with ``merged``: runs of equal time whose spans overlap, touching not counted.
 
-    ``merged`` is a struct of the run's start, end and time.
+    ``merged`` is a struct of the run's start, end and time. Equal spans are
+    one before anything is sorted, so samples, which share time and span by
+    the thousand, are a single row of the window.
     """
     keys = ["time"] if within is None else [within, "time"]
-    order = Window.partitionBy(*keys).orderBy("start", "ord")
+    columns = [*keys, "start", "end"]
+    order = Window.partitionBy(*keys).orderBy("start", F.desc("end"))
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    cut = spans.withColumn("_new", F.when(F.col("start") < reach, 0).otherwise(1))
+    cut = spans.select(*columns).distinct().withColumn("_new", F.when(F.col("start") < reach, 0).otherwise(1))
     runs = cut.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     whole = Window.partitionBy(*keys, "_run")
     merged = F.struct(F.min("start").over(whole).alias("start"), F.max("end").over(whole).alias("end"), F.col("time").alias("time"))
-    return runs.withColumn("merged", merged).drop("_new", "_run")
+    return spans.join(runs.select(*columns, merged.alias("merged")), columns)
 
 
 def levels(start: np.ndarray, end: np.ndarray, time: np.ndarray) -> np.ndarray:
@@ -53,20 +56,6 @@ def levels(start: np.ndarray, end: np.ndarray, time: np.ndarray) -> np.ndarray:
     return out
 
 
-def peel(needs: dict[int, set[int]]) -> list[list[int]]:
-    """Groups of items by repeated removal of those whose needs are met; a cycle is an error."""
-    left = {k: set(v) for k, v in needs.items()}
-    out = []
-    while left:
-        ready = sorted(k for k, v in left.items() if not v & left.keys())
-        if not ready:
-            raise ValueError("the dependencies have a cycle")
-        out.append(ready)
-        for k in ready:
-            del left[k]
-    return out
-
-
 def group_spans(start: np.ndarray, end: np.ndarray, time: np.ndarray) -> np.ndarray:
     """Group of each span, driver side: merged spans' levels given to all their members."""
     start, end, time = (np.asarray(x) for x in (start, end, time))
@@ -99,6 +88,6 @@ def assign_groups(spans: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(start), pa.array(end), pa.array(time), pa.array(levels(start, end, time))], ["ms", "me", "mt", "grp"])
 
     types = dict(distinct.dtypes)
-    level = distinct.coalesce(1).mapInArrow(sweep, f"ms {types['start']}, me {types['end']}, mt {types['time']}, grp long")
+    level = distinct.repartition(1).mapInArrow(sweep, f"ms {types['start']}, me {types['end']}, mt {types['time']}, grp long")
     same = (F.col("merged.start") == F.col("ms")) & (F.col("merged.end") == F.col("me")) & (F.col("merged.time") == F.col("mt"))
     return merged.join(level, same).drop("merged", "ms", "me", "mt")

@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from genloom.operators.numbering import numbered
+
 JOB_FIELDS = ("haplotype_index", "source", "sample_id", "ploidy_index", "time", "start_position", "end_position", "group", "node_flags", "individual_id", "population_id", "sample_chunk")
 
 
 def first_seen_ids(rows: DataFrame, keys: list[str], order: Column, out: str) -> DataFrame:
     """``keys`` with dense ids from 0 by first appearance."""
     firsts = rows.groupBy(*keys).agg(F.min(order).alias("_first"))
-    return firsts.withColumn(out, (F.row_number().over(Window.orderBy("_first")) - 1).cast("long")).drop("_first")
+    return numbered(firsts, ["_first"], out).drop("_first")
 
 
 def haplotype_rows(samples: DataFrame) -> DataFrame:
     """Samples of ``source_ord, source, sample_idx, sample_id, ploidy`` as haplotypes, numbered by source, sample and ploidy."""
     each = samples.withColumn("ploidy_index", F.explode(F.sequence(F.lit(0), F.col("ploidy") - 1)))
-    order = Window.orderBy("source_ord", "sample_idx", "ploidy_index")
-    return each.withColumn("haplotype_index", (F.row_number().over(order) - 1).cast("long"))
+    return numbered(each, ["source_ord", "sample_idx", "ploidy_index"], "haplotype_index")
 
 
 def permutation(wanted: DataFrame, present: DataFrame) -> DataFrame:
@@ -30,9 +31,10 @@ def permutation(wanted: DataFrame, present: DataFrame) -> DataFrame:
 
 
 def as_json(jobs: DataFrame) -> DataFrame:
-    """``group, haplotype_index, json`` with one JSON object a job."""
+    """``group, haplotype_index, json`` with one JSON object a job, in order of group and haplotype."""
     fields = [F.col(c) for c in JOB_FIELDS if c in jobs.columns]
-    return jobs.select("group", "haplotype_index", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("json"))
+    rows = jobs.select("group", "haplotype_index", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("json"))
+    return rows.orderBy("group", "haplotype_index")
 
 
 def histogram(jobs: DataFrame, width: int = 60) -> DataFrame:

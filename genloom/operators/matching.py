@@ -38,6 +38,18 @@ def active(codes: np.ndarray) -> tuple[int, int]:
     return (int(there[0]), int(there[-1]) + 1) if len(there) else (0, len(codes))
 
 
+def active_frame(haps: DataFrame) -> DataFrame:
+    """``hap, first, end``: what ``active`` tells of each row of ``hap, codes``."""
+    ship(haps.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [active(np.frombuffer(r, np.int8)) for r in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([s[k] for s in spans], pa.int64()) for k in (0, 1))], ["hap", "first", "end"])
+
+    return haps.select("hap", "codes").mapInArrow(run, "hap long, first long, end long")
+
+
 def match_codes(p: lshmm.Panel, codes: np.ndarray, rho: np.ndarray, mu: np.ndarray) -> list[tuple[list[tuple[float, float, int]], list[tuple[float, int]]]]:
     """Path and differing ``(position, code)`` of each row of ``codes``."""
     spans = np.array([active(c) for c in codes]).reshape(-1, 2)

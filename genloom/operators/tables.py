@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from genloom.operators.numbering import numbered
 from genloom.operators.treekernel import COMPRESSED
 
 
 def appended_nodes(jobs: DataFrame, existing: int) -> DataFrame:
     """``id`` of each new node: the number of nodes there are, plus its rank by haplotype index."""
-    rank = F.row_number().over(Window.orderBy("haplotype_index"))
-    return jobs.withColumn("id", (F.lit(existing) + rank - 1).cast("long"))
+    return numbered(jobs, ["haplotype_index"], "id", existing)
 
 
 def squashed(edges: DataFrame) -> DataFrame:
@@ -55,12 +55,12 @@ def compressed(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame
     """Edges and nodes after path compression; new ids follow the largest, in order of the first child."""
     groups = compression_groups(edges, nodes)
     top = nodes.agg(F.max("id")).first()[0]
-    numbered = groups.withColumn("id", F.row_number().over(Window.orderBy(F.col("children")[0])) + F.lit(top))
-    up = numbered.select(F.explode("path").alias("p"), F.col("id").alias("child")).select("p.left", "p.right", "p.parent", "child")
-    down = numbered.select("id", F.explode("children").alias("child"), "path").select("id", "child", F.explode("path").alias("p")).select("p.left", "p.right", F.col("id").alias("parent"), "child")
-    rest = edges.join(numbered.select(F.explode("children").alias("child")), "child", "left_anti").select("left", "right", "parent", "child")
+    named = numbered(groups.withColumn("first_child", F.col("children")[0]), ["first_child"], "id", top + 1)
+    up = named.select(F.explode("path").alias("p"), F.col("id").alias("child")).select("p.left", "p.right", "p.parent", "child")
+    down = named.select("id", F.explode("children").alias("child"), "path").select("id", "child", F.explode("path").alias("p")).select("p.left", "p.right", F.col("id").alias("parent"), "child")
+    rest = edges.join(named.select(F.explode("children").alias("child")), "child", "left_anti").select("left", "right", "parent", "child")
     columns = ["left", "right", "parent", "child"]
-    new = numbered.select("id", "time", F.lit(COMPRESSED).alias("flags"))
+    new = named.select("id", "time", F.lit(COMPRESSED).alias("flags"))
     return rest.select(columns).unionByName(up.select(columns)).unionByName(down.select(columns)), nodes.select("id", "time", "flags").unionByName(new)
 
 

@@ -33,13 +33,13 @@ class Ancestors:
     intervals: list[tuple[int, int]]
 
 
-def infer_ancestors(sources: list[tuple[Store, Store]], annotation: DataFrame, max_gap: int = MAX_GAP, splits: int = 8) -> Ancestors:
+def infer_ancestors(sources: list[tuple[Store, Store]], annotation: DataFrame, max_gap: int = MAX_GAP, splits: int | None = None) -> Ancestors:
     """From ``(filtered, whole)`` stores and an annotation."""
     parts = [(kept.variants, whole.variants, whole.haplotypes()) for kept, whole in sources]
     n = sum(p[2] for p in parts)
     unified = unify.unified(parts, annotation)
     sites = stage(site_ops.with_interval(site_ops.inference_sites(unified, n), max_gap), "sites")
-    found = stage(anc.numbered(anc.build(sites, splits)), "ancestors")
+    found = stage(anc.numbered(stage(anc.build(sites, splits), "unnumbered")), "ancestors")
     spans = sites.groupBy("interval_idx").agg(F.min("position").alias("a"), (F.max("position") + 1).alias("b")).orderBy("interval_idx").collect()
     return Ancestors(sites, found, [(r["a"], r["b"]) for r in spans])
 

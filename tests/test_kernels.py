@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from genloom.operators.ancestors import descriptors, make_ancestor
-from genloom.operators.grouping import group_spans, levels, peel
+from genloom.operators.grouping import group_spans, levels
 from genloom.operators.lshmm import LocalTree, MatchImpossible, match, panel
 from genloom.operators.matching import match_codes
 from genloom.operators.treekernel import COMPRESSED, Graph
@@ -182,12 +182,9 @@ def test_groups_property():
         assert (grp[:, None] < grp[None, :])[meet & older].all()
 
 
-def test_levels_and_cycles():
+def test_empty_spans_are_refused():
     with pytest.raises(ValueError, match="empty"):
         levels(np.array([3]), np.array([3]), np.array([1.0]))
-    assert peel({0: set(), 1: {0}, 2: {0}, 3: {1, 2}}) == [[0], [1, 2], [3]]
-    with pytest.raises(ValueError, match="cycle"):
-        peel({0: {1}, 1: {0}})
 
 
 def bits(*rows):
