@@ -268,7 +268,7 @@ def _dealt(tasks: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
-        for turn, (batch, data, offsets) in enumerate(_batches(batches)):
+        for batch, data, offsets in _batches(batches):
             h, at, lo, hi, row = anchors(data, offsets)
             if not len(h):
                 continue
@@ -279,7 +279,7 @@ def _dealt(tasks: int):
             out = []
             if not first.all():
                 d, th, s0, span = (c[~first] for c in columns[2:6])
-                out.append((turn % tasks, 1, packed(d, th, s0, s0 + span + LENGTH)))
+                out.append((digest(d.tobytes()) % tasks, 1, packed(d, th, s0, s0 + span + LENGTH)))  # any task will do
             columns = [c[first] for c in columns]
             task = (columns[0] % np.uint64(tasks)).astype(np.int64)
             order = np.argsort(task, kind="stable")
