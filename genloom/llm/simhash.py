@@ -381,6 +381,25 @@ def candidates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> tupl
     return stage(_by(prefixes, "n").mapInArrow(_chained(similarity), "a long, b long").distinct(), "near-links"), sets
 
 
+def print_links(sets: DataFrame, radius: int = 3) -> DataFrame:
+    """``a, b``: each of ``node, shingles`` with the first node that it reaches in steps of near fingerprints, by the covering tables."""
+    ship(sets.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sizes = np.diff(part.column(1).offsets.to_numpy())
+                out = np.zeros(part.num_rows, np.uint64)
+                if sizes.any():
+                    hashes = part.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                    out[sizes > 0] = majority(hashes, (np.cumsum(sizes) - sizes)[sizes > 0])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
+
+    prints = stage(sets.select("node", "shingles").mapInArrow(run, "doc_id long, fp long"), "prints-of-sets")
+    return components(prints, radius).where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+
+
 #: Members of a component that are settled together in one task.
 TOGETHER = 256
 
@@ -418,7 +437,9 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     One rule, whatever the number of near copies: in order of ``node_of``, a
     hash of ``doc_id`` and text, each row goes whose set of ``words``-word
     shingles has a Jaccard similarity of ``similarity`` or more with that of an
-    earlier one that stays. ``candidates`` connects all such pairs.
+    earlier one that stays. The covering tables link sets whose fingerprints
+    are near; one fingerprint can't reach all pairs of that similarity, so
+    ``candidates`` links those that the tables miss, exactly.
     Components of up to TOGETHER members are settled in one task each. Of a
     larger one about half as many, the first in order, are settled; those that
     stay are compared with all others by a join, and what is left is counted
@@ -428,6 +449,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     """
     named = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), node_of(docs).alias("node"))
     edges, sets = candidates(named, words, similarity)
+    edges = stage(edges.unionByName(print_links(sets)), "near-edges")
     kind = "node long, doc_id long, keep_id long"
     if edges.isEmpty():
         return docs.sparkSession.createDataFrame([], kind)
