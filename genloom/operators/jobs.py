@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from genloom.operators.numbering import numbered
@@ -37,6 +37,15 @@ def as_json(jobs: DataFrame) -> DataFrame:
     return rows.orderBy("group", "haplotype_index")
 
 
+def progress(jobs: DataFrame) -> DataFrame:
+    """Per group, in order: its haplotypes, those done after it, the same in per cent, and the median size of all groups."""
+    counts = jobs.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+    whole = counts.agg(F.sum("n").alias("_total"), F.percentile("n", F.lit(0.5)).alias("median_n"))
+    done = F.sum("n").over(Window.orderBy("group").rowsBetween(Window.unboundedPreceding, 0))  # a row a group
+    told = counts.withColumn("done", done).join(F.broadcast(whole))
+    return told.withColumn("percent", F.col("done") * 100.0 / F.col("_total")).drop("_total")
+
+
 def histogram(jobs: DataFrame, width: int = 60) -> DataFrame:
     """Per group: count, distinct sample chunks, mean and population variance of spans in kb, and a bar."""
     kb = (F.col("end_position") - F.col("start_position")) / 1000.0

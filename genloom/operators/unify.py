@@ -58,6 +58,21 @@ def polarised(call: Column, ancestral: Column) -> Column:
     return F.when(call < 0, -1).when(call == ancestral, 0).otherwise(1).cast("tinyint")
 
 
+def raw_genotypes(variants: DataFrame, positions: DataFrame, haplotypes: Sequence[int] | None = None) -> DataFrame:
+    """``position, calls`` as stored, at the given positions; of the given haplotypes, in their order, or of all."""
+    found = variants.join(positions.select("position"), "position", "left_semi")
+    if haplotypes is None:
+        return found.select("position", "calls")
+    wanted = F.split(F.lit(",".join(map(str, haplotypes))), ",") if haplotypes else F.array().cast("array<string>")
+    return found.select("position", F.transform(wanted, lambda i: F.get("calls", i.cast("int"))).alias("calls"))
+
+
+def derived_genotypes(variants: DataFrame, indexes: DataFrame, haplotypes: Sequence[int] | None = None) -> DataFrame:
+    """``position, calls`` of 0 (ancestral), 1 (another allele) and -1, at the positions of ``position, ancestral_index``."""
+    raw = raw_genotypes(variants, indexes, haplotypes).join(indexes.select("position", "ancestral_index"), "position")
+    return raw.select("position", F.transform("calls", lambda c: polarised(c, F.col("ancestral_index"))).alias("calls"))
+
+
 def dictionaries(sources: Sequence[DataFrame], annotation: DataFrame) -> DataFrame:
     """``position, dictionary``: the ancestral allele, then unseen non-empty ones by source and allele order."""
     rows = None

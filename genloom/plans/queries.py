@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genloom.functions import is_compressed
+from genloom.functions import ancestor_name, is_compressed, without_padding
 from genloom.operators import grouping, jobs, lshmm, sites, tables, unify
 from genloom.operators.ancestors import build, described, packed_sites, transpose
 from genloom.operators.matching import active_frame, extend, make_root, match_frame
+from genloom.operators.numbering import numbered
 from genloom.operators.treekernel import Graph
 from genloom.plans import skin
 from genloom.session import table
@@ -87,9 +88,9 @@ SELECT 'a' || k AS sample_id, time, position, ancestral_allele || '/' || CASE an
 def q06(spark: SparkSession, sf: str) -> DataFrame:
     s = sites.site_stats(skin.derived(spark, sf), skin.HAPLOTYPES)
     words = unify.dictionaries([skin.annotation(spark, sf).select("position", F.array(F.lit("F"), F.lit("O")).alias("alleles"))], skin.annotation(spark, sf))
-    rank = F.row_number().over(Window.orderBy(F.desc("time"), "position")) - 1
-    named = s.join(words, "position").withColumn("sample_id", F.concat(F.lit("a"), rank.cast("string")))
-    return named.select("sample_id", "time", "position", F.array_join(F.slice("dictionary", 1, 2), "/").alias("alleles"))
+    ranked = numbered(s.join(words, "position").withColumn("younger", -F.col("time")), ["younger", "position"], "rank")
+    named = ranked.withColumn("sample_id", ancestor_name("rank"))
+    return named.select("sample_id", "time", "position", F.array_join(F.slice(without_padding("dictionary"), 1, 2), "/").alias("alleles"))
 
 
 def _jobs(spark: SparkSession, sf: str) -> DataFrame:
@@ -163,18 +164,19 @@ def q13(spark: SparkSession, sf: str) -> DataFrame:
 def _sources(spark: SparkSession, sf: str) -> list[tuple[DataFrame, DataFrame, int]]:
     """Even and odd haplotypes as two sources of eight; the odd one's alleles are the other way round, and it is filtered."""
     raw = skin.calls(spark, sf)
+    slight = table(spark, sf, "part").where("p_size <= 45").select(skin.position("p_partkey").alias("position"))
     out = []
     for k, alleles in ((0, ("F", "O")), (1, ("O", "F"))):
         code = F.col("raw") if k == 0 else 1 - F.col("raw")
         cells = [F.coalesce(F.max(F.when(F.col("h") == 2 * j + k, code)), F.lit(-1)).cast("tinyint") for j in range(8)]
         rows = raw.where(f"h % 2 = {k}").groupBy("position").agg(F.array(*cells).alias("calls")).withColumn("alleles", F.array(*map(F.lit, alleles)))
-        out.append((rows.where("position % 700 <> 0") if k else rows, rows, 8))
+        out.append((rows.join(slight, "position", "left_semi") if k else rows, rows, 8))
     return out
 
 
 @query("q14_multi_source_rows", f"""WITH {skin.SQL}, p AS (SELECT position, max(CASE WHEN h % 2 = 0 THEN 1 ELSE 0 END) AS even FROM c GROUP BY position),
 x AS (SELECT p.position, p.even, a.ancestral_allele, CAST(g.range % 2 AS INTEGER) AS k, CAST(g.range AS INTEGER) AS h FROM p JOIN a ON p.position = a.position CROSS JOIN range(16) g),
-y AS (SELECT x.*, CASE WHEN x.k = 1 AND x.position % 700 = 0 THEN NULL WHEN c.raw = 1 THEN 'O' WHEN c.raw = 0 THEN 'F' END AS allele
+y AS (SELECT x.*, CASE WHEN x.k = 1 AND x.position IN (SELECT 100 * (p_partkey + 1) FROM part WHERE p_size > 45) THEN NULL WHEN c.raw = 1 THEN 'O' WHEN c.raw = 0 THEN 'F' END AS allele
       FROM x LEFT JOIN c ON x.position = c.position AND x.h = c.h)
 SELECT position, string_agg(CASE WHEN allele IS NULL THEN '-1' WHEN allele = ancestral_allele THEN '0'
        WHEN ancestral_allele = 'X' AND allele = (CASE even WHEN 1 THEN 'O' ELSE 'F' END) THEN '2' ELSE '1' END, ',' ORDER BY k, h) AS codes FROM y GROUP BY position""")
@@ -299,6 +301,28 @@ def q24(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(out + [("mutation", r["node"], float(r["site"]), float(r["parent"])) for r in told["mutations"]], "kind string, id long, x double, y double")
 
 
+@query("q36_raw_genotypes", f"""WITH {skin.SQL}, p AS (SELECT 100 * (p_partkey + 1) AS position FROM part WHERE p_size < 10), k AS (SELECT DISTINCT position FROM c WHERE position IN (SELECT position FROM p))
+SELECT k.position, string_agg(coalesce(c.raw, -1), ',' ORDER BY g.range DESC) AS calls, string_agg(CASE WHEN c.raw IS NULL THEN -1 WHEN c.raw = 1 THEN 0 ELSE 1 END, ',' ORDER BY g.range DESC) AS derived
+FROM k CROSS JOIN range(8) g LEFT JOIN c ON c.position = k.position AND c.h = g.range GROUP BY k.position""")
+def q36(spark: SparkSession, sf: str) -> DataFrame:
+    """Eight of the haplotypes, from the last to the first, at the sites of small parts; allele 1 is the ancestral one."""
+    raw = skin.calls(spark, sf)
+    cells = [F.coalesce(F.max(F.when(F.col("h") == k, F.col("raw"))), F.lit(-1)).cast("tinyint") for k in range(skin.HAPLOTYPES)]
+    rows = raw.groupBy("position").agg(F.array(*cells).alias("calls"))
+    some = table(spark, sf, "part").where("p_size < 10").select(skin.position("p_partkey").alias("position"), F.lit(1).alias("ancestral_index"))
+    order = list(range(7, -1, -1))
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    derived = unify.derived_genotypes(rows, some, order).select("position", text("calls").alias("derived"))
+    return unify.raw_genotypes(rows, some, order).select("position", text("calls").alias("calls")).join(derived, "position")
+
+
+@query("q37_running_totals", f"""WITH {skin.SPANS_SQL}, x AS (SELECT CAST(t % 7 AS BIGINT) AS "group", count(*) AS n FROM sp GROUP BY 1)
+SELECT "group", n, CAST(sum(n) OVER w AS BIGINT) AS done, round(CAST(sum(n) OVER w AS BIGINT) * 100.0 / (SELECT sum(n) FROM x), 6) AS percent, (SELECT median(n) FROM x) AS median_n FROM x WINDOW w AS (ORDER BY "group")""")
+def q37(spark: SparkSession, sf: str) -> DataFrame:
+    out = jobs.progress(skin.spans(spark, sf).select((F.col("time") % 7).cast("long").alias("group")))
+    return out.select("group", "n", "done", F.round("percent", 6).alias("percent"), "median_n")
+
+
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders")
     left = (F.col("o_orderkey") % 40).cast("double")
@@ -486,10 +510,19 @@ def _balanced(leaves: int) -> Graph:
 
 
 def _small(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Genotypes of eight haplotypes at all part keys, made from keys and sizes by arithmetic; and their annotation."""
-    p = table(spark, sf, "part").select(skin.position("p_partkey").cast("int").alias("position"), "p_partkey", "p_size")
-    bits = [(F.floor((F.col("p_partkey") * 7 + F.col("p_size") * 3) / (1 << (k % 4))) + k * (F.col("p_partkey") % 3)) % 2 for k in range(8)]
-    rows = p.select("position", F.array(F.lit("F"), F.lit("O")).alias("alleles"), F.array(*[b.cast("tinyint") for b in bits]).alias("calls"), F.lit("1").alias("contig_id"))
+    """Genotypes of eight haplotypes at all part keys, and their annotation.
+
+    A part's size names a branch of a balanced tree of eight leaves, the
+    carriers of its derived allele; every 1,000 keys the leaves are dealt anew.
+    """
+    branch, turned = F.col("p_size") % 14, F.floor(F.col("p_partkey") / 1000) % 2 == 1
+
+    def below(leaf: int) -> Column:
+        return F.when(branch < 2, branch == leaf // 4).when(branch < 6, branch - 2 == leaf // 2).otherwise(branch - 6 == leaf)
+
+    bits = [F.when(turned, below(3 * k % 8)).otherwise(below(k)).cast("tinyint") for k in range(8)]
+    p = table(spark, sf, "part")
+    rows = p.select(skin.position("p_partkey").cast("int").alias("position"), F.array(F.lit("F"), F.lit("O")).alias("alleles"), F.array(*bits).alias("calls"), F.lit("1").alias("contig_id"))
     return rows, rows.select("position", F.lit("F").alias("ancestral_allele"))
 
 
