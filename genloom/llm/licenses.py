@@ -170,6 +170,12 @@ ORDINARY = (
     "Licensed under the Common Development and Distribution License.",
     "This data is made available under the Open Database License.",
 )
+# Function words, which tell nothing about licences by themselves.
+FUNCTION_WORDS = frozenset(
+    "a an the this that these those it its he she they we you i of in on at by to for from with without into as than and or but nor not no if so "
+    "is are was were be been being am do does did has have had can could may might shall should will would must "
+    "all any each such other some only also more most both either there here who which what when where how".split()
+)
 UNKNOWN = "unknown"
 FAMILIES = (*TEMPLATES, UNKNOWN)
 #: Words of a block; a window, which the classifier judges, is two blocks that follow each other.
@@ -187,8 +193,9 @@ def words_of(text: str) -> list[str]:
 
 
 def grams(words: list[str]) -> list[str]:
-    """Words and pairs of words that follow each other, as often as they occur."""
-    return [*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))]
+    """Words and pairs of words that follow each other, as often as they occur; function words, and pairs of two, are left out."""
+    pairs = (f"{a} {b}" for a, b in zip(words, words[1:]) if a not in FUNCTION_WORDS or b not in FUNCTION_WORDS)
+    return [*(w for w in words if w not in FUNCTION_WORDS), *pairs]
 
 
 @dataclass(frozen=True)
@@ -291,24 +298,35 @@ def paragraphs(text: str) -> list[list[str]]:
     return [w for w in map(words_of, re.split(_BLANK, text)) if w]
 
 
-def paragraph_words(text: Column) -> Column:
-    """``paragraphs`` as a column."""
-    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    each = F.transform(F.split(lower, _BLANK, -1), lambda p: F.filter(F.split(p, "[^a-z0-9]+", -1), lambda w: w != ""))
-    return F.filter(each, lambda w: F.size(w) > 0)
+def paragraph_texts(text: Column) -> Column:
+    """The paragraphs of a text that have a letter or digit."""
+    return F.filter(F.split(text, _BLANK, -1), lambda p: p.rlike("[A-Za-z0-9]"))
+
+
+def column_words(paragraph: Column) -> Column:
+    """``words_of`` as a column; only ASCII is left when words are lower-cased."""
+    return F.transform(F.regexp_extract_all(paragraph, F.lit("[A-Za-z0-9]+"), F.lit(0)), lambda w: F.lower(w))
+
+
+def telling_words(model: Model) -> list[str]:
+    """A word of each n-gram with a weight; without any of them there is no such n-gram."""
+    return sorted({next(w for w in g.split(" ") if w not in FUNCTION_WORDS) for g in model.vocabulary})
 
 
 def _hits(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, th, paragraph, window`` and ``z0, z1 ...``, the sums of the weights of all n-grams of each window that has any.
 
     N-grams are compared by 64-bit hashes; the weights, which are broadcast,
-    have a size fixed by the model. Most words have no weight and are gone
-    after that join, where they are read.
+    have a size fixed by the model. A paragraph without any of
+    ``telling_words`` has no n-gram with a weight: its sums are 0, and it is
+    told where it is read. So are most words of the others, by the join.
     """
     spark = docs.sparkSession
     told = [(*(f"{g} ".split(" ", 1) if " " not in g else g.split(" ")), [int(v) for v in w]) for g, w in zip(model.vocabulary, model.weights)]
     weights = spark.createDataFrame(told, "a string, b string, w array<long>").select(F.when(F.col("b") == "", F.xxhash64("a")).otherwise(F.xxhash64("a", "b")).alias("gram"), "w")
-    each = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(paragraph_words(F.col("text"))).alias("paragraph", "words"))
+    each = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(paragraph_texts(F.col("text"))).alias("paragraph", "own"))
+    each = each.select("doc_id", "th", "paragraph", column_words(F.col("own")).alias("words"))
+    each = each.where(F.arrays_overlap("words", F.array(*map(F.lit, telling_words(model)))))
     pair = lambda a, b: F.array(F.xxhash64(a), F.when(b.isNotNull(), F.xxhash64(a, b)))
     hashes = F.flatten(F.zip_with("words", F.slice("words", F.lit(2), F.size("words")), pair))
     blocks = F.ceil(F.size("words") / BLOCK).cast("int")
@@ -334,8 +352,10 @@ def _judged(sums: DataFrame, model: Model) -> DataFrame:
 
 
 def _gram_set(words: Column) -> Column:
-    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.array_distinct(F.concat(words, F.filter(pairs, lambda p: p.isNotNull())))
+    none = sorted(FUNCTION_WORDS)
+    plain = lambda w: ~w.isin(none)
+    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.when(plain(a) | plain(b), F.concat(a, F.lit(" "), b)))
+    return F.array_distinct(F.concat(F.filter(words, plain), F.filter(pairs, lambda p: p.isNotNull())))
 
 
 def classified(docs: DataFrame, model: Model | None = None, least_overlap: float = 0.6, least_inside: float = 0.8) -> DataFrame:
@@ -356,7 +376,7 @@ def classified(docs: DataFrame, model: Model | None = None, least_overlap: float
     _, some = apart(docs, F.coalesce(docs["doc_id"], last), judged.select(F.coalesce("_d", last)))
     some = some.select("doc_id", "text", F.xxhash64("text").alias("th"))
     joined = some.join(judged, some["doc_id"].eqNullSafe(judged["_d"]) & (some["th"] == judged["_h"]))
-    words = F.get(paragraph_words(F.col("text")), F.col("paragraph"))
+    words = column_words(F.get(paragraph_texts(F.col("text")), F.col("paragraph")))
     own = joined.select("doc_id", "th", "paragraph", "family", "probability", _gram_set(F.slice(words, F.col("window") * BLOCK + 1, F.lit(2 * BLOCK))).alias("own"))
     rows = [(k, [sorted(set(grams(words_of(t)))) for t in texts]) for k, texts in TEMPLATES.items()]
     templates = spark.createDataFrame(rows, "family string, templates array<array<string>>")
@@ -380,7 +400,7 @@ def scanned(docs: DataFrame, model: Model | None = None) -> DataFrame:
     d, h, found = unused("d"), unused("h"), unused("found")
     per_doc = each.groupBy(F.col("doc_id").alias(d), F.col("th").alias(h)).agg(F.sort_array(F.collect_list(F.struct("paragraph", "family", "confirmed"))).alias(found))
     per_doc = stage(per_doc, "licences")
-    slim = mine.select("doc_id", F.xxhash64("text").alias("th"), F.size(paragraph_words(F.col("text"))).cast("long").alias("n_paragraphs"))
+    slim = mine.select("doc_id", F.xxhash64("text").alias("th"), F.size(paragraph_texts(F.col("text"))).cast("long").alias("n_paragraphs"))
     joined = slim.join(per_doc, slim["doc_id"].eqNullSafe(per_doc[d]) & (slim["th"] == per_doc[h]), "left")
     every = F.coalesce(F.col(f"`{found}`"), F.array().cast("array<struct<paragraph:int,family:string,confirmed:boolean>>"))
     sure = F.filter(every, lambda p: p["confirmed"])
