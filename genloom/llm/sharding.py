@@ -35,7 +35,7 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
 
 
 def assign(docs: DataFrame, weights: Sequence[float], key: str = "doc_id") -> DataFrame:
-    """``docs`` with ``shard``, and ``grown_shard`` for one more shard of mean weight."""
+    """``docs`` with ``shard``, and ``grown_shard`` for one more shard of mean weight; columns of these names are replaced."""
     grown = [*weights, sum(weights) / len(weights)]
     return docs.withColumns({"shard": rendezvous(F.col(key), weights), "grown_shard": rendezvous(F.col(key), grown)})
 
@@ -83,11 +83,18 @@ def sharded(docs: DataFrame, n_shards: int = 24, weights: Sequence[float] | None
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-def write_shards(docs: DataFrame, path: str, n_shards: int = 24, weights: Sequence[float] | None = None, files: int = 4) -> None:
-    """Write whole rows of ``docs`` below ``path``, one ``shard=N`` folder per shard with about ``files`` files each."""
-    placed = docs.withColumn("shard", rendezvous(F.col("doc_id"), weights or [1.0] * n_shards))
+def write_shards(docs: DataFrame, path: str, n_shards: int = 24, weights: Sequence[float] | None = None, files: int = 4) -> str:
+    """Write whole rows of ``docs`` below ``path``, one folder per shard with about ``files`` files each.
+
+    Folders are named by the column that is returned: ``shard``, or where
+    ``docs`` has a column of that name, ``shard_1`` and so on. All columns of
+    ``docs`` are written as they are.
+    """
+    name = next(n for n in ("shard", *(f"shard_{k}" for k in range(1, len(docs.columns) + 2))) if n not in docs.columns)
+    placed = docs.withColumn(name, rendezvous(F.col("doc_id"), weights or [1.0] * n_shards))
     spread = F.pmod(F.xxhash64("doc_id", F.lit("file")), F.lit(files))
-    placed.repartition(len(weights or [0] * n_shards) * files, "shard", spread).write.partitionBy("shard").parquet(path)
+    placed.repartition(len(weights or [0] * n_shards) * files, name, spread).write.partitionBy(name).parquet(path)
+    return name
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from genloom.llm.common import apart, rows, texts, unused
 from genloom.llm.exact_dedup import routed
-from genloom.session import ship, stage, table
+from genloom.session import discard, ship, stage, table
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: A bucket with more members than this is dealt out again by a second set of masks.
@@ -195,8 +195,10 @@ def connected(edges: DataFrame) -> DataFrame:
         jumped = stage(lower.join(up, lower["label"] == up["_n"]).select("node", F.least("label", "_up").alias("label")), "labels")
         was = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
         now = jumped.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
+        discard(lower, labels)
         labels = jumped
         if was == now:
+            discard(both)
             return labels
 
 
@@ -482,7 +484,9 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
         told = rest.join(judges, rest["comp"] == judges["c"]).where(near)
         told = stage(told.groupBy("node", "doc_id").agg(F.min_by("judge_id", "judge").alias("keep_id")), "told")
         out = out.unionByName(first).unionByName(told)
-        open_ = stage(rest.join(told, "node", "left_anti"), "open")
+        left = stage(rest.join(told, "node", "left_anti"), "open")
+        discard(open_, counted, dealt, judges)
+        open_ = left
 
 
 def without_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -45,7 +45,7 @@ def corpus(n=120, seed=3):
         changed = out[i].split(" ")
         changed[len(changed) // 2] = "changed"
         out.append(" ".join(changed))
-    out += [None, "", " ", "\n\n", "a", "b" * 700, "ab " * 300, "A" * 99, "A" * 100, out[0] + "  ", passage * 40]
+    out += [None, "", " ", "\n\n", "a", "b" * 700, "ab " * 300, "A" * 99, "A" * 100, out[0] + "  ", passage * 40, " ".join(f"word{k * k % 99991}" for k in range(20_000))]
     rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(out)]
     rng.shuffle(rows)
     return rows
@@ -75,6 +75,15 @@ def by_id(df, *columns):
     return {r[0]: tuple(r[1:]) for r in df.select("doc_id", *columns).collect()}
 
 
+def odd_rows(df, *columns):
+    """Sorted rows with a null id as -1."""
+    return sorted((-1 if r[0] is None else r[0], *r[1:]) for r in df.select("doc_id", *columns).collect())
+
+
+#: Ids and texts of the fixture ``odd``.
+ODD = [(-1, "one two three"), (-1, ""), (5, "one two three"), (5, "one two three"), (5, "four\nfive"), (6, ""), (7, "")]
+
+
 def sha(x):
     return hashlib.sha256(x if isinstance(x, bytes) else x.encode()).hexdigest()
 
@@ -109,7 +118,11 @@ def test_codec_on_random_text():
 
 
 def test_pieces_odd(spark, odd, docs):
-    assert pieces.digests(odd, PIECE_MODEL).count() == 7
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
+    want = [(i, len(sp.encode(t)), sha(",".join(map(str, sp.encode(t)))), sha(sp.decode(sp.encode(t)))) for i, t in ODD]
+    assert odd_rows(pieces.digests(odd, PIECE_MODEL), "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want)
     assert pieces.digests(empty(docs), PIECE_MODEL).count() == 0
 
 
@@ -235,7 +248,7 @@ def test_packed_columns():
 
 
 def test_suffixes_odd(odd, docs):
-    assert suffix_dedup.without_repeats(odd).count() == 7
+    assert odd_rows(suffix_dedup.without_repeats(odd), "n_bytes", "n_removed", "kept") == sorted((i, len(t), 0, t.encode()) for i, t in ODD)
     assert suffix_dedup.without_repeats(empty(docs)).count() == 0
 
 
@@ -371,7 +384,9 @@ def test_near_copies_that_share_an_id(spark):
 
 
 def test_simhash_odd(odd, docs):
-    assert simhash.near_groups(odd).count() == 7
+    want = {t: f"{print_of(t):016x}" for _, t in ODD}
+    first = {"one two three": 5, "four\nfive": 5, "": 6}
+    assert odd_rows(simhash.near_groups(odd), "fingerprint", "component_id") == sorted((i, want[t], first[t]) for i, t in ODD)
     assert simhash.near_groups(empty(docs)).count() == 0
     assert simhash.without_near_copies(odd).count() == 7
     assert simhash.without_near_copies(empty(docs)).count() == 0
@@ -563,7 +578,8 @@ def test_secret_columns_stay(spark):
 
 
 def test_secrets_odd(odd, docs):
-    assert secrets.scanned(odd)[0].count() == 7
+    assert odd_rows(secrets.scanned(odd)[0], "blob") == sorted((i, sha(t)) for i, t in ODD)
+    assert {r["spans"] for r in secrets.scanned(odd)[0].collect()} == {None}
     assert secrets.scanned(empty(docs))[0].count() == 0
     assert secrets.redacted(odd).count() == 7
 
@@ -672,7 +688,8 @@ def test_quality_tells_junk(spark):
 
 
 def test_quality_odd(spark, odd, docs):
-    assert quality.judged(odd, quality.fit(odd, labels(spark))).count() == 7
+    out = quality.judged(odd, quality.fit(odd, labels(spark)))
+    assert odd_rows(out, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept") == sorted((i, *base_rule(t), False) for i, t in ODD)
     assert quality.kept(odd, labels(spark).where("false")).count() == 0
     assert quality.kept(empty(docs), labels(spark)).count() == 0
 
@@ -712,12 +729,20 @@ def test_weighted_shards(spark, tmp_path):
     assert {r["grown_shard"] for r in moved} == {2}
     with pytest.raises(ValueError):
         sharding.rendezvous(F.col("doc_id"), [0.0])
-    sharding.write_shards(df, str(tmp_path / "out"), 4)
+    assert sharding.write_shards(df, str(tmp_path / "out"), 4) == "shard"
     assert spark.read.parquet(str(tmp_path / "out")).count() == 20_000
+    named = df.withColumn("shard", F.lit("mine"))
+    assert sharding.write_shards(named, str(tmp_path / "more"), 4) == "shard_1"
+    assert {r["shard"] for r in spark.read.parquet(str(tmp_path / "more")).select("shard").distinct().collect()} == {"mine"}
 
 
 def test_shards_odd(odd, docs):
-    assert sharding.sharded(odd).count() == 7
+    out = odd_rows(sharding.sharded(odd), "size", "text_crc32", "shard", "grown_shard")
+    key = lambda i: "" if i < 0 else i
+    draws = {i: [draw(key(i), s) for s in range(25)] for i, _ in ODD}
+    assert out == sorted((i, len(t) + 8, zlib.crc32(t.encode()), int(np.argmax(draws[i][:24])), int(np.argmax(draws[i]))) for i, t in ODD)
+    slots = sorted((r["shard"], r["slot"]) for r in sharding.sharded(odd).collect())
+    assert all(slot == sum(x < shard_slot for x in slots if x[0] == shard_slot[0]) for shard_slot in slots for slot in [shard_slot[1]])
     assert sharding.sharded(empty(docs)).count() == 0
 
 
@@ -802,19 +827,59 @@ def test_units_on_random_text():
 
 
 def test_packing_odd(odd, docs):
-    assert packing.pack_documents(odd, BYTE_MODEL).count() == 7
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(BYTE_MODEL)
+    ids = [(i, [*tok.encode(t, add_special_tokens=False).ids, 0]) for i, t in ODD]
+    out = packing.pack_documents(odd, BYTE_MODEL)
+    assert odd_rows(out, "piece", "start", "length", "ids_crc32") == sorted((i, 0, 0, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in ids)
+    assert sorted(r["offset"] for r in out.collect())[0] == 0
     assert packing.pack_documents(empty(docs), BYTE_MODEL).count() == 0
 
 
 # all -------------------------------------------------------------------------------------------
 
 
+def expected_stages(spark, docs):
+    """Ids and texts after each of the first four stages, one row at a time."""
+    weights = quality.fit(docs, labels(spark))
+
+    def good(t):
+        data = np.frombuffer(t.encode(), np.uint8)
+        own = [int(w) for order in quality.ORDERS for w in weights[quality.gram_buckets(data, order)]]
+        return not base_rule(t)[5] and sum(own) >= quality.THRESHOLD * quality.UNIT * len(own)
+
+    passed = {i: t for i, t in TEXT.items() if good(t)}
+    first = {}
+    for i in sorted(passed):
+        first.setdefault(SPACE.sub(" ", passed[i]), i)
+    single = {i: passed[i] for i in first.values()}
+    nodes = {r["doc_id"]: r["node"] for r in docs.select("doc_id", simhash.node_of(docs).alias("node")).collect()}
+    sets = {i: set(simhash.shingle_hashes(t.encode(), 5).tolist()) for i, t in single.items()}
+    stay = []
+    for i in sorted(single, key=nodes.get):
+        if not sets[i] or not any(sets[k] and len(sets[i] & sets[k]) >= 0.8 * len(sets[i] | sets[k]) for k in stay):
+            stay.append(i)
+    unlike = {i: single[i] for i in stay}
+    spans = {r["doc_id"]: [(x["start"], x["end"]) for x in r["spans"] or []] for r in secrets.scanned(docs)[0].collect()}
+    clean = {}
+    for i, t in unlike.items():
+        out, at, hit = "", 0, False
+        for a, b in sorted(spans[i]):
+            if not hit or a > at:
+                out += t[at:a] + "[redacted]"
+            at, hit = max(at, b), True
+        clean[i] = out + t[at:]
+    return [passed, single, unlike, clean]
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     labels(spark).write.parquet(str(tmp_path / "labels.parquet"))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "exact_dedup", "simhash_near_dedup", "secret_scan", "best_fit_packing"]
+    want = expected_stages(spark, docs)
     now = docs
     for k, (_, step) in enumerate(corpus_pipeline.STAGES[:-1]):
         out = stage(step(spark, now, str(tmp_path)), f"step{k}")
@@ -824,6 +889,7 @@ def test_pipeline(spark, docs, tmp_path):
         assert after.keys() <= before.keys()
         if k < 3:
             assert all(before[i] == t for i, t in after.items())
+        assert {i: t or "" for i, t in after.items()} == want[k]
         now = out
     assert not any(base_spans(r["text"]) for r in now.collect())
     packed = corpus_pipeline.run(spark, str(tmp_path))
