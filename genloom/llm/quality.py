@@ -20,6 +20,8 @@ ORDERS, BUCKETS = (3, 5), 1 << 16
 THRESHOLD = -0.4
 #: Log ratios are whole numbers of this many parts of a nat, so that sums don't depend on how rows are grouped.
 UNIT = 1 << 24
+#: Bytes of text that are looked at together: some ten numbers of eight bytes are held for each.
+LOT = 1 << 20
 _SYMBOLS = bytes(i for i in range(256) if i not in b"[#*$%&|<>]")
 
 
@@ -49,7 +51,7 @@ def gram_counts(docs: DataFrame, flag: str) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, BUCKETS), np.int64)
-        for batch in rows(batches):
+        for batch in rows(batches, LOT):
             data, offsets = text_buffer(batch.column(0))
             data = data[int(offsets[0]) : int(offsets[-1])]
             flags = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int8)
@@ -162,7 +164,7 @@ def judged(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD, i
     told = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows(batches):
+        for batch in rows(batches, LOT):
             base, failed, score, good = verdicts(batch.column(1), told.value, threshold)
             columns = [batch.column(0), *(pa.array(np.ascontiguousarray(base[:, k])) for k in range(5)), pa.array(failed), pa.array(score), pa.array(good)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", *(f.split()[0] for f in FIELDS.split(", "))])
@@ -182,7 +184,7 @@ def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     @F.arrow_udf("boolean")
     def passes(column: pa.Array) -> pa.Array:
         batch = pa.RecordBatch.from_arrays([column.fill_null("").cast(pa.string())], ["text"])
-        good = [verdicts(part.column(0), told.value)[3] for part in rows(iter([batch]))]
+        good = [verdicts(part.column(0), told.value)[3] for part in rows(iter([batch]), LOT)]
         return pa.array(np.concatenate(good) if good else np.zeros(0, bool), pa.bool_())
 
     return docs.where(passes(F.col("text")))
