@@ -14,8 +14,8 @@ from genloom.operators.matching import active_frame, extend, make_root, match_fr
 from genloom.operators.numbering import numbered
 from genloom.operators.treekernel import Graph
 from genloom.plans import skin
-from genloom.session import table
-from genloom.sources.catalog import resolve_field
+from genloom.session import scratch, table
+from genloom.sources.catalog import Store, open_store, resolve_field, write_store
 from genloom.sources.filters import filter_variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,10 +116,10 @@ def q07(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.as_json(_jobs(spark, sf))
 
 
-@query("q08_region_filter", "SELECT 100 * (p_partkey + 1) AS position, p_name AS name FROM part WHERE 100 * (p_partkey + 1) BETWEEN 5000 AND 12000")
+@query("q08_region_filter", "SELECT 100 * (p_partkey + 1) AS position, p_name AS name FROM part WHERE 100 * (p_partkey + 1) BETWEEN 7000 AND 12000 OR 100 * (p_partkey + 1) = 5500")
 def q08(spark: SparkSession, sf: str) -> DataFrame:
     v = table(spark, sf, "part").select(skin.position("p_partkey").alias("position"), F.col("p_name").alias("name"), F.lit("1").alias("contig_id"))
-    return filter_variants(v, regions="1:5000-12000").select("position", "name")
+    return filter_variants(v, regions="1:5000-12000", targets="1:7000-,1:5500,2:1-6000").select("position", "name")
 
 
 @query("q09_sample_select", """SELECT s_suppkey, s_name, CASE WHEN s_nationkey IN (1, 2, 3) THEN 'kept' ELSE 'others' END AS part FROM supplier""")
@@ -301,6 +301,38 @@ def q24(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(out + [("mutation", r["node"], float(r["site"]), float(r["parent"])) for r in told["mutations"]], "kind string, id long, x double, y double")
 
 
+@query("q38_mutation_parents", """WITH m AS (SELECT 100 * (p_partkey + 1) AS position, p_size % 16 AS node, 0 AS age FROM part UNION ALL SELECT 100 * (p_partkey + 1), 16 + p_size % 16 // 2, 1 FROM part WHERE p_size % 3 <> 0
+  UNION ALL SELECT 100 * (p_partkey + 1), 24 + p_size % 16 // 4, 2 FROM part WHERE p_size % 3 <> 1 UNION ALL SELECT 100 * (p_partkey + 1), (p_size + 8) % 16, 0 FROM part),
+i AS (SELECT *, row_number() OVER (ORDER BY position, age DESC, node) - 1 AS id FROM m)
+SELECT i.id, CAST(i.position AS DOUBLE) AS position, CAST(i.node AS BIGINT) AS node, coalesce((SELECT max_by(j.id, -j.age) FROM i j WHERE j.position = i.position AND j.age > i.age
+  AND j.node = CASE j.age WHEN 1 THEN 16 + i.node // 2 ELSE 24 + (CASE i.age WHEN 0 THEN i.node // 4 ELSE (i.node - 16) // 2 END) END), -1) AS parent FROM i""")
+def q38(spark: SparkSession, sf: str) -> DataFrame:
+    """Up to four mutations a site on a balanced tree: a leaf, what is above it, and a leaf of the other half."""
+    g = _balanced(16)
+    for r in table(spark, sf, "part").select("p_partkey", "p_size").orderBy("p_partkey").toLocalIterator():
+        leaf, s = r["p_size"] % 16, len(g.sites)
+        g.sites.append((float(100 * (r["p_partkey"] + 1)), "A"))
+        above = ([16 + leaf // 2] if r["p_size"] % 3 != 0 else []) + ([24 + leaf // 4] if r["p_size"] % 3 != 1 else [])
+        g.mutations += [(s, u, "T", -1) for u in (leaf, (leaf + 8) % 16, *above)]
+    g.sort()
+    rows = [(k, g.sites[s][0], u, p) for k, (s, u, _, p) in enumerate(g.mutations)]
+    return spark.createDataFrame(rows, "id long, position double, node long, parent long")
+
+
+@query("q39_store_round_trip", f"""WITH {skin.SQL} SELECT position, CAST(16 AS INTEGER) AS n_calls, CAST(sum(raw) AS BIGINT) AS alternate, (SELECT 100 * (max(p_partkey) + 2) FROM part) AS length, CAST(16 AS INTEGER) AS haplotypes FROM c GROUP BY position""")
+def q39(spark: SparkSession, sf: str) -> DataFrame:
+    """A store written to the shared folder and opened again: its rows, its contig's length and its haplotypes."""
+    cells = [F.coalesce(F.max(F.when(F.col("h") == k, F.col("raw"))), F.lit(-1)).cast("tinyint") for k in range(skin.HAPLOTYPES)]
+    rows = skin.calls(spark, sf).groupBy(F.col("position").cast("int").alias("position")).agg(F.array(*cells).alias("calls"))
+    rows = rows.select("position", F.array(F.lit("F"), F.lit("O")).alias("alleles"), "calls", F.lit("1").alias("contig_id"))
+    people = spark.range(skin.HAPLOTYPES // 2).select(F.col("id").cast("int").alias("sample_idx"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("sample_id"), F.lit(2).alias("ploidy"))
+    path = scratch(spark, "store")
+    write_store(Store(rows, people, table(spark, sf, "part").agg((F.max("p_partkey") + 2) * 100).first()[0]), path)
+    s = open_store(path, spark)
+    alternate = F.size(F.filter("calls", lambda c: c == 1)).cast("long")
+    return s.variants.select(F.col("position").cast("long"), F.size("calls").alias("n_calls"), alternate.alias("alternate"), F.lit(s.length).cast("long").alias("length"), F.lit(s.haplotypes()).alias("haplotypes"))
+
+
 @query("q36_raw_genotypes", f"""WITH {skin.SQL}, p AS (SELECT 100 * (p_partkey + 1) AS position FROM part WHERE p_size < 10), k AS (SELECT DISTINCT position FROM c WHERE position IN (SELECT position FROM p))
 SELECT k.position, string_agg(coalesce(c.raw, -1), ',' ORDER BY g.range DESC) AS calls, string_agg(CASE WHEN c.raw IS NULL THEN -1 WHEN c.raw = 1 THEN 0 ELSE 1 END, ',' ORDER BY g.range DESC) AS derived
 FROM k CROSS JOIN range(8) g LEFT JOIN c ON c.position = k.position AND c.h = g.range GROUP BY k.position""")
@@ -362,14 +394,14 @@ def q26(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("q34_compressed_tables", f"""WITH {_COMPRESSION}, u AS (SELECT c.id, c.p, c.q, f.id AS up FROM c LEFT JOIN f ON c.p = f.p AND c.q = f.q)
-SELECT 0.0 AS "left", 0.5 AS "right", coalesce(up, p) AS parent, id AS child FROM u UNION ALL SELECT 0.5, 1.0, coalesce(up, q), id FROM u
-UNION ALL SELECT 0.0, 0.5, p, id FROM f UNION ALL SELECT 0.5, 1.0, q, id FROM f""")
+SELECT 0.0 AS "left", 0.5 AS "right", coalesce(up, p) AS parent, id AS child, false AS made FROM u UNION ALL SELECT 0.5, 1.0, coalesce(up, q), id, false FROM u
+UNION ALL SELECT 0.0, 0.5, p, id, true FROM f UNION ALL SELECT 0.5, 1.0, q, id, true FROM f""")
 def q34(spark: SparkSession, sf: str) -> DataFrame:
     edges, nodes = tables.compressed(*_two_parents(spark, sf))
     # flags of the new nodes must name them as made by compression
     made = nodes.where(is_compressed("flags")).select(F.col("id").alias("made"))
     told = edges.join(made, edges["child"] == made["made"], "left")
-    return told.select("left", "right", "parent", "child")
+    return told.select("left", "right", "parent", "child", F.col("made").isNotNull().alias("made"))
 
 
 @query("q35_vestigial_root", """WITH k AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS u FROM supplier), e AS (SELECT 0.0 AS l, 50.0 AS r, u // 2 AS p, u AS c FROM k WHERE u > 0
@@ -528,8 +560,6 @@ def _small(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 def _inferred(spark: SparkSession, sf: str) -> tuple[Graph, DataFrame]:
     from genloom.plans import pipeline
-    from genloom.sources.catalog import Store
-
     rows, notes = _small(spark, sf)
     people = spark.range(8).select(F.col("id").cast("int").alias("sample_idx"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("sample_id"), F.lit(1).alias("ploidy"))
     store = Store(rows, people, rows.agg(F.max("position") + 100).first()[0])
