@@ -49,13 +49,13 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, most: int = 1 << (_PLACE_BITS - 1)) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 24) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchors of all LENGTH-byte windows inside rows: hash, position, first and last window start, and row.
 
     A window's anchor is the gram of smallest hash in it, the leftmost among
     equals, so equal windows have equal anchors at equal distances. Windows
     that share an anchor start next to each other. Data of over ``most`` bytes
-    is read in overlapping parts, so that positions stay within their bits.
+    is read in overlapping parts, so that memory is bounded and positions stay within their bits.
     """
     none = tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64, np.int64))
     if len(data) < LENGTH:
