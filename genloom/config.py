@@ -7,7 +7,7 @@ from dataclasses import dataclass, field, fields
 from pathlib import Path
 from typing import Any
 
-# Names and defaults of the format.
+# The names of sections and keys, here and in the classes below, and all their defaults.
 MAX_GAP_LENGTH = 500_000
 
 
