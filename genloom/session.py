@@ -94,9 +94,20 @@ def _unstage() -> None:
 atexit.register(_unstage)
 
 
+#: Bytes of an Arrow batch that kernels get, and the setting and its default that this replaces.
+BATCH_BYTES = 8 << 20
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per Spark context."""
+    """Send this package to the executors, once per Spark context.
+
+    Also bounds the Arrow batches of the session to BATCH_BYTES, unless the
+    user has set another bound: each is held by the JVM and by a worker at once.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH, None) == _BATCH_DEFAULT and not sc.getConf().contains(_BATCH):
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
     if getattr(sc, "_genloom_shipped", False):
         return
     root = Path(__file__).resolve().parent
