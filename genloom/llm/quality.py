@@ -21,7 +21,7 @@ THRESHOLD = -0.4
 #: Log ratios are whole numbers of this many parts of a nat, so that sums don't depend on how rows are grouped.
 UNIT = 1 << 24
 #: Bytes of text that are looked at together: some ten numbers of eight bytes are held for each.
-LOT = 1 << 20
+LOT = 1 << 18
 _SYMBOLS = bytes(i for i in range(256) if i not in b"[#*$%&|<>]")
 
 
