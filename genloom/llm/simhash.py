@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genloom.llm.common import apart, rows, texts, unused
+from genloom.llm.common import WHITE, apart, rows, texts, unused
 from genloom.llm.exact_dedup import routed
 from genloom.session import discard, ship, stage, table
 
@@ -256,6 +256,15 @@ def shingle_sets(docs: DataFrame, words: int = 5) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
 
 
+def sets_of(docs: DataFrame, nodes: DataFrame, words: int = 5) -> DataFrame:
+    """``shingle_sets`` of those rows of ``node, text`` whose node is among ``nodes`` (one column), each node once."""
+    wanted = nodes.toDF("fingerprint")
+    # the bitmap of fixed size spares the texts of all others a shuffle
+    some = routed(docs.select("node", "text"), "node", wanted)
+    some = some.join(wanted, some["node"] == wanted["fingerprint"], "left_semi").dropDuplicates(["node"])
+    return stage(shingle_sets(some, words), "sets")
+
+
 #: Share of all shingle hashes that the first pass looks at. It is more than a
 #: near copy may miss, so a text without repeats elsewhere is told apart by it.
 LOOKED = 0.4
@@ -368,12 +377,8 @@ def candidates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> tupl
     ship(docs.sparkSession)
     looked = docs.select("node", "text").mapInArrow(_sampled(words, similarity), "h long, node long, need long")
     partly = _by(looked).mapInArrow(_repeated, "node long, need long, n long")
-    open_ = partly.groupBy("node", "need").agg(F.sum("n").alias("n")).where("n >= need").select(F.col("node").alias("fingerprint")).distinct()
-    open_ = stage(open_, "repeating")
-    # the bitmap of fixed size spares the texts of all others a shuffle
-    some = routed(docs.select("node", "text"), "node", open_)
-    some = some.join(open_, some["node"] == open_["fingerprint"], "left_semi").dropDuplicates(["node"])
-    sets = stage(shingle_sets(some, words), "sets")
+    open_ = partly.groupBy("node", "need").agg(F.sum("n").alias("n")).where("n >= need").select("node").distinct()
+    sets = sets_of(docs, stage(open_, "repeating"), words)
     each = sets.select(F.explode("shingles").alias("h"), "node", F.size("shingles").cast("long").alias("n"))
     shared = _by(each).mapInArrow(_shared, "node long, n long, h long, df long")
     least = F.ceil(similarity * F.col("n") - 1e-6)
@@ -383,29 +388,26 @@ def candidates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> tupl
     return stage(_by(prefixes, "n").mapInArrow(_chained(similarity), "a long, b long").distinct(), "near-links"), sets
 
 
-def print_links(sets: DataFrame, radius: int = 3) -> DataFrame:
-    """``a, b``: each of ``node, shingles`` with the first node that it reaches in steps of near fingerprints, by the covering tables."""
-    ship(sets.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                sizes = np.diff(part.column(1).offsets.to_numpy())
-                out = np.zeros(part.num_rows, np.uint64)
-                if sizes.any():
-                    hashes = part.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                    out[sizes > 0] = majority(hashes, (np.cumsum(sizes) - sizes)[sizes > 0])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
+def print_groups(docs: DataFrame, words: int = 5, radius: int = 3) -> DataFrame:
+    """``member, comp`` of the rows of ``node, text`` that others are linked to by the covering tables, over fingerprints of sets of shingles.
 
-    prints = stage(sets.select("node", "shingles").mapInArrow(run, "doc_id long, fp long"), "prints-of-sets")
-    return components(prints, radius).where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    A group is named by its smallest node. Texts without words are in none.
+    """
+    some = docs.where(F.col("text").rlike(f"[^{WHITE}]")).select(F.col("node").alias("doc_id"), "text")
+    prints = stage(fingerprints(some, words, distinct=True), "prints-of-sets")
+    linked = components(prints, radius).where("doc_id <> component_id").select(F.col("doc_id").alias("member"), F.col("component_id").alias("comp"))
+    linked = stage(linked.distinct(), "print-links")
+    return stage(linked.unionByName(linked.select(F.col("comp").alias("member"), "comp").distinct()), "print-groups")
 
 
 #: Members of a component that are settled together in one task.
 TOGETHER = 256
 
 
+#: What is told of a row that goes: ``judge`` is the node of the one that stays.
+_GONE = ("node", "doc_id", "keep_id", "judge")
+
+
 def _settled(similarity: float):
     """Kernel over one component (``node, doc_id, comp, shingles``): each member goes that is near a smaller node that stays."""
 
@@ -416,7 +418,7 @@ def _settled(similarity: float):
         values, ends = column.values.to_numpy(), column.offsets.to_numpy()
         sets = [values[lo:hi] for lo, hi in zip(ends[:-1], ends[1:])]
         stay: list[int] = []
-        gone: list[tuple[int, int, int]] = []
+        gone: list[tuple[int, int, int, int]] = []
         ids, nodes = found["doc_id"].to_pylist(), found["node"].to_pylist()
         for i, own in enumerate(sets):
             for k in stay:
@@ -424,40 +426,26 @@ def _settled(similarity: float):
                     continue
                 shared = len(np.intersect1d(own, sets[k], assume_unique=True))
                 if shared >= similarity * (len(own) + len(sets[k]) - shared):
-                    gone.append((nodes[i], ids[i], ids[k]))
+                    gone.append((nodes[i], ids[i], ids[k], nodes[k]))
                     break
             else:
                 stay.append(i)
-        return pa.table({name: pa.array([g[k] for g in gone], pa.int64()) for k, name in enumerate(("node", "doc_id", "keep_id"))})
+        return pa.table({name: pa.array([g[k] for g in gone], pa.int64()) for k, name in enumerate(_GONE)})
 
     return run
 
 
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``node, doc_id, keep_id`` of each row of ``docs`` that is a near copy of one that stays.
+def settled(named: DataFrame, groups: DataFrame, sets: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """_GONE of the rows of ``node, doc_id`` that go within the groups (``member, comp``), by ``node, shingles``.
 
-    One rule, whatever the number of near copies: in order of ``node_of``, a
-    hash of ``doc_id`` and text, each row goes whose set of ``words``-word
-    shingles has a Jaccard similarity of ``similarity`` or more with that of an
-    earlier one that stays. The covering tables link sets whose fingerprints
-    are near; one fingerprint can't reach all pairs of that similarity, so
-    ``candidates`` links those that the tables miss, exactly.
     Components of up to TOGETHER members are settled in one task each. Of a
     larger one about half as many, the first in order, are settled; those that
     stay are compared with all others by a join, and what is left is counted
-    anew, which comes to the same. Texts of fewer words are one shingle; texts
-    without words have none and stay. A row without ``doc_id`` stays; texts
-    that share an id are judged each by itself.
+    anew, which comes to the same.
     """
-    named = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), node_of(docs).alias("node"))
-    edges, sets = candidates(named, words, similarity)
-    edges = stage(edges.unionByName(print_links(sets)), "near-edges")
-    kind = "node long, doc_id long, keep_id long"
-    if edges.isEmpty():
-        return docs.sparkSession.createDataFrame([], kind)
-    labels = connected(edges).select(F.col("node").alias("member"), F.col("label").alias("comp"))
-    ids = routed(named.select("node", "doc_id"), "node", labels.select(F.col("member").alias("fingerprint")))
-    members = stage(ids.distinct().join(labels, F.col("node") == F.col("member")).select("member", "doc_id", "comp"), "members")
+    kind = ", ".join(f"{c} long" for c in _GONE)
+    ids = routed(named.select("node", "doc_id"), "node", groups.select(F.col("member").alias("fingerprint")))
+    members = stage(ids.distinct().join(groups, F.col("node") == F.col("member")).select("member", "doc_id", "comp"), "members")
     open_ = stage(sets.join(members, sets["node"] == members["member"]).select("node", "doc_id", "comp", "shingles"), "open")
     out = None
     while True:
@@ -482,13 +470,81 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
         shared = F.size(F.array_intersect("shingles", "theirs"))
         near = (least >= similarity * most - 1e-6) & (shared >= similarity * (F.size("shingles") + F.size("theirs") - shared))
         told = rest.join(judges, rest["comp"] == judges["c"]).where(near)
-        told = stage(told.groupBy("node", "doc_id").agg(F.min_by("judge_id", "judge").alias("keep_id")), "told")
+        told = stage(told.groupBy("node", "doc_id").agg(F.min_by("judge_id", "judge").alias("keep_id"), F.min("judge").alias("judge")), "told")
         out = out.unionByName(first).unionByName(told)
         left = stage(rest.join(told, "node", "left_anti"), "open")
         discard(open_, counted, dealt, judges)
         open_ = left
 
 
+def _without(docs: DataFrame, nodes: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
+    """Rows of ``docs`` whose node is not among ``nodes`` (``node``); without a shuffle while the nodes, at 16 bytes, fit in ``most_bytes``."""
+    slim = nodes.select("node").distinct()
+    return docs.join(F.broadcast(slim) if 16 * slim.count() <= most_bytes else slim, "node", "left_anti")
+
+
+def touching(docs: DataFrame, some: DataFrame, words: int = 5, similarity: float = 0.8, most_bytes: int = 16 << 20) -> DataFrame:
+    """Rows of ``docs`` that share enough shingles with all of ``some`` (both ``node, text``) together to be near one of them.
+
+    All rows if the shingles of ``some`` pass ``most_bytes``.
+    """
+    told = stage(shingle_sets(some, words).select(F.explode("shingles").alias("h")).distinct(), "theirs")
+    if 8 * told.count() > most_bytes:
+        return docs
+    theirs = docs.sparkSession.sparkContext.broadcast(np.sort(told.toArrow()["h"].to_numpy()))
+
+    @F.arrow_udf("boolean")
+    def enough(column: pa.Array) -> pa.Array:
+        out = []
+        for text in column.to_pylist():
+            own = np.unique(shingle_hashes(text.encode(), words)).view(np.int64)
+            at = np.minimum(np.searchsorted(theirs.value, own), len(theirs.value) - 1)
+            out.append(bool(len(own)) and bool((theirs.value[at] == own).sum() >= least_shared(np.array(len(own)), similarity)))
+        return pa.array(out, pa.bool_())
+
+    return docs.where(enough(F.col("text")))
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``node, doc_id, keep_id, judge`` of each row of ``docs`` that is a near copy of one that stays.
+
+    One rule, whatever the number of near copies: in order of ``node_of``, a
+    hash of ``doc_id`` and text, each row goes whose set of ``words``-word
+    shingles has a Jaccard similarity of ``similarity`` or more with that of an
+    earlier one that stays. The covering tables link sets whose fingerprints
+    are near, and what goes by those links is settled first. One fingerprint
+    can't reach all pairs of that similarity, so ``candidates`` links, exactly,
+    what is left. If a row goes there that had judged others, these come back
+    and are settled with all they may be near to, until each row that went has
+    a judge that stays. No two rows that stay are near then, which only the
+    rule's own result fulfils.
+
+    A text of fewer words is one shingle; texts without words have none and
+    stay. A row without ``doc_id`` stays; texts that share an id are judged
+    each by itself.
+    """
+    ship(docs.sparkSession)
+    named = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), node_of(docs).alias("node"))
+    groups = print_groups(named, words)
+    gone = docs.sparkSession.createDataFrame([], ", ".join(f"{c} long" for c in _GONE))
+    if not groups.isEmpty():
+        gone = settled(named, groups, sets_of(named, groups.select("member"), words), similarity)
+    open_ = _without(named, gone)
+    while True:
+        edges, sets = candidates(open_, words, similarity)
+        if edges.isEmpty():
+            return gone
+        labels = connected(edges).select(F.col("node").alias("member"), F.col("label").alias("comp"))
+        more = settled(open_, labels, sets, similarity)
+        judges = more.select(F.col("node").alias("judge")).distinct()
+        back = stage(gone.join(judges, "judge", "left_semi").select("node").distinct(), "back")
+        gone = stage(gone.join(judges, "judge", "left_anti").select(*_GONE).unionByName(more), "gone")
+        if back.isEmpty():
+            return gone
+        stay = _without(named, gone)
+        open_ = stage(touching(stay, stay.join(back, "node", "left_semi"), words, similarity), "touching")
+
+
 def without_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs``, all columns, without the rows that ``near_copies`` tells.
 

@@ -370,6 +370,45 @@ def test_near_copies_by_brute_force(spark, monkeypatch, together):
     assert sorted((r["doc_id"], r["text"]) for r in simhash.without_near_copies(df).collect()) == sorted(stay)
 
 
+def test_near_copies_settle_by_fingerprints_first(spark, monkeypatch):
+    """What the covering tables settle is not looked at again by the exact way, unless its judge goes there."""
+    rng = random.Random(23)
+    texts = []
+    for _ in range(60):
+        base = [f"{rng.choice('abcdefgh')}{rng.randrange(400)}" for _ in range(rng.randint(40, 400))]
+        for _ in range(rng.randint(2, 5)):
+            texts.append(" ".join(base))
+            base = list(base)
+            base[rng.randrange(len(base))] = f"new{rng.randrange(10**6)}"
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    nodes = {r["doc_id"]: r["node"] for r in df.select("doc_id", simhash.node_of(df).alias("node")).collect()}
+    sets = {nodes[i]: set(simhash.shingle_hashes(t.encode(), 5).tolist()) for i, t in enumerate(texts)}
+    near = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    by_print = {}
+    looked = []
+    monkeypatch.setattr(simhash, "print_groups", lambda d, words=5, f=simhash.print_groups: f(d, words, 1))
+    whole = simhash.candidates
+    monkeypatch.setattr(simhash, "candidates", lambda d, *a: looked.append({r["node"] for r in d.select("node").collect()}) or whole(d, *a))
+    told = {r["node"]: r for r in simhash.near_copies(df).collect()}
+    groups = {}
+    for r in simhash.print_groups(df.withColumn("node", simhash.node_of(df))).collect():
+        groups.setdefault(r["comp"], []).append(r["member"])
+    for own in groups.values():
+        stay = []
+        for n in sorted(own):
+            judge = next((s for s in stay if near(n, s)), None)
+            stay += [n] if judge is None else []
+            by_print |= {} if judge is None else {n: judge}
+    assert by_print and looked[0] == set(sets) - set(by_print)  # a part that is left, not all rows
+    assert len(looked) > 1 and all(len(x) < len(looked[0]) for x in looked[1:])  # some came back, with few others
+    stay = []
+    for n in sorted(sets):
+        if not any(near(n, s) for s in stay):
+            stay.append(n)
+    assert set(told) == set(sets) - set(stay)
+    assert all(r["judge"] in stay and near(n, r["judge"]) and nodes[r["keep_id"]] == r["judge"] for n, r in told.items())
+
+
 def test_near_copies_that_share_an_id(spark):
     """A text of its own stays, though another of the same id is a near copy."""
     words = [f"w{k}" for k in range(60)]
