@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from genloom.llm import exact_dedup, packing, quality, secrets, simhash
-from genloom.session import stage, table
+from genloom.session import relieve, stage, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,6 +20,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null and empty texts have no words and go; rows that repeat stay or go
     together; a very long text is judged as a whole. Texts don't change.
     """
+    relieve(spark)
     return quality.kept(docs, table(spark, sf_dir, "labels"))
 
 
@@ -29,6 +30,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Null counts as empty. Of rows that repeat an id and its text one stays;
     a null id stays only if no row of its text has an id.
     """
+    relieve(spark)
     return exact_dedup.deduplicated(docs)
 
 
@@ -39,6 +41,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     shingles. Rows are taken in order of a hash of id and text. Rows without
     an id, and texts without words, null ones among them, stay.
     """
+    relieve(spark)
     return simhash.without_near_copies(docs)
 
 
@@ -47,6 +50,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ``n_chars`` follows the text where it changes.
     """
+    relieve(spark)
     return secrets.redacted(docs)
 
 
@@ -56,6 +60,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text is the closing id alone; a text of over 2048 ids is
     cut into pieces; rows that repeat are packed each for itself.
     """
+    relieve(spark)
     return packing.pack_documents(docs, packing.tokenizer_path())
 
 

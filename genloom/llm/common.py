@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -47,6 +48,16 @@ def rows(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20, column: s
             last = min(max(last, first + 1), batch.num_rows)
             yield batch.slice(first, last - first)
             first = last
+    give_back()
+
+
+def give_back() -> None:
+    """Return what a task has freed to the system: its worker lives on, idle or for other steps, beside those of other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
 
 
 def unused(name: str) -> str:

@@ -11,6 +11,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _STAGED: list[tuple[SparkSession, str]] = []
 
@@ -83,6 +84,17 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def relieve(spark: SparkSession) -> None:
+    """Let the executors collect their garbage now, so that a heap that a step has made grow shrinks before the next.
+
+    Else it stays as large as it ever was, beside the Python workers of the
+    steps that follow. As many small tasks as there are cores reach them all.
+    """
+    n = max(1, spark.sparkContext.defaultParallelism)
+    collected = F.expr("java_method('java.lang.System', 'gc')")
+    spark.range(0, n, 1, n).select(collected.alias("gc")).write.format("noop").mode("overwrite").save()
+
+
 def _unstage() -> None:
     for spark, path in _STAGED:
         try:

@@ -933,3 +933,25 @@ def test_pipeline(spark, docs, tmp_path):
     assert not any(base_spans(r["text"]) for r in now.collect())
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == {r["doc_id"] for r in now.collect()}
+
+
+def test_stages_begin_with_collected_heaps(spark, docs, monkeypatch):
+    """Each stage lets the executors collect first, and that reaches their JVM."""
+    import corpus_pipeline
+    from genloom import session
+
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    before = [b.getCollectionCount() for b in beans()]
+    session.relieve(spark)
+    assert sum(b.getCollectionCount() for b in beans()) >= sum(before) + 2
+
+    class Called(Exception):
+        pass
+
+    def called(_):
+        raise Called
+
+    monkeypatch.setattr(corpus_pipeline, "relieve", called)
+    for _, step in corpus_pipeline.STAGES:
+        with pytest.raises(Called):
+            step(spark, docs, "/nowhere")
