@@ -50,11 +50,19 @@ def active_frame(haps: DataFrame) -> DataFrame:
     return haps.select("hap", "codes").mapInArrow(run, "hap long, first long, end long")
 
 
+def widened(positions: np.ndarray, start: int, codes: bytes) -> np.ndarray:
+    """Codes at all ``positions``, -1 outside those from position ``start`` on that ``codes`` are of."""
+    out = np.full(len(positions), -1, np.int8)
+    at = int(np.searchsorted(positions, start))
+    out[at : at + len(codes)] = np.frombuffer(codes, np.int8)
+    return out
+
+
 def match_codes(p: lshmm.Panel, codes: np.ndarray, rho: np.ndarray, mu: np.ndarray) -> list[tuple[list[tuple[float, float, int]], list[tuple[float, int]]]]:
     """Path and differing ``(position, code)`` of each row of ``codes``."""
     spans = np.array([active(c) for c in codes]).reshape(-1, 2)
-    wide = np.ones((1, codes.shape[1]))
-    found = lshmm.match(p, codes, spans[:, 0], spans[:, 1], rho[:, None] * wide, mu[:, None] * wide)
+    # one rate a haplotype: views, not a number for each site
+    found = lshmm.match(p, codes, spans[:, 0], spans[:, 1], *(np.broadcast_to(r[:, None], codes.shape) for r in (rho, mu)))
     out = []
     for row, (path, states), (lo, hi) in zip(codes, found, spans):
         off = np.flatnonzero((row[lo:hi] >= 0) & (row[lo:hi] != states[lo:hi])) + lo
@@ -65,6 +73,7 @@ def match_codes(p: lshmm.Panel, codes: np.ndarray, rho: np.ndarray, mu: np.ndarr
 def match_frame(haps: DataFrame, p: lshmm.Panel) -> DataFrame:
     """``haplotype_index, path, mutations`` of each row of ``haplotype_index, codes, rho, mu``.
 
+    With a column ``start``, ``codes`` are those from that position on.
     The panel is broadcast: it is the graph, not the genotypes, and its size,
     which must not pass PANEL_BYTES, is that of the edges.
     """
@@ -72,13 +81,17 @@ def match_frame(haps: DataFrame, p: lshmm.Panel) -> DataFrame:
         raise ValueError(f"the panel has {p.nbytes()} bytes; raise PANEL_BYTES if executors can hold it")
     ship(haps.sparkSession)
     told = haps.sparkSession.sparkContext.broadcast(p)
+    spans = "start" in haps.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 raw = part.column(1).to_pylist()
-                codes = np.array([np.frombuffer(r, np.int8) if isinstance(r, bytes) else r for r in raw], np.int8)
+                if spans:
+                    codes = np.array([widened(told.value.positions, a, r) for a, r in zip(part.column(4).to_pylist(), raw)], np.int8)
+                else:
+                    codes = np.array([np.frombuffer(r, np.int8) if isinstance(r, bytes) else r for r in raw], np.int8)
                 found = match_codes(told.value, codes, part.column(2).to_numpy(), part.column(3).to_numpy())
                 paths = [[{"left": a, "right": b, "parent": u} for a, b, u in path] for path, _ in found]
                 changes = [[{"position": x, "code": c} for x, c in off] for _, off in found]
@@ -86,7 +99,7 @@ def match_frame(haps: DataFrame, p: lshmm.Panel) -> DataFrame:
                 change = pa.list_(pa.struct([("position", pa.float64()), ("code", pa.int32())]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(paths, span), pa.array(changes, change)], ["haplotype_index", "path", "mutations"])
 
-    return haps.select("haplotype_index", "codes", "rho", "mu").mapInArrow(run, f"haplotype_index long, path {_PATH}, mutations {_CHANGES}")
+    return haps.select("haplotype_index", "codes", "rho", "mu", *["start"] * spans).mapInArrow(run, f"haplotype_index long, path {_PATH}, mutations {_CHANGES}")
 
 
 def extend(g: Graph, jobs: list[dict], results: dict[int, tuple[list, list]], dictionary: list[list[str]], compress: bool = False, in_place: bool = False) -> Graph:
@@ -96,12 +109,15 @@ def extend(g: Graph, jobs: list[dict], results: dict[int, tuple[list, list]], di
     between two checkpoints.
     """
     out = g if in_place else g.copy()
-    site_at = {x: k for k, (x, _) in enumerate(out.sites)}
+    where = np.array([x for x, _ in out.sites])
+    order = np.argsort(where, kind="stable")
+    where = where[order]
     for job in sorted(jobs, key=lambda j: j["haplotype_index"]):
         path, off = results[job["haplotype_index"]]
         u = out.add_node(job["time"], job.get("node_flags", SAMPLE), job.get("individual_id", NULL), job.get("population_id", NULL), {k: job[k] for k in ("source", "sample_id", "ploidy_index")})
         out.edges += [(float(a), float(b), int(p), u) for a, b, p in path]
-        out.mutations += [(site_at[x], u, dictionary[site_at[x]][c], NULL) for x, c in off]
+        sites = order[np.searchsorted(where, [x for x, _ in off])].tolist() if off else []
+        out.mutations += [(s, u, dictionary[s][c], NULL) for s, (_, c) in zip(sites, off)]
     if not in_place:
         out.sort()
     return out.compress() if compress else out
@@ -126,7 +142,7 @@ def match_group(haps: DataFrame, g: Graph, jobs: list[dict], dictionary: list[li
     rate = {j["haplotype_index"]: rates.get(j["source"], (RHO, MU)) for j in jobs}
     if len(jobs) <= local_rows:
         if fetched is None:
-            fetched = {r["haplotype_index"]: np.frombuffer(r["codes"], np.int8) for r in haps.collect()}
+            fetched = {r["haplotype_index"]: widened(p.positions, r["start"], r["codes"]) for r in haps.collect()}
         return match_rows({i: fetched[i] for i in rate if i in fetched}, p, rate)
     spark = haps.sparkSession
     table = spark.createDataFrame([(i, float(r), float(m)) for i, (r, m) in rate.items()], "haplotype_index long, rho double, mu double")

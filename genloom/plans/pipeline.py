@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import sys
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from genloom.operators import augment as aug
 from genloom.operators import sites as site_ops
 from genloom.operators import unify
 from genloom.operators.grouping import group_spans
-from genloom.operators.matching import MU, RHO, extend, make_root, match_group
+from genloom.operators.matching import MU, RHO, extend, make_root, match_group, widened
 from genloom.operators.treekernel import NULL, Graph
 from genloom.session import stage
 from genloom.sources.catalog import Store
@@ -22,6 +24,8 @@ from genloom.sources.catalog import Store
 MAX_GAP = 500_000
 #: Samples of a chunk in the jobs file, and haplotypes of small groups that are fetched together.
 SAMPLES_CHUNK, FETCHED = 100, 2048
+#: Bytes of codes, one a site that a haplotype spans, that are fetched together.
+FETCHED_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -49,7 +53,7 @@ class MatchPlan:
     """What matching works through: jobs in groups, and each haplotype's codes."""
 
     jobs: list[dict]
-    haps: DataFrame  # haplotype_index, grp, codes
+    haps: DataFrame  # haplotype_index, grp, start (position of the first code), codes
     positions: list[int]
     ancestral: list[str]
     dictionary: list[list[str]]
@@ -60,8 +64,8 @@ class MatchPlan:
 def plan_match(spark: SparkSession, a: Ancestors, stores: dict[str, Store], times: dict[str, str | float] | None = None, individuals: bool = True, fields: dict[str, str] | None = None, population: str | None = None, ancestor_source: str = "ancestors", flags: dict[str, int] | None = None) -> MatchPlan:
     """Jobs and haplotypes of the ancestors and then of each store, in order."""
     times, fields, flags = times or {}, fields or {}, flags or {}
-    rows = a.sites.select("position", "ancestral", "dictionary").orderBy("position").collect()
-    positions, ancestral = [r["position"] for r in rows], [r["ancestral"] for r in rows]
+    rows = a.sites.select("position", "ancestral").orderBy("position").toArrow()
+    positions, ancestral = rows["position"].to_pylist(), [sys.intern(x) for x in rows["ancestral"].to_pylist()]
     span = (positions[0], positions[-1] + 1) if positions else (0, 1)
     jobs: list[dict] = []
     for r in a.found.select("ancestor_id", "sample_id", "time", "start_position", "end_position").orderBy("ancestor_id").toLocalIterator():
@@ -91,8 +95,10 @@ def plan_match(spark: SparkSession, a: Ancestors, stores: dict[str, Store], time
     base = a.sites.select("position", F.slice("dictionary", 1, 2).alias("alleles"))
     notes = a.sites.select("position", F.col("ancestral").alias("ancestral_allele"))
     words = stage(unify.dictionaries([base, *(s.variants for s in stores.values())], notes), "dictionary")
-    dictionary = [r["dictionary"] for r in words.orderBy("position").toLocalIterator()]
-    number = stage(words.select("position", "dictionary").join(spark.createDataFrame([(p, k) for k, p in enumerate(positions)], "position int, site int"), "position"), "site-numbers")
+    alike: dict[tuple, list[str]] = {}  # sites of equal dictionaries share one list
+    dictionary = [alike.setdefault(tuple(r["dictionary"]), r["dictionary"]) for r in words.orderBy("position").toLocalIterator()]
+    sites = pa.table({"position": pa.array(positions, pa.int32()), "site": pa.array(range(len(positions)), pa.int32())})
+    number = stage(words.select("position", "dictionary").join(spark.createDataFrame(sites, "position int, site int"), "position"), "site-numbers")
     first = 0
     frames = []
     index = spark.createDataFrame([(j["haplotype_index"], j["group"]) for j in jobs], "haplotype_index long, grp int")
@@ -101,23 +107,9 @@ def plan_match(spark: SparkSession, a: Ancestors, stores: dict[str, Store], time
         begin = sum(1 for j in jobs if j["source"] == ancestor_source) + first
         last = unify.last_calls(store.variants)
         coded = number.join(last, "position").select("site", unify.canonical(F.col("calls"), F.col("alleles"), F.col("dictionary")).alias("codes"))
-        frames.append(anc.transpose(coded, len(positions)).select((F.col("hap") + begin).alias("haplotype_index"), "codes"))
+        frames.append(anc.transpose(coded, len(positions)).select((F.col("hap") + begin).alias("haplotype_index"), F.lit(span[0]).cast("int").alias("start"), "codes"))
         first += n
-    at = {p: k for k, p in enumerate(positions)}
-    n_sites = len(positions)
-
-    def widen(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            out = []
-            for where, hap in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                whole = np.full(n_sites, -1, np.int8)
-                whole[at[where[0]] : at[where[0]] + len(hap)] = np.frombuffer(hap, np.int8)
-                out.append(whole.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["haplotype_index", "codes"])
-
-    haps = a.found.select(F.col("ancestor_id").cast("long").alias("haplotype_index"), "positions", "hap").mapInArrow(widen, "haplotype_index long, codes binary")
+    haps = a.found.select(F.col("ancestor_id").cast("long").alias("haplotype_index"), F.col("start_position").alias("start"), F.col("hap").alias("codes"))
     for f in frames:
         haps = haps.unionByName(f)
     # files by group, so that a group's haplotypes are read without the others
@@ -131,7 +123,7 @@ def match(plan: MatchPlan, length: float, intervals: list[tuple[int, int]], rate
     ``on_group(number, graph, results)`` is called after each group, with the
     sorted graph and what matching found, for checkpoints. Groups from
     ``group_stop`` on are left out. Haplotypes of small groups that follow
-    each other are fetched by one job, FETCHED at most.
+    each other are fetched by one job, FETCHED at most, and about FETCHED_BYTES.
     """
     groups: dict[int, list[dict]] = {}
     for j in plan.jobs:
@@ -143,7 +135,8 @@ def match(plan: MatchPlan, length: float, intervals: list[tuple[int, int]], rate
     else:
         done, g = start[0], start[1].copy()
     todo = [k for k in sorted(groups) if k > done and (group_stop is None or k < group_stop)]
-    fetched: dict[int, np.ndarray] = {}
+    where = np.array(plan.positions)
+    fetched: dict[int, tuple[int, bytes]] = {}
     upto = -1
     for i, k in enumerate(todo):
         jobs = groups[k]
@@ -151,15 +144,18 @@ def match(plan: MatchPlan, length: float, intervals: list[tuple[int, int]], rate
             results = {j["haplotype_index"]: ([], []) for j in jobs}
         elif len(jobs) <= local_rows:
             if k > upto:
-                n = 0
+                n = wide = 0
                 for m in todo[i:]:
                     n += len(groups[m])
-                    if m > k and (n > FETCHED or len(groups[m]) > local_rows):
+                    ends = np.array([(j["start_position"], j["end_position"]) for j in groups[m]])
+                    wide += int((np.searchsorted(where, ends[:, 1]) - np.searchsorted(where, ends[:, 0])).sum())
+                    if m > k and (n > FETCHED or wide > FETCHED_BYTES or len(groups[m]) > local_rows):
                         break
                     upto = m
-                rows = plan.haps.where((F.col("grp") >= k) & (F.col("grp") <= upto)).select("haplotype_index", "codes").collect()
-                fetched = {r["haplotype_index"]: np.frombuffer(r["codes"], np.int8) for r in rows}
-            results = match_group(plan.haps, g, jobs, plan.dictionary, rates or {}, local_rows, strict=strict, fetched=fetched)
+                rows = plan.haps.where((F.col("grp") >= k) & (F.col("grp") <= upto)).select("haplotype_index", "start", "codes").collect()
+                fetched = {r["haplotype_index"]: (r["start"], r["codes"]) for r in rows}
+            own = {j["haplotype_index"]: widened(where, *fetched[j["haplotype_index"]]) for j in jobs if j["haplotype_index"] in fetched}
+            results = match_group(plan.haps, g, jobs, plan.dictionary, rates or {}, local_rows, strict=strict, fetched=own)
         else:
             results = match_group(plan.haps.where(F.col("grp") == k), g, jobs, plan.dictionary, rates or {}, local_rows, strict=strict)
         g = extend(g, jobs, results, plan.dictionary, compress, in_place=True)

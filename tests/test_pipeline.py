@@ -276,3 +276,19 @@ def test_metrics():
     assert runner.combined([one, {**one, "max_memory": 7}]) == {"elapsed_time": 2.0, "user_time": 4.0, "sys_time": 1.0, "max_memory": 10}
     with pytest.raises(ValueError):
         runner.combined([])
+
+
+def test_haplotypes_are_stored_by_span(spark):
+    """An ancestor takes the bytes of the sites it spans, not of the whole genome."""
+    positions = [100 * (k + 1) + 10**6 * (k > 4) for k in range(10)]
+    s = store(spark, NINE, ["AT"] * 10, positions, length=2 * 10**6)
+    a = pipeline.infer_ancestors([(s, s)], notes(spark, [(p, "A") for p in positions]))
+    plan = pipeline.plan_match(spark, a, {"s": s})
+    n = a.found.count()
+    sizes = {r["haplotype_index"]: len(r["codes"]) for r in plan.haps.collect()}
+    assert len(a.intervals) == 2 and max(sizes[i] for i in range(n)) <= 5
+    assert all(sizes[i] == 10 for i in sizes if i >= n)
+    near = pipeline.match(plan, s.length, a.intervals, strict=False)
+    far = pipeline.match(plan, s.length, a.intervals, local_rows=0, strict=False)
+    assert near.edges == far.edges and near.mutations == far.mutations
+    assert decoded(near) == expected(s)
