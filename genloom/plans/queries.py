@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from genloom.functions import ancestor_name, is_compressed, without_padding
 from genloom.operators import grouping, jobs, lshmm, sites, tables, unify
@@ -570,18 +574,27 @@ def _inferred(spark: SparkSession, sf: str) -> tuple[Graph, DataFrame]:
 def q32(spark: SparkSession, sf: str) -> DataFrame:
     """The inferred tables, one row a row: nodes, edges, sites and mutations."""
     g, _ = _inferred(spark, sf)
-    told = g.rows()
-    out = [("node", r["id"], float(r["flags"]), r["time"], -1, r["sample_id"]) for r in told["nodes"]]
-    out += [("edge", k, r["left"], r["right"], r["parent"], str(r["child"])) for k, r in enumerate(told["edges"])]
-    out += [("site", r["id"], r["position"], 0.0, -1, r["ancestral_state"]) for r in told["sites"]]
-    out += [("mutation", r["id"], float(r["site"]), float(r["node"]), r["parent"], r["derived_state"]) for r in told["mutations"]]
-    return spark.createDataFrame(out, "kind string, id long, x double, y double, parent long, value string")
+    nodes = ((float(f), t, -1, m.get("sample_id")) for f, t, m in zip(g.flags, g.time, g.meta))
+    edges = ((float(a), float(b), int(p), str(int(c))) for a, b, p, c in g.edges)
+    sites_ = ((float(x), 0.0, -1, a) for x, a in g.sites)
+    mutations = ((float(s), float(u), int(p), d) for s, u, d, p in g.mutations)
+    kinds = (("node", nodes), ("edge", edges), ("site", sites_), ("mutation", mutations))
+    out = ((kind, k, *row) for kind, rows in kinds for k, row in enumerate(rows))
+    return _framed(spark, out, "kind string, id long, x double, y double, parent long, value string")
+
+
+def _framed(spark: SparkSession, rows: Iterable[tuple], schema: str, lot: int = 50_000) -> DataFrame:
+    """Rows from the driver, held as Arrow columns and not as objects."""
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+    lots = iter(lambda it=iter(rows): list(islice(it, lot)), [])
+    found = [pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), kind)], kind.names) for some in lots]
+    return spark.createDataFrame(pa.concat_tables(found) if found else kind.empty_table(), schema)
 
 
 @query("q33_decode_genotypes", "SELECT CAST(0 AS BIGINT) AS mismatches, count(*) AS sites FROM part")
 def q33(spark: SparkSession, sf: str) -> DataFrame:
     g, rows = _inferred(spark, sf)
-    decoded = spark.createDataFrame([(int(x), alleles) for x, alleles in g.genotypes()], "position int, decoded array<string>")
+    decoded = _framed(spark, ((int(x), alleles) for x, alleles in g.genotypes()), "position int, decoded array<string>")
     told = F.transform("calls", lambda c: F.when(c == 1, "O").otherwise("F"))
     both = rows.join(decoded, "position", "left")
     return both.agg(F.sum((~F.col("decoded").eqNullSafe(told)).cast("long")).alias("mismatches"), F.count(F.lit(1)).alias("sites"))

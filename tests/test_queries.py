@@ -38,6 +38,20 @@ def test_query(spark, duck, name):
     assert a.equals(b)
 
 
+def test_driver_rows_in_columns(spark, monkeypatch):
+    """Rows of the driver become a table by lots, in order, and rates of a haplotype are no number for each site."""
+    from genloom.operators import lshmm, matching
+
+    rows = [(k, ["F", "O"][: k % 3]) for k in range(25)]
+    for lot in (4, 25, 100):
+        assert [tuple(r) for r in queries._framed(spark, iter(rows), "position int, decoded array<string>", lot).collect()] == rows
+    assert queries._framed(spark, iter([]), "position int, decoded array<string>").count() == 0
+    seen = []
+    monkeypatch.setattr(lshmm, "match", lambda p, codes, lo, hi, rho, mu: seen.extend((rho, mu)) or [])
+    matching.match_codes(None, np.zeros((3, 1000), np.int8), np.full(3, 0.1), np.full(3, 0.2))
+    assert all(r.shape == (3, 1000) and r.strides[1] == 0 for r in seen)
+
+
 def test_inferred_tables(spark):
     """Genotypes read off the tables of q32, by their edges and mutations alone, are those that went in."""
     rows = QUERIES["q32_full_pipeline"](spark, DATA).collect()
