@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,18 +31,23 @@ def descriptors(calls: np.ndarray, times: np.ndarray) -> list[list[int]]:
     for key in sorted(alike):
         sites = alike[key]
         carriers = calls[sites[0]] == 1
-        runs = [[sites[0]]]
-        for a, b in zip(sites, sites[1:]):
-            between = np.flatnonzero(times[a + 1 : b] > times[a]) + a + 1
-            seen = calls[between][:, carriers]
+        between = np.flatnonzero(times[sites[0] : sites[-1]] > times[sites[0]]) + sites[0] if carriers.sum() > 1 else np.zeros(0, int)
+        splits = []
+        for lot in _lots(len(between), int(carriers.sum())):
+            seen = calls[between[lot]][:, carriers]
             ones, called = (seen == 1).sum(axis=1), (seen >= 0).sum(axis=1)
-            if ((ones != called) & (ones != 0)).any():
-                runs.append([])
-            runs[-1].append(b)
-        out += runs
+            splits.append(between[lot][(ones != called) & (ones != 0)])
+        before = np.searchsorted(np.concatenate(splits) if splits else between[:0], sites)
+        out += [run.tolist() for run in np.split(np.array(sites), np.flatnonzero(np.diff(before)) + 1)]
     return out
 
 
+def _lots(rows: int, width: int, most: int = 16 << 20) -> list[slice]:
+    """Rows in lots of about ``most`` cells."""
+    step = max(1, most // max(1, width))
+    return [slice(k, min(rows, k + step)) for k in range(0, rows, step)]
+
+
 def _majority(seen: np.ndarray) -> int:
     """1 if ones are at least as many as zeros, -1 without any call."""
     ones, zeros = int((seen == 1).sum()), int((seen == 0).sum())
@@ -55,9 +61,11 @@ def make_ancestor(calls: np.ndarray, times: np.ndarray, derived: np.ndarray, foc
     if not len(carriers):
         raise ValueError("a focal site has no carriers")
     states = np.full(len(calls), -1, np.int8)
-    for a, b in zip(focal, focal[1:]):
-        for s in range(a + 1, b):
-            states[s] = _majority(calls[s, carriers]) if times[s] > age else 0
+    for lot in _lots(focal[-1] - focal[0], len(carriers)):
+        some = slice(focal[0] + lot.start, focal[0] + lot.stop)
+        seen = calls[some][:, carriers]
+        ones, zeros = (seen == 1).sum(axis=1), (seen == 0).sum(axis=1)
+        states[some] = np.where(times[some] > age, np.where(ones + zeros == 0, -1, ones >= zeros), 0)
     states[focal] = 1
     reach = []
     for begin, step in ((focal[-1], 1), (focal[0], -1)):
@@ -105,52 +113,75 @@ def packed_sites(sites: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, _PACKED)
 
 
-def _unpacked(found: pa.Table) -> np.ndarray:
-    """Calls of 0, 1 and -1, sites by haplotypes."""
+_BLOCKS = "interval_idx int, haplotypes int, position binary, time binary, derived binary, ones binary, called binary"
+
+
+def blocked(packed: DataFrame) -> DataFrame:
+    """``_PACKED`` rows, those of a batch and an interval as one row of ``_BLOCKS``."""
+    ship(packed.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.Table.from_batches([batch])
+            for k in pc.unique(batch.column(0)).to_pylist():
+                some = found.filter(pc.equal(found["interval_idx"], k)).combine_chunks()
+                columns = [some[c].to_numpy().astype(kind).tobytes() for c, kind in (("position", "i4"), ("time", "f8"), ("derived", "i4"))]
+                columns += [b"".join(some[c].to_pylist()) for c in ("ones", "called")]
+                row = [pa.array([k], pa.int32()), pa.array([some["haplotypes"][0].as_py()], pa.int32()), *(pa.array([c], pa.binary()) for c in columns)]
+                yield pa.RecordBatch.from_arrays(row, [f.split()[0] for f in _BLOCKS.split(", ")])
+
+    return packed.mapInArrow(run, _BLOCKS)
+
+
+def _unblocked(found: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions, times, derived and calls (0, 1 and -1, sites by haplotypes) of ``_BLOCKS`` rows, by position."""
+    if not found.num_rows:
+        return np.zeros(0, np.int32), np.zeros(0), np.zeros(0, np.int32), np.zeros((0, 0), np.int8)
     n = found["haplotypes"][0].as_py()
-    ones, called = (np.unpackbits(np.frombuffer(b"".join(found[c].to_pylist()), np.uint8).reshape(found.num_rows, -1), axis=1, count=n) for c in ("ones", "called"))
-    calls = ones.astype(np.int8)
-    calls[called == 0] = -1
-    return calls
+    position, time, derived = (np.frombuffer(b"".join(found[c].to_pylist()), kind) for c, kind in (("position", "i4"), ("time", "f8"), ("derived", "i4")))
+    order = np.argsort(position, kind="stable")
+    ones, called = (np.frombuffer(b"".join(found[c].to_pylist()), np.uint8).reshape(len(position), -1)[order] for c in ("ones", "called"))
+    calls = np.unpackbits(ones, axis=1, count=n).view(np.int8)
+    calls[np.unpackbits(called, axis=1, count=n) == 0] = -1
+    return position[order], time[order], derived[order], calls
 
 
 def described(packed: DataFrame, splits: int) -> DataFrame:
     """``interval_idx, descriptor, split, focal``: the numbers of the focal sites of each ancestor; each interval is gone through once."""
 
     def one(key: tuple, found: pa.Table) -> pa.Table:
-        found = found.sort_by("position")
-        focal = descriptors(_unpacked(found), found["time"].to_numpy())
+        _, times, _, calls = _unblocked(found)
+        focal = descriptors(calls, times)
         n = len(focal)
         return pa.table({"interval_idx": pa.array([key[0].as_py()] * n, pa.int32()), "descriptor": pa.array(range(n), pa.int32()), "split": pa.array([k % splits for k in range(n)], pa.int32()), "focal": pa.array(focal, pa.list_(pa.int32()))})
 
-    return packed.groupBy("interval_idx").applyInArrow(one, "interval_idx int, descriptor int, split int, focal array<int>")
+    return blocked(packed).groupBy("interval_idx").applyInArrow(one, "interval_idx int, descriptor int, split int, focal array<int>")
 
 
 def build(sites: DataFrame, splits: int | None = None) -> DataFrame:
     """Ancestors of inference sites (``interval_idx, position, time, derived, calls``), without ids.
 
     Intervals are independent. Descriptors are made once an interval; then its
-    sites, at two bits a call, go to ``splits`` tasks (one for each 500 sites,
-    64 at most), each of which makes its share of the ancestors. Memory is
-    one interval's matrix a task, however many ancestors there are.
+    sites, at two bits a call and a row for each batch, go to ``splits`` tasks
+    (one for each 500 sites, 64 and twice the cores at most), each of which
+    makes its share of the ancestors. Memory is one interval's matrix a task,
+    however many ancestors there are.
     """
     packed = stage(packed_sites(sites), "packed-sites")
-    splits = splits or max(1, min(64, packed.count() // 500))
+    splits = splits or max(1, min(64, 2 * sites.sparkSession.sparkContext.defaultParallelism, packed.count() // 500))
 
     def one(key: tuple, found: pa.Table, mine: pa.Table) -> pa.Table:
-        found = found.sort_by("position")
-        position, times, derived = (found[c].to_numpy() for c in ("position", "time", "derived"))
-        calls = _unpacked(found) if found.num_rows else np.zeros((0, 0), np.int8)
+        position, times, derived, calls = _unblocked(found)
         rows = []
         for k, focal in zip(mine["descriptor"].to_pylist(), mine["focal"].to_pylist()):
             a, b, hap = make_ancestor(calls, times, derived, focal)
-            rows.append((key[0].as_py(), k, float(times[focal[0]]), int(position[a]), int(position[b - 1]) + 1, int(position[a]), int(position[b - 1]), position[focal].tolist(), position[a:b].tolist(), hap.tobytes()))
+            rows.append((key[0].as_py(), k, float(times[focal[0]]), int(position[a]), int(position[b - 1]) + 1, int(position[a]), int(position[b - 1]), position[focal], position[a:b], hap.tobytes()))
         types = (pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary())
         names = [f.split()[0] for f in FOUND.split(", ")]
         columns = list(zip(*rows)) or [()] * len(types)
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
-    dealt = packed.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
+    dealt = blocked(packed).withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
     return dealt.groupBy("interval_idx", "split").cogroup(described(packed, splits).groupBy("interval_idx", "split")).applyInArrow(one, FOUND)
 
 

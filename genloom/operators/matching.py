@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from genloom.operators import lshmm
+from genloom.operators.columns import Columns
 from genloom.operators.treekernel import NULL, SAMPLE, Graph
 from genloom.session import ship
 
@@ -21,14 +22,16 @@ _PATH = "array<struct<left:double,right:double,parent:long>>"
 _CHANGES = "array<struct<position:double,code:int>>"
 
 
-def make_root(positions: list[int], ancestral: list[str], length: float, oldest: float) -> Graph:
+def make_root(positions: Sequence[int], ancestral: list[str], length: float, oldest: float) -> Graph:
     """Two nodes older than all, one edge from the first site to the end, and all sites."""
     g = Graph(float(length))
     g.add_node(oldest + 2)
     g.add_node(oldest + 1)
-    if positions:
+    if len(positions):
         g.edges = [(float(positions[0]), float(length), 0, 1)]
-    g.sites = [(float(x), a) for x, a in zip(positions, ancestral)]
+    words: dict[str, int] = {}
+    states = np.fromiter((words.setdefault(a, len(words)) for a in ancestral), np.int32, len(ancestral))
+    g.sites = Columns.of(g.sites.kinds, (np.array(positions, float), states), words)
     return g
 
 
@@ -50,24 +53,33 @@ def active_frame(haps: DataFrame) -> DataFrame:
     return haps.select("hap", "codes").mapInArrow(run, "hap long, first long, end long")
 
 
-def widened(positions: np.ndarray, start: int, codes: bytes) -> np.ndarray:
-    """Codes at all ``positions``, -1 outside those from position ``start`` on that ``codes`` are of."""
-    out = np.full(len(positions), -1, np.int8)
-    at = int(np.searchsorted(positions, start))
-    out[at : at + len(codes)] = np.frombuffer(codes, np.int8)
-    return out
-
-
-def match_codes(p: lshmm.Panel, codes: np.ndarray, rho: np.ndarray, mu: np.ndarray) -> list[tuple[list[tuple[float, float, int]], list[tuple[float, int]]]]:
+def match_codes(p: lshmm.Panel, codes: np.ndarray, rho: np.ndarray, mu: np.ndarray) -> list[tuple[list[tuple[float, float, int]], Columns]]:
     """Path and differing ``(position, code)`` of each row of ``codes``."""
     spans = np.array([active(c) for c in codes]).reshape(-1, 2)
     # one rate a haplotype: views, not a number for each site
     found = lshmm.match(p, codes, spans[:, 0], spans[:, 1], *(np.broadcast_to(r[:, None], codes.shape) for r in (rho, mu)))
-    out = []
-    for row, (path, states), (lo, hi) in zip(codes, found, spans):
-        off = np.flatnonzero((row[lo:hi] >= 0) & (row[lo:hi] != states[lo:hi])) + lo
-        out.append((path, [(float(p.positions[s]), int(row[s])) for s in off]))
-    return out
+    return [(path, _differing(p, row, states, 0)) for row, (path, states) in zip(codes, found)]
+
+
+def match_spans(p: lshmm.Panel, starts: list[int], rows: list[bytes], rho: np.ndarray, mu: np.ndarray) -> list[tuple[list[tuple[float, float, int]], Columns]]:
+    """The same of rows that have codes from position ``start`` on only; outside these they are missing."""
+    sites = len(p.positions)
+    codes, offsets, spans = [], np.searchsorted(p.positions, starts), []
+    for k, raw in enumerate(rows):
+        row = np.frombuffer(raw, np.int8)
+        lo, hi = active(row)
+        if not len(row) or row[lo] < 0:  # no call at all: every site is gone through
+            row, offsets[k], lo, hi = np.full(sites, -1, np.int8), 0, 0, sites
+        codes.append(row)
+        spans.append((lo + offsets[k], hi + offsets[k]))
+    lo, hi = np.array(spans).reshape(-1, 2).T
+    found = lshmm.match(p, codes, lo, hi, *(np.broadcast_to(r[:, None], (len(rows), sites)) for r in (rho, mu)), offsets=offsets)
+    return [(path, _differing(p, row, states, at)) for row, (path, states), at in zip(codes, found, offsets.tolist())]
+
+
+def _differing(p: lshmm.Panel, row: np.ndarray, states: np.ndarray, offset: int) -> Columns:
+    off = np.flatnonzero((row >= 0) & (row != states))
+    return Columns.of("f8 i4", (p.positions[off + offset], row[off]))
 
 
 def match_frame(haps: DataFrame, p: lshmm.Panel) -> DataFrame:
@@ -88,16 +100,19 @@ def match_frame(haps: DataFrame, p: lshmm.Panel) -> DataFrame:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 raw = part.column(1).to_pylist()
+                rates = (part.column(2).to_numpy(), part.column(3).to_numpy())
                 if spans:
-                    codes = np.array([widened(told.value.positions, a, r) for a, r in zip(part.column(4).to_pylist(), raw)], np.int8)
+                    found = match_spans(told.value, part.column(4).to_pylist(), raw, *rates)
                 else:
                     codes = np.array([np.frombuffer(r, np.int8) if isinstance(r, bytes) else r for r in raw], np.int8)
-                found = match_codes(told.value, codes, part.column(2).to_numpy(), part.column(3).to_numpy())
-                paths = [[{"left": a, "right": b, "parent": u} for a, b, u in path] for path, _ in found]
-                changes = [[{"position": x, "code": c} for x, c in off] for _, off in found]
-                span = pa.list_(pa.struct([("left", pa.float64()), ("right", pa.float64()), ("parent", pa.int64())]))
-                change = pa.list_(pa.struct([("position", pa.float64()), ("code", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(paths, span), pa.array(changes, change)], ["haplotype_index", "path", "mutations"])
+                    found = match_codes(told.value, codes, *rates)
+                steps = [x for path, _ in found for x in path]
+                left, right, parent = zip(*steps) if steps else ((), (), ())
+                step = pa.StructArray.from_arrays([pa.array(left, pa.float64()), pa.array(right, pa.float64()), pa.array(parent, pa.int64())], ["left", "right", "parent"])
+                differing = [off.columns() for _, off in found]
+                change = pa.StructArray.from_arrays([pa.array(np.concatenate([c[k] for c in differing])) for k in (0, 1)], ["position", "code"])
+                paths, changes = (pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, one)]), pa.int32()), rows) for one, rows in (([path for path, _ in found], step), ([off for _, off in found], change)))
+                yield pa.RecordBatch.from_arrays([part.column(0), paths, changes], ["haplotype_index", "path", "mutations"])
 
     return haps.select("haplotype_index", "codes", "rho", "mu", *["start"] * spans).mapInArrow(run, f"haplotype_index long, path {_PATH}, mutations {_CHANGES}")
 
@@ -109,43 +124,59 @@ def extend(g: Graph, jobs: list[dict], results: dict[int, tuple[list, list]], di
     between two checkpoints.
     """
     out = g if in_place else g.copy()
-    where = np.array([x for x, _ in out.sites])
+    where = out.sites.columns()[0]
     order = np.argsort(where, kind="stable")
     where = where[order]
     for job in sorted(jobs, key=lambda j: j["haplotype_index"]):
         path, off = results[job["haplotype_index"]]
         u = out.add_node(job["time"], job.get("node_flags", SAMPLE), job.get("individual_id", NULL), job.get("population_id", NULL), {k: job[k] for k in ("source", "sample_id", "ploidy_index")})
         out.edges += [(float(a), float(b), int(p), u) for a, b, p in path]
-        sites = order[np.searchsorted(where, [x for x, _ in off])].tolist() if off else []
-        out.mutations += [(s, u, dictionary[s][c], NULL) for s, (_, c) in zip(sites, off)]
+        position, code = (off if isinstance(off, Columns) else Columns("f8 i4", off)).columns()
+        sites = order[np.searchsorted(where, position)]
+        words: dict[str, int] = {}
+        states = [words.setdefault(dictionary[s][c], len(words)) for s, c in zip(sites.tolist(), code.tolist())]
+        out.mutations += Columns.of(out.mutations.kinds, (sites, np.full(len(sites), u), states, np.full(len(sites), NULL)), words)
     if not in_place:
         out.sort()
     return out.compress() if compress else out
 
 
-def match_rows(rows: dict[int, np.ndarray], p: lshmm.Panel, rate: dict[int, tuple[float, float]]) -> dict[int, tuple[list, list]]:
-    """Paths and mutations of haplotypes that are at hand."""
+def match_rows(rows: dict[int, tuple[int, bytes]], p: lshmm.Panel, rate: dict[int, tuple[float, float]]) -> dict[int, tuple[list, Columns]]:
+    """Paths and mutations of haplotypes that are at hand, as first position and codes."""
     order = sorted(rows)
     if not order:
         return {}
-    return dict(zip(order, match_codes(p, np.array([rows[i] for i in order]), np.array([rate[i][0] for i in order]), np.array([rate[i][1] for i in order]))))
+    starts, codes = zip(*(rows[i] for i in order))
+    return dict(zip(order, match_spans(p, list(starts), list(codes), *(np.array([rate[i][k] for i in order]) for k in (0, 1)))))
 
 
-def match_group(haps: DataFrame, g: Graph, jobs: list[dict], dictionary: list[list[str]], rates: dict[str, tuple[float, float]], local_rows: int = 64, tasks: int = 0, strict: bool = True, fetched: dict[int, np.ndarray] | None = None) -> dict[int, tuple[list, list]]:
+def match_group(haps: DataFrame, g: Graph, jobs: list[dict], dictionary: list[list[str]], rates: dict[str, tuple[float, float]], local_rows: int = 64, tasks: int = 0, strict: bool = True, fetched: dict[int, tuple[int, bytes]] | None = None) -> dict[int, tuple[list, Columns]]:
     """Paths and mutations of one group's haplotypes against the graph so far.
 
     A group of up to ``local_rows`` haplotypes is matched where the driver
     is, since a job costs more than that, and not fetched again if its codes
-    are in ``fetched``; a larger one goes to executors in ``tasks`` parts.
+    are in ``fetched``; a larger one goes to executors in ``tasks`` parts, those
+    of about one length and place together, so that a task goes through their
+    stretch of the sites and not through all.
     """
-    p = lshmm.panel(g, [max(2, len(d)) for d in dictionary], strict)
+    p = lshmm.panel(g, np.fromiter((max(2, len(d)) for d in dictionary), np.int16, len(dictionary)), strict)
     rate = {j["haplotype_index"]: rates.get(j["source"], (RHO, MU)) for j in jobs}
     if len(jobs) <= local_rows:
         if fetched is None:
-            fetched = {r["haplotype_index"]: widened(p.positions, r["start"], r["codes"]) for r in haps.collect()}
+            fetched = {r["haplotype_index"]: (r["start"], r["codes"]) for r in haps.collect()}
         return match_rows({i: fetched[i] for i in rate if i in fetched}, p, rate)
     spark = haps.sparkSession
     table = spark.createDataFrame([(i, float(r), float(m)) for i, (r, m) in rate.items()], "haplotype_index long, rho double, mu double")
     rated = haps.join(F.broadcast(table), "haplotype_index")
-    rated = rated.repartition(tasks or max(1, len(jobs) // 16))
-    return {r["haplotype_index"]: ([tuple(x) for x in r["path"]], [tuple(x) for x in r["mutations"]]) for r in match_frame(rated, p).toLocalIterator()}
+    length = F.floor(F.log2(F.length("codes") + 1)).desc()
+    tasks = tasks or max(1, len(jobs) // 16, min(len(jobs), spark.sparkContext.defaultParallelism // 2))
+    rated = rated.repartitionByRange(tasks, length, "start", "haplotype_index").sortWithinPartitions(length, "start")
+    steps = [F.col(f"path.{c}").alias(c) for c in ("left", "right", "parent")]
+    found = match_frame(rated, p).select("haplotype_index", *steps, F.col("mutations.position").alias("position"), F.col("mutations.code").alias("code")).toArrow()
+    out = {}
+    for batch in found.to_batches(max_chunksize=1024):
+        lists = [batch.column(k) for k in range(6)]
+        for k, i in enumerate(lists[0].to_pylist()):
+            path = list(zip(*(c[k].as_py() for c in lists[1:4])))
+            out[i] = (path, Columns.of("f8 i4", [c[k].values.to_numpy() for c in lists[4:]]))
+    return out

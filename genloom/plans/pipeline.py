@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import sys
+from array import array
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -16,9 +18,9 @@ from genloom.operators import augment as aug
 from genloom.operators import sites as site_ops
 from genloom.operators import unify
 from genloom.operators.grouping import group_spans
-from genloom.operators.matching import MU, RHO, extend, make_root, match_group, widened
+from genloom.operators.matching import MU, RHO, extend, make_root, match_group
 from genloom.operators.treekernel import NULL, Graph
-from genloom.session import stage
+from genloom.session import from_arrow, release, stage
 from genloom.sources.catalog import Store
 
 MAX_GAP = 500_000
@@ -26,6 +28,8 @@ MAX_GAP = 500_000
 SAMPLES_CHUNK, FETCHED = 100, 2048
 #: Bytes of codes, one a site that a haplotype spans, that are fetched together.
 FETCHED_BYTES = 64 << 20
+#: Codes of a group beyond which it goes to executors, however few its haplotypes are.
+LOCAL_CODES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -54,7 +58,7 @@ class MatchPlan:
 
     jobs: list[dict]
     haps: DataFrame  # haplotype_index, grp, start (position of the first code), codes
-    positions: list[int]
+    positions: Sequence[int]
     ancestral: list[str]
     dictionary: list[list[str]]
     individuals: list[dict] = field(default_factory=list)
@@ -65,7 +69,8 @@ def plan_match(spark: SparkSession, a: Ancestors, stores: dict[str, Store], time
     """Jobs and haplotypes of the ancestors and then of each store, in order."""
     times, fields, flags = times or {}, fields or {}, flags or {}
     rows = a.sites.select("position", "ancestral").orderBy("position").toArrow()
-    positions, ancestral = rows["position"].to_pylist(), [sys.intern(x) for x in rows["ancestral"].to_pylist()]
+    positions = array("q", rows["position"].to_numpy().astype("i8").tobytes())
+    ancestral = [sys.intern(x) for lot in rows["ancestral"].chunks for x in lot.to_pylist()]
     span = (positions[0], positions[-1] + 1) if positions else (0, 1)
     jobs: list[dict] = []
     for r in a.found.select("ancestor_id", "sample_id", "time", "start_position", "end_position").orderBy("ancestor_id").toLocalIterator():
@@ -96,9 +101,9 @@ def plan_match(spark: SparkSession, a: Ancestors, stores: dict[str, Store], time
     notes = a.sites.select("position", F.col("ancestral").alias("ancestral_allele"))
     words = stage(unify.dictionaries([base, *(s.variants for s in stores.values())], notes), "dictionary")
     alike: dict[tuple, list[str]] = {}  # sites of equal dictionaries share one list
-    dictionary = [alike.setdefault(tuple(r["dictionary"]), r["dictionary"]) for r in words.orderBy("position").toLocalIterator()]
-    sites = pa.table({"position": pa.array(positions, pa.int32()), "site": pa.array(range(len(positions)), pa.int32())})
-    number = stage(words.select("position", "dictionary").join(spark.createDataFrame(sites, "position int, site int"), "position"), "site-numbers")
+    dictionary = [alike.setdefault(tuple(one), one) for lot in words.orderBy("position").select("dictionary").toArrow().column(0).chunks for k in range(0, len(lot), 10_000) for one in lot[k : k + 10_000].to_pylist()]
+    sites = pa.table({"position": rows["position"].cast(pa.int32()), "site": pa.array(np.arange(len(positions), dtype=np.int32))})
+    number = stage(words.select("position", "dictionary").join(from_arrow(spark, sites, "position int, site int"), "position"), "site-numbers")
     first = 0
     frames = []
     index = spark.createDataFrame([(j["haplotype_index"], j["group"]) for j in jobs], "haplotype_index long, grp int")
@@ -138,26 +143,30 @@ def match(plan: MatchPlan, length: float, intervals: list[tuple[int, int]], rate
     where = np.array(plan.positions)
     fetched: dict[int, tuple[int, bytes]] = {}
     upto = -1
+    wide_of = {}
+    for k in todo:
+        ends = np.array([(j["start_position"], j["end_position"]) for j in groups[k]])
+        wide_of[k] = int((np.searchsorted(where, ends[:, 1]) - np.searchsorted(where, ends[:, 0])).sum())
+    near = {k for k in todo if len(groups[k]) <= local_rows and wide_of[k] <= LOCAL_CODES}
     for i, k in enumerate(todo):
         jobs = groups[k]
         if not plan.positions:
             results = {j["haplotype_index"]: ([], []) for j in jobs}
-        elif len(jobs) <= local_rows:
+        elif k in near:
             if k > upto:
                 n = wide = 0
                 for m in todo[i:]:
                     n += len(groups[m])
-                    ends = np.array([(j["start_position"], j["end_position"]) for j in groups[m]])
-                    wide += int((np.searchsorted(where, ends[:, 1]) - np.searchsorted(where, ends[:, 0])).sum())
-                    if m > k and (n > FETCHED or wide > FETCHED_BYTES or len(groups[m]) > local_rows):
+                    wide += wide_of[m]
+                    if m > k and (n > FETCHED or wide > FETCHED_BYTES or m not in near):
                         break
                     upto = m
                 rows = plan.haps.where((F.col("grp") >= k) & (F.col("grp") <= upto)).select("haplotype_index", "start", "codes").collect()
-                fetched = {r["haplotype_index"]: (r["start"], r["codes"]) for r in rows}
-            own = {j["haplotype_index"]: widened(where, *fetched[j["haplotype_index"]]) for j in jobs if j["haplotype_index"] in fetched}
+                fetched = {r["haplotype_index"]: (r["start"], bytes(r["codes"])) for r in rows}
+            own = {j["haplotype_index"]: fetched[j["haplotype_index"]] for j in jobs if j["haplotype_index"] in fetched}
             results = match_group(plan.haps, g, jobs, plan.dictionary, rates or {}, local_rows, strict=strict, fetched=own)
         else:
-            results = match_group(plan.haps.where(F.col("grp") == k), g, jobs, plan.dictionary, rates or {}, local_rows, strict=strict)
+            results = match_group(plan.haps.where(F.col("grp") == k), g, jobs, plan.dictionary, rates or {}, 0, strict=strict)
         g = extend(g, jobs, results, plan.dictionary, compress, in_place=True)
         g.provenances.append({"software": "genloom", "command": "match", "group": k, "haplotypes": len(jobs)})
         if on_group:
@@ -190,7 +199,7 @@ def augment_sites(spark: SparkSession, g: Graph, stores: dict[str, Store], annot
         width = max(1, *(int(hi - lo) for lo, hi in g.intervals)) if g.intervals else 1
         inside = site_ops.in_intervals(rows.select("position"), spans, width).select("position").distinct()
         rows = rows.join(inside, "position", "left_semi")
-    there = spark.createDataFrame([(int(x),) for x, _ in g.sites], "position int")
+    there = from_arrow(spark, pa.table({"position": pa.array(g.sites.columns()[0].astype(np.int32))}), "position int")
     rows = unify.exclude_positions(rows, there)
     columns: dict[tuple, int] = {}
     loose: dict[tuple, int] = {}
@@ -208,6 +217,8 @@ def augment_sites(spark: SparkSession, g: Graph, stores: dict[str, Store], annot
     wanted = rows.select(F.col("position").cast("double").alias("position"), picked.alias("calls"), "dictionary", F.when(F.col("ancestral") != "", F.lit(0)).alias("root_state"))
     wanted = stage(wanted.where(F.exists("calls", lambda c: c >= 0)), "augment")
     words = {r["position"]: r["dictionary"] for r in wanted.select("position", "dictionary").toLocalIterator()}
+    if not words:
+        return aug.augmented(g, [], words)
     placed = [(r["position"], r["root_state"], [tuple(m) for m in r["mutations"]]) for r in aug.place_frame(wanted, g, samples).toLocalIterator()]
     return aug.augmented(g, placed, words)
 
@@ -215,9 +226,11 @@ def augment_sites(spark: SparkSession, g: Graph, stores: dict[str, Store], annot
 def infer(spark: SparkSession, stores: dict[str, Store], annotation: DataFrame, max_gap: int = MAX_GAP, compress: bool = False, erase_flanks: bool = True, augment: bool = False, rates: dict[str, tuple[float, float]] | None = None, strict: bool = False, **jobs) -> Graph:
     """All steps over stores that serve both for ancestors and as samples."""
     a = infer_ancestors([(s, s) for s in stores.values()], annotation, max_gap)
-    plan = plan_match(spark, a, stores, **jobs)
     length = next(iter(stores.values())).length
-    g = post_process(match(plan, length, a.intervals, rates or {n: (RHO, MU) for n in stores}, compress, strict=strict), erase_flanks)
+    # the plan goes with the call: the further steps don't need it
+    g = match(plan_match(spark, a, stores, **jobs), length, a.intervals, rates or {n: (RHO, MU) for n in stores}, compress, strict=strict)
+    g = post_process(g, erase_flanks)
+    release(spark)
     return augment_sites(spark, g, stores, annotation) if augment else g
 
 

@@ -158,7 +158,7 @@ def match(spark: SparkSession, cfg: Config, group_stop: int | None = None, match
     work, start, last = cfg.match.workdir, None, None
     if cfg.match.reference_ts:
         reference = pipeline.read_graph(spark, cfg.match.reference_ts)
-        if [int(x) for x, _ in reference.sites] != plan.positions:
+        if [int(x) for x, _ in reference.sites] != list(plan.positions):
             raise ValueError("the reference graph has other sites than the ancestors")
         shift, kinds = len(reference.individuals), len(reference.populations)
         for j in plan.jobs:

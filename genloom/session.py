@@ -10,6 +10,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +82,7 @@ def release(spark: SparkSession) -> None:
     little to do may put off while the files of a long query pile up.
     """
     gc.collect()
+    pa.default_memory_pool().release_unused()
     spark._jvm.System.gc()
 
 
@@ -131,6 +133,26 @@ def ship(spark: SparkSession) -> None:
     sc._genloom_shipped = True
 
 
+#: Bytes of a table of the driver beyond which it stays in Arrow batches.
+LOCAL_BYTES = 1 << 20
+
+
+def from_arrow(spark: SparkSession, rows: pa.Table, schema: str) -> DataFrame:
+    """A table of the driver. Large ones stay in Arrow batches there: Spark makes those below 48 MB an object a row."""
+    key = "spark.sql.execution.arrow.localRelationThreshold"
+    if rows.nbytes < LOCAL_BYTES:
+        return spark.createDataFrame(rows, schema)
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, "0b")
+    try:
+        return spark.createDataFrame(rows, schema)
+    finally:
+        if was is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, was)
+
+
 def broadcast_limit(spark: SparkSession, most: int = 64 << 20) -> int:
     """Bytes up to which a checked side may be broadcast."""
     raw = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")

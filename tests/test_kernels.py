@@ -1,5 +1,6 @@
 """The kernels on generated graphs and spans, against slow versions of the same rules."""
 
+import tracemalloc
 from functools import cache
 
 import numpy as np
@@ -365,3 +366,61 @@ def test_mutation_parents():
             above = chain({c: p for a, b, p, c in g.edges if a <= x < b}, node)[1:]
             mine = {u: k for k, (t, u, _, _) in enumerate(g.mutations) if t == site}
             assert parent == next((mine[u] for u in above if u in mine), -1)
+
+
+def passing(sites=8_000, width=4):
+    """Two nodes over all sites, and one after the other, each over a short stretch of sites and with a mutation."""
+    g = Graph(float(sites + 1))
+    for k in range(4):
+        g.add_node(9.0 - k)
+    g.edges = [(0.0, g.length, 0, 1), (0.0, g.length, 1, 2), (0.0, g.length, 1, 3)]
+    for k in range(sites):
+        g.sites.append((float(k), "A"))
+    for a in range(0, sites, width):
+        u = g.add_node(4.0)
+        g.edges.append((float(a), float(min(a + width, sites)), 2, u))
+        g.mutations += [(a + width // 2, u, "T", -1)]
+    g.sort()
+    return g
+
+
+def peak(call):
+    tracemalloc.start()
+    try:
+        out = call()
+        return out, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_matching_keeps_the_local_tree_only():
+    """What is kept for the way back grows with the nodes of one site's tree, not with all that the graph has."""
+    g = passing()
+    p = panel(g, [2] * len(g.sites))
+    rows = np.zeros((4, len(g.sites)), np.int8)
+    rows[1::2, 2::4] = 1
+    found, mb = peak(lambda: match_codes(p, rows, np.full(4, 1e-2), np.full(4, 1e-20)))
+    assert mb < 6
+    assert found[0] == ([(0.0, g.length, 1)], [])
+    assert {u for _, _, u in found[1][0]} >= set(range(4, 2004)) and found[1][1] == []
+    assert found[0] == found[2] and found[1] == found[3]
+
+
+def test_sites_and_mutations_are_columns():
+    """A graph takes a few bytes for each site, sorted and decoded too; its tables still are lists of tuples."""
+
+    def run():
+        g = Graph(200_000.0)
+        g.add_node(1.0)
+        g.add_node(0.0, 1)
+        g.edges = [(0.0, g.length, 0, 1)]
+        for k in range(100_000):
+            g.sites.append((float(k), "A"))
+            g.mutations.append((k, k % 2, "TC"[k % 2], -1))
+        g.sort()
+        return g, sum(alleles == ["TC"[int(x) % 2]] for x, alleles in g.genotypes())
+
+    (g, right), mb = peak(run)
+    assert mb < 30 and right == 100_000
+    assert g.sites[-1] == (99_999.0, "A") and g.mutations[1:3] == [(1, 1, "C", -1), (2, 0, "T", -1)]
+    assert g.sites == list(g.sites) and g.sites != list(g.sites)[1:] and g.copy().mutations == g.mutations

@@ -292,3 +292,18 @@ def test_haplotypes_are_stored_by_span(spark):
     far = pipeline.match(plan, s.length, a.intervals, local_rows=0, strict=False)
     assert near.edges == far.edges and near.mutations == far.mutations
     assert decoded(near) == expected(s)
+
+
+def test_wide_groups_go_to_executors(spark, monkeypatch):
+    """A group of few haplotypes over many sites is not matched where the driver is; results are the same."""
+    s = store(spark, NINE, ["AT"] * 10, length=2000)
+    a = pipeline.infer_ancestors([(s, s)], notes(spark, [(100 * (k + 1), "A") for k in range(10)]))
+    plan = pipeline.plan_match(spark, a, {"s": s})
+    here, group = [], pipeline.match_group
+    monkeypatch.setattr(pipeline, "match_group", lambda *a, **k: here.append("fetched" in k) or group(*a, **k))
+    near = pipeline.match(plan, 2000, a.intervals, strict=False)
+    monkeypatch.setattr(pipeline, "LOCAL_CODES", 1)
+    far = pipeline.match(plan, 2000, a.intervals, strict=False)
+    n = len(here) // 2
+    assert all(here[:n]) and not any(here[n:])
+    assert near.edges == far.edges and near.mutations == far.mutations
