@@ -18,7 +18,7 @@ from genloom.operators.matching import active_frame, extend, make_root, match_fr
 from genloom.operators.numbering import numbered
 from genloom.operators.treekernel import Graph
 from genloom.plans import skin
-from genloom.session import scratch, table
+from genloom.session import from_arrow, scratch, table
 from genloom.sources.catalog import Store, open_store, resolve_field, write_store
 from genloom.sources.filters import filter_variants
 
@@ -583,12 +583,19 @@ def q32(spark: SparkSession, sf: str) -> DataFrame:
     return _framed(spark, out, "kind string, id long, x double, y double, parent long, value string")
 
 
-def _framed(spark: SparkSession, rows: Iterable[tuple], schema: str, lot: int = 50_000) -> DataFrame:
-    """Rows from the driver, held as Arrow columns and not as objects."""
+def _framed(spark: SparkSession, rows: Iterable[tuple], schema: str, lot: int = 50_000, most: int = 200_000) -> DataFrame:
+    """Rows from the driver, held as Arrow columns and not as objects; beyond ``most`` they are files of the shared folder, in no order."""
     kind = to_arrow_schema(StructType.fromDDL(schema))
     lots = iter(lambda it=iter(rows): list(islice(it, lot)), [])
-    found = [pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), kind)], kind.names) for some in lots]
-    return spark.createDataFrame(pa.concat_tables(found) if found else kind.empty_table(), schema)
+    found, path = [], None
+    for some in lots:
+        found.append(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), kind)], kind.names))
+        if sum(map(len, found)) > most:
+            path = path or scratch(spark, "rows")
+            from_arrow(spark, pa.concat_tables(found), schema).write.mode("append").parquet(path)
+            found = []
+    rest = from_arrow(spark, pa.concat_tables(found) if found else kind.empty_table(), schema)
+    return rest if path is None else spark.read.schema(schema).parquet(path).unionByName(rest)
 
 
 @query("q33_decode_genotypes", "SELECT CAST(0 AS BIGINT) AS mismatches, count(*) AS sites FROM part")

@@ -52,6 +52,21 @@ def test_driver_rows_in_columns(spark, monkeypatch):
     assert all(r.shape == (3, 1000) and r.strides[1] == 0 for r in seen)
 
 
+def test_many_driver_rows_become_files(spark, monkeypatch):
+    """Of more rows than a few lots, the driver never holds all, nor makes them objects of Spark's."""
+    from genloom import session
+
+    monkeypatch.setattr(session, "LOCAL_BYTES", 1)
+    made = []
+    create = type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda s, rows, *a, **k: made.append(rows.num_rows) or create(s, rows, *a, **k))
+    rows = [(k, ["F", "O"][: k % 3]) for k in range(25)]
+    found = queries._framed(spark, iter(rows), "position int, decoded array<string>", 4, 4)
+    assert max(made) <= 8 and sum(made) == 25
+    assert "LocalTableScan" not in found._jdf.queryExecution().toString()
+    assert sorted(tuple(r) for r in found.collect()) == rows
+
+
 def test_inferred_tables(spark):
     """Genotypes read off the tables of q32, by their edges and mutations alone, are those that went in."""
     rows = QUERIES["q32_full_pipeline"](spark, DATA).collect()
